@@ -167,9 +167,9 @@ def require_source(silver, bronze):
     audit = (
         event_audit(events, bronze)
         .agg(
-            F.count_if("silver_rows > 0").alias("events"),
+            F.count_if(F.col("silver_rows") > 0).alias("events"),
             F.coalesce(F.sum("bronze_rows"), F.lit(0)).alias("bronze_rows"),
-            F.count_if("silver_rows > 1").alias("duplicate event_id"),
+            F.count_if(F.col("silver_rows") > 1).alias("duplicate event_id"),
             F.count_if("bronze_conflict").alias("conflicting Bronze versions"),
             F.count_if("differs").alias("Bronze/Silver reconciliation"),
         )
@@ -196,7 +196,7 @@ def require_orders(events):
         .agg(
             F.count("*").alias("orders"),
             F.count_if("attributes_conflict").alias("order attributes conflict"),
-            F.count_if(_BAD_PAYMENTS).alias("payment/refund pattern"),
+            F.count_if(F.expr(_BAD_PAYMENTS)).alias("payment/refund pattern"),
         )
         .first()
         .asDict()

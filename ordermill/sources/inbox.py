@@ -104,7 +104,7 @@ def append_inbox(spark, batch, path, topic):
         )
         checked = compare_with_inbox(batch, inbox).persist(StorageLevel.MEMORY_AND_DISK)
         state = checked.agg(
-            F.count_if("conflict").alias("conflicts"), F.count_if("not known").alias("new")
+            F.count_if("conflict").alias("conflicts"), F.count_if(~F.col("known")).alias("new")
         ).first()
         if state["conflicts"]:
             raise ValueError("Same source coordinates with different contents; batch refused")

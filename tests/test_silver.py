@@ -1,0 +1,141 @@
+import itertools
+from datetime import timedelta
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from ordermill.operators import setdiff, silver
+from ordermill.schemas import BUSINESS_COLUMNS, SILVER
+from ordermill.sources.inbox import as_inbox_rows
+from ordermill.sources.store import read_or_empty
+from samples import START, bronze, event, message, messages, texts, values
+
+
+def inbox_rows(spark, rows, cluster="retail-local"):
+    return as_inbox_rows(messages(spark, rows), cluster, "t1")
+
+
+def test_last_produced_copy_wins(spark):
+    rows = [
+        event("E1", city="old", delay=1),
+        event("E1", city="new", delay=9),
+        event("E1", city="never", producer_time_utc=None),
+        event("E2", producer_time_utc=None),
+    ]
+    kept = silver.newest_per_event(bronze(spark, rows))
+    assert values(kept, "event_id", "city") == {("E1", "new"), ("E2", "Hue")}
+
+
+def test_ties_do_not_depend_on_arrival(spark):
+    rows = [event("E1", city=c, promo_code=p) for c, p in [("a", "x"), ("b", None), ("a", None)]]
+    results = {
+        str(silver.newest_per_event(bronze(spark, list(p))).collect())
+        for p in itertools.permutations(rows)
+    }
+    assert len(results) == 1
+
+
+def test_one_event_may_hold_most_rows(spark):
+    copies = bronze(spark, [event("HOT", delay=3)]).crossJoin(spark.range(3000)).drop("id")
+    rest = spark.range(3000).select(
+        F.concat(F.lit("E"), F.col("id").cast("string")).alias("event_id"),
+        *[F.lit(v).alias(c) for c, v in event().items() if c != "event_id"],
+    )
+    mixed = copies.unionByName(rest.select(*BUSINESS_COLUMNS)).repartition(8)
+    kept = silver.newest_per_event(mixed)
+    assert kept.count() == 3001
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # once before the shuffle, once after
+
+
+def test_inbox_copies_are_ordered_by_coordinates(spark):
+    rows = [
+        message(event("E1", city="a"), 5, partition=1),
+        message(event("E1", city="b"), 3, partition=0),
+        message(event("E1", city="c"), 4, partition=0),
+        message(event("E1", city="d", delay=0), 9, partition=0),
+    ]
+    kept = silver.newest_inbox_copy(silver.decode_inbox(inbox_rows(spark, rows)))
+    assert values(kept, "event_id", "city") == {("E1", "c")}
+
+
+def test_inbox_view_is_typed_and_keeps_duplicates(spark):
+    rows = [message(event("E1", promo_code=" "), 0), message(event("E1", promo_code=" "), 1)]
+    view = silver.bronze_from_inbox(inbox_rows(spark, rows))
+    assert view.count() == 2
+    row = view.first()
+    assert row.promo_code == " " and row.quantity == 2 and row.is_late_event is False
+    assert str(row.unit_price_vnd) == "100.00"
+    assert texts(view.select("event_time_utc"))[0] == ("2026-08-29 15:16:45",)
+
+
+def test_only_the_named_source_is_read(spark):
+    rows = inbox_rows(spark, [message(event("E1"), 0)], "other").unionByName(
+        inbox_rows(spark, [message(event("E2"), 0), message(event("E3"), 1, topic="x")])
+    )
+    assert values(silver.bronze_from_inbox(rows), "event_id") == {("E2",)}
+
+
+@pytest.mark.parametrize(
+    "value", [b"not JSON", b"not \xff", b'{"event_id": "E1", "quantity": "1.5"}',
+              b'{"event_id": "E1", "event_time_utc": "now"}', b'{"is_late_event": "maybe"}']
+)
+def test_malformed_messages_fail(spark, value):
+    rows = inbox_rows(spark, [message(event("E1"), 0), message(event("E2"), 1, value=value)])
+    with pytest.raises(Exception):
+        silver.bronze_from_inbox(rows).collect()
+
+
+def test_repeated_json_key_keeps_the_last(spark):
+    rows = inbox_rows(spark, [message(event(), 0, value=b'{"city": "a", "city": "b"}')])
+    assert silver.bronze_from_inbox(rows).first().city == "b"
+
+
+def test_rerun_keeps_rows_and_load_time(spark, folder):
+    path = folder("silver")
+    rows = [event("E1", promo_code=""), event("E1", promo_code=""), event("E2", hours=1)]
+    silver.silver_from_bronze(spark, bronze(spark, rows), path)
+    before = spark.createDataFrame(read_or_empty(spark, path, SILVER).collect(), SILVER)
+    silver.silver_from_bronze(spark, bronze(spark, rows), path)
+    assert setdiff.bag_diff(before, read_or_empty(spark, path, SILVER)).count() == 0
+    more = [*rows, event("E1", city="changed", delay=99), event("E3", hours=2)]
+    after = silver.silver_from_bronze(spark, bronze(spark, more), path)
+    assert values(after, "event_id", "city") == {("E1", "Hue"), ("E2", "Hue"), ("E3", "Hue")}
+
+
+def test_split_rows_rebuild_to_the_same_events(spark):
+    rows = [
+        event("E1", event_time_utc=START + timedelta(microseconds=7), promo_code=" null "),
+        event("E2", producer_time_utc=None, promo_code="X "),
+    ]
+    cleaned = silver.newest_per_event(bronze(spark, rows))
+    back = silver.events_from_silver(silver.split_datetimes(cleaned))
+    assert setdiff.set_diff(back, silver.comparable_bronze(bronze(spark, rows))).count() == 0
+    assert silver.split_datetimes(cleaned).filter("event_id = 'E1'").first().event_date_utc == "20262908"
+
+
+@pytest.mark.parametrize("column", ["event_id", "order_id", "event_type", "event_time_utc"])
+def test_silver_needs_its_keys(spark, folder, column):
+    with pytest.raises(PySparkException, match="Silver needs a value"):
+        silver.silver_from_bronze(spark, bronze(spark, [event(**{column: None})]), folder("s"))
+
+
+def test_insert_absent(spark):
+    target = spark.createDataFrame([("a", 1), ("b", 1)], "event_id string, x int")
+    source = spark.createDataFrame([("b", 2), ("c", 2)], "event_id string, x int")
+    assert values(silver.insert_absent(target, source)) == {("c", 2)}
+
+
+def test_differences(spark):
+    left = spark.createDataFrame([(1, None), (1, None), (2, "x"), (3, "y")], "a int, b string")
+    right = spark.createDataFrame([(1, None), (3, "y"), (3, "z")], "a int, b string")
+    assert values(setdiff.set_diff(left, right)) == {(2, "x", "left"), (3, "z", "right")}
+    assert values(setdiff.bag_diff(left, right)) == {
+        (1, None, "left", 1),
+        (2, "x", "left", 1),
+        (3, "z", "right", 1),
+    }
+    assert setdiff.set_diff(left, left).count() == 0
+    both = left.subtract(right).union(right.subtract(left))
+    assert values(both) == values(setdiff.set_diff(left, right).drop("side"))
