@@ -1,5 +1,8 @@
 """Text cleaning and text-to-value conversion."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 # Accepted boolean spellings, as lower-case text.
@@ -27,7 +30,7 @@ def is_unusable_id(text):
 
 def any_unusable_id(names):
     """One predicate over several id columns."""
-    return F.exists(F.array(*[F.col(n) for n in names]), is_unusable_id)
+    return reduce(or_, [is_unusable_id(F.col(n)) for n in names])
 
 
 def text_to_boolean(text, strict=True):

@@ -48,9 +48,16 @@ def new_dim_rows(dim, source, business_key, key):
     is then the rows in earlier partitions plus the position in the own one. No task
     holds more than one range, and only the per-partition counts are put together.
     """
-    shared_folder(source.sparkSession)
+    return number_new_keys(dim, source, business_key, key)[0]
+
+
+def number_new_keys(dim, source, business_key, key):
+    """`new_dim_rows`, and how many they are."""
+    spark = source.sparkSession
+    shared_folder(spark)
+    start = dim.agg(F.max(key)).first()[0]
     fresh = source.select(*business_key).distinct()
-    if not dim.isEmpty():
+    if start is not None:
         fresh = fresh.join(dim.select(*business_key), business_key, "left_anti")
     placed = (
         fresh.repartitionByRange(*business_key)
@@ -63,19 +70,17 @@ def new_dim_rows(dim, source, business_key, key):
             F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1).alias("_row"),
         )
     )
-    start = dim.agg(F.max(key)).first()[0] or 0
     # One entry per partition of the sort, whatever the number of rows.
-    counts = placed.groupBy("_part").agg(F.max("_row").alias("last")).orderBy("_part").collect()
-    before, offsets = start, {}
-    for part, last in counts:
-        offsets[part] = before
+    counts = placed.groupBy("_part").agg(F.max("_row").alias("last")).collect()
+    before, offsets = start or 0, []
+    for part, last in sorted(counts):
+        offsets.append((part, before))
         before += last + 1
-    bases = placed.sparkSession.createDataFrame(
-        list(offsets.items()), "_part long, _base long"
-    )
-    return placed.join(F.broadcast(bases), "_part").select(
+    bases = spark.createDataFrame(offsets, "_part long, _base long")
+    rows = placed.join(F.broadcast(bases), "_part").select(
         (F.col("_base") + F.col("_row") + 1).alias(key), *business_key
     )
+    return rows, before - (start or 0)
 
 
 def extend_dim(dim, source, business_key, key):

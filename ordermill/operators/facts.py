@@ -7,7 +7,8 @@ from ordermill.functions.numbers import amount_when
 from ordermill.schemas import (
     FACT_ORDERS_COLUMNS,
     FACT_SALES_EVENTS_COLUMNS,
-    PAYMENT_FLAGS,
+    ORDER_ATTRIBUTES,
+    ORDER_STATE_COLUMNS,
     PAYMENT_METRICS_COLUMNS,
 )
 
@@ -38,63 +39,100 @@ def _payment_flags():
     ]
 
 
-def order_rollup(events):
-    """Per order: milestones, latest event with its attributes, and payment flags.
+_MILESTONES = {
+    "created_at_utc": "ORDER_CREATED",
+    "paid_at_utc": "PAYMENT_CONFIRMED",
+    "shipped_at_utc": "ORDER_SHIPPED",
+    "delivered_at_utc": "ORDER_DELIVERED",
+}
+_ATTRIBUTES = ORDER_ATTRIBUTES[1:]
+_LATEST = ["latest_event_at_utc", "latest_producer_at_utc", "latest_event_id", "latest_event_type"]
+
+
+def event_states(events, customer="customer_id"):
+    """Each event as the state of an order that consists of it alone."""
+    kind, at = F.col("event_type"), F.col("event_time_utc")
+    return events.select(
+        "order_id",
+        *[F.when(kind == wanted, at).alias(name) for name, wanted in _MILESTONES.items()],
+        at.alias("latest_event_at_utc"),
+        F.col("producer_time_utc").alias("latest_producer_at_utc"),
+        F.col("event_id").alias("latest_event_id"),
+        kind.alias("latest_event_type"),
+        customer,
+        *_ATTRIBUTES,
+        (kind == "PAYMENT_CONFIRMED").cast("long").alias("payments"),
+        (kind == "REFUND_ISSUED").cast("long").alias("refunds"),
+        F.lit(1).cast("long").alias("event_count"),
+        kind.isin(_CANCELLED).alias("is_cancelled"),
+    )
+
 
-    Everything is one aggregation, so events are shuffled once and combined before. The
-    latest event is the greatest (event time, producer time, event id).
+def combine_states(states, customer="customer_id"):
+    """One state per order from any number of partial ones, in one aggregation.
+
+    Milestones are earliest times, the latest event is the greatest (event time, producer
+    time, event id) and gives the attributes. Least and greatest attribute tuple differ
+    exactly when an order has two, which `attributes_conflict` tells. All of it combines
+    before the shuffle, so a huge order costs no more than a small one.
     """
-    first = lambda kind: F.min(
-        F.when(F.col("event_type") == kind, F.col("event_time_utc"))
-    )
-    latest = F.max(
-        F.struct(
-            "event_time_utc",
-            "producer_time_utc",
-            "event_id",
-            "event_type",
-            "customer_id",
-            "order_total_vnd",
-            "payment_method",
-            "city",
-            "device",
-            "traffic_source",
-            "promo_code",
-        )
-    )
+    attributes = F.struct(customer, *_ATTRIBUTES)
     return (
-        events.groupBy("order_id")
+        states.groupBy("order_id")
         .agg(
-            first("ORDER_CREATED").alias("created_at_utc"),
-            first("PAYMENT_CONFIRMED").alias("paid_at_utc"),
-            first("ORDER_SHIPPED").alias("shipped_at_utc"),
-            first("ORDER_DELIVERED").alias("delivered_at_utc"),
-            latest.alias("latest"),
-            *_payment_flags(),
+            *[F.min(name).alias(name) for name in _MILESTONES],
+            F.max(F.struct(*_LATEST, customer, *_ATTRIBUTES)).alias("latest"),
+            (~F.min(attributes).eqNullSafe(F.max(attributes))).alias("attributes_conflict"),
+            F.sum("payments").alias("payments"),
+            F.sum("refunds").alias("refunds"),
+            F.sum("event_count").alias("event_count"),
+            F.bool_or("is_cancelled").alias("is_cancelled"),
         )
+        .select("*", "latest.*")
         .withColumns(
             {
                 "created_date_key": date_key("created_at_utc"),
                 "paid_date_key": date_key("paid_at_utc"),
                 "delivered_date_key": date_key("delivered_at_utc"),
-                "latest_event_type": F.col("latest.event_type"),
-                "latest_event_at_utc": F.col("latest.event_time_utc"),
+                "has_payment": F.col("payments") > 0,
+                "has_refund": F.col("refunds") > 0,
             }
         )
-        .select("*", *[f"latest.{c}" for c in ("customer_id", *FACT_ORDERS_COLUMNS[11:])])
         .drop("latest")
     )
 
 
-def order_states(events, dim_customer):
-    """fact_orders with the payment flags beside it, one row per order.
+def order_rollup(events):
+    """Per order: milestones, latest event with its attributes, and payment counts."""
+    return combine_states(event_states(events))
 
-    Keeping both in one row makes the 1:1 relation of orders and payment metrics free.
-    """
+
+def checked_order_states(events, dim_customer):
+    """`order_states` with `attributes_conflict` beside it."""
     return (
         order_rollup(events)
         .join(dim_customer, "customer_id")
-        .select(*FACT_ORDERS_COLUMNS, *PAYMENT_FLAGS)
+        .select(*ORDER_STATE_COLUMNS, "attributes_conflict")
+    )
+
+
+def order_states(events, dim_customer):
+    """fact_orders with its payment flags and what is needed to add later events.
+
+    Keeping both in one row makes the 1:1 relation of orders and payment metrics free.
+    """
+    return checked_order_states(events, dim_customer).select(*ORDER_STATE_COLUMNS)
+
+
+def extended_states(known, new):
+    """Known order states with new partial states added to them, and their check column."""
+    columns = [
+        "order_id", *_MILESTONES, *_LATEST, "customer_key", *_ATTRIBUTES,
+        "payments", "refunds", "event_count", "is_cancelled",
+    ]
+    both = known.select(*columns).unionByName(new.select(*columns))
+    return combine_states(both, "customer_key").select(
+        *ORDER_STATE_COLUMNS, "attributes_conflict"
     )
 
 

@@ -4,13 +4,17 @@ Every rule has a row form, which returns the offending rows as a DataFrame, and
 requiring form, which raises `QualityError` with the names of the broken rules.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from ordermill.functions.clock import is_text_date, rebuild_timestamp
 from ordermill.functions.text import any_unusable_id, blank_to_null, utf8_text
+from ordermill.operators.facts import order_rollup
 from ordermill.operators.parse import json_failed, tolerant_json
 from ordermill.operators.silver import comparable_bronze, events_from_silver, typed_columns
-from ordermill.schemas import BUSINESS_COLUMNS, EVENT_TYPES, ORDER_ATTRIBUTES
+from ordermill.schemas import BUSINESS_COLUMNS, EVENT_TYPES
 
 
 class QualityError(ValueError):
@@ -32,35 +36,45 @@ def _amount_problem(column):
     return _missing_or(column, F.col(column) < 0)
 
 
-def _event_rules():
+def _event_rules(event="event_time_utc", producer="producer_time_utc"):
     """Rules over rebuilt events; a value that could not be converted is NULL here."""
-    event, producer = F.col("event_time_utc"), F.col("producer_time_utc")
     return {
         "required id": any_unusable_id(_REQUIRED_IDS),
-        "event or producer time": event.isNull() | producer.isNull(),
+        "event or producer time": F.col(event).isNull() | F.col(producer).isNull(),
         "quantity": _missing_or("quantity", F.col("quantity") <= 0),
         "unit price": _amount_problem("unit_price_vnd"),
         "order total": _amount_problem("order_total_vnd"),
         "late flag": F.col("is_late_event").isNull(),
-        "producer before event": producer < event,
+        "producer before event": F.col(producer) < F.col(event),
         "event type": ~F.col("event_type").isin(EVENT_TYPES),
     }
 
 
-def _date_rules():
-    """Rules over the stored date and time texts."""
-    pairs = ["event", "producer", "loaded"]
-    texts = [F.col(f"{p}_date_utc") for p in pairs]
-    malformed = ~is_text_date(texts[0]) | ~is_text_date(texts[1]) | ~is_text_date(texts[2])
-    impossible = F.lit(False)
-    for pair, text in zip(pairs, texts):
-        time = F.col(f"{pair}_time_utc")
-        built = rebuild_timestamp(text, time, strict=False)
-        impossible = impossible | (text.isNotNull() & time.isNotNull() & built.isNull())
+_STAMPS = ["event", "producer", "loaded"]
+
+
+def _with_stamps(silver):
+    """Silver with each date and time text pair rebuilt beside it, NULL where impossible."""
+    return silver.withColumns(
+        {
+            f"_{s}": rebuild_timestamp(F.col(f"{s}_date_utc"), F.col(f"{s}_time_utc"), strict=False)
+            for s in _STAMPS
+        }
+    )
+
+
+def _silver_rules():
+    """All rules over Silver with its rebuilt stamps."""
+    text = lambda s: F.col(f"{s}_date_utc")
+    malformed = [~is_text_date(text(s)) for s in _STAMPS] + [F.col("loaded_time_utc").isNull()]
+    impossible = [
+        text(s).isNotNull() & F.col(f"{s}_time_utc").isNotNull() & F.col(f"_{s}").isNull()
+        for s in _STAMPS
+    ]
     return {
-        "date text": malformed | F.col("loaded_time_utc").isNull(),
-        "impossible date": impossible,
-    }
+        "date text": reduce(or_, malformed),
+        "impossible date": reduce(or_, impossible),
+    } | _event_rules("_event", "_producer")
 
 
 def _named(rules):
@@ -68,26 +82,32 @@ def _named(rules):
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
 
 
-def _silver_with_rules(silver):
-    dated = silver.withColumn("_dates", _named(_date_rules()))
-    rebuilt = {
-        c: rebuild_timestamp(F.col(c.replace("time", "date")), F.col(c), strict=False)
-        for c in ("event_time_utc", "producer_time_utc")
-    }
-    return dated.withColumns(rebuilt).select(
-        *BUSINESS_COLUMNS, F.concat("_dates", _named(_event_rules())).alias("rules")
-    )
-
-
 def silver_violations(silver):
-    """Silver rows that break a row rule, with the list of `rules` they break."""
-    return _silver_with_rules(silver).filter(F.size("rules") > 0)
+    """Silver rows that break a row rule, with the list of `rules` they break.
 
+    Only offending rows, which a plain filter finds, get a list built.
+    """
+    rules = _silver_rules()
+    shown = {"event_time_utc": F.col("_event"), "producer_time_utc": F.col("_producer")}
+    return (
+        _with_stamps(silver)
+        .filter(reduce(or_, rules.values()))
+        .select(*[shown.get(c, F.col(c)).alias(c) for c in BUSINESS_COLUMNS], _named(rules).alias("rules"))
+    )
 
-def _count_rules(frame):
-    """Offenders per rule name, in one pass over the rows."""
-    rows = frame.select(F.explode("rules").alias("rule")).groupBy("rule").count().collect()
-    return {r["rule"]: r["count"] for r in rows}
+
+def require_rows(silver):
+    """Stop on any broken row rule; all rules are counted in one pass over the rows."""
+    rules = _silver_rules()
+    counts = (
+        _with_stamps(silver)
+        .agg(*[F.count_if(test).alias(name) for name, test in rules.items()])
+        .first()
+        .asDict()
+    )
+    broken = {rule: n for rule, n in counts.items() if n}
+    if broken:
+        raise QualityError(broken)
 
 
 def duplicate_keys(frame, *key):
@@ -96,17 +116,8 @@ def duplicate_keys(frame, *key):
 
 
 def order_rules(events):
-    """Per order: attribute conflict, payments and refunds, in one shuffle.
-
-    Least and greatest attribute tuple differ exactly when there are two tuples, and
-    both are combined before the shuffle, so a huge order costs no more than a small one.
-    """
-    attributes = F.struct(*ORDER_ATTRIBUTES)
-    return events.groupBy("order_id").agg(
-        (~F.min(attributes).eqNullSafe(F.max(attributes))).alias("attributes_conflict"),
-        F.count_if(F.col("event_type") == "PAYMENT_CONFIRMED").alias("payments"),
-        F.count_if(F.col("event_type") == "REFUND_ISSUED").alias("refunds"),
-    )
+    """Per order: attribute conflict, payments and refunds."""
+    return order_rollup(events).select("order_id", "attributes_conflict", "payments", "refunds")
 
 
 _BAD_PAYMENTS = "payments > 1 or refunds > 1 or (refunds > 0 and payments = 0)"
@@ -155,14 +166,12 @@ def event_audit(events, bronze):
     )
 
 
-def require_source(silver, bronze):
-    """Stop unless Silver is complete, valid and equal to Bronze.
+def require_events(silver, bronze):
+    """Stop unless every Silver row is valid and Silver equals Bronze.
 
-    Returns the pass report: unique events, orders and Bronze rows.
+    Returns the number of unique events and of Bronze rows.
     """
-    broken = _count_rules(_silver_with_rules(silver))
-    if broken:
-        raise QualityError(broken)
+    require_rows(silver)
     events = events_from_silver(silver)
     audit = (
         event_audit(events, bronze)
@@ -185,15 +194,23 @@ def require_source(silver, bronze):
             raise QualityError({rule: audit[rule]})
     if audit["Bronze/Silver reconciliation"]:
         raise QualityError(audit)
-    report["orders"] = require_orders(events)
     return report
 
 
-def require_orders(events):
+def require_source(silver, bronze):
+    """Stop unless Silver may be loaded: `require_events` and the rules over orders.
+
+    Returns the pass report: unique events, orders and Bronze rows.
+    """
+    report = require_events(silver, bronze)
+    report["orders"] = require_orders(order_rules(events_from_silver(silver)))
+    return report
+
+
+def require_orders(states):
     """Stop on conflicting order attributes or payment patterns; returns the order count."""
     orders = (
-        order_rules(events)
-        .agg(
+        states.agg(
             F.count("*").alias("orders"),
             F.count_if("attributes_conflict").alias("order attributes conflict"),
             F.count_if(F.expr(_BAD_PAYMENTS)).alias("payment/refund pattern"),
@@ -207,13 +224,6 @@ def require_orders(events):
     return total
 
 
-def require_rows(silver):
-    """Stop on any broken row rule."""
-    broken = _count_rules(_silver_with_rules(silver))
-    if broken:
-        raise QualityError(broken)
-
-
 def _inbox_rules():
     """The basic checks before Silver; the producer time may still be missing."""
     blank = lambda c: blank_to_null(F.col(c)).isNull()

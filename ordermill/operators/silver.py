@@ -20,7 +20,7 @@ from ordermill.schemas import (
     SILVER,
     SILVER_EVENT_COLUMNS,
 )
-from ordermill.sources.store import read_or_empty
+from ordermill.sources.store import clustered, read_or_empty
 
 
 _NOT_NULL = ["event_id", "order_id", "event_type", "event_time_utc"]
@@ -131,7 +131,7 @@ def append_silver(spark, rows, path):
         rows, F.when(missing != "", F.concat(F.lit("Silver needs a value in: "), missing))
     )
     fresh = with_load_metadata(insert_absent(known, rows))
-    fresh.write.mode("append").parquet(path)
+    clustered(fresh, "event_date_utc").write.mode("append").parquet(path)
     return read_or_empty(spark, path, SILVER)
 
 

@@ -173,6 +173,23 @@ FACT_ORDERS_COLUMNS = [
 
 PAYMENT_FLAGS = ["has_payment", "has_refund", "is_cancelled"]
 
+# What a stored order needs beyond its fact columns, so that later events can be added
+# to it without reading the earlier ones.
+ORDER_STATE_COLUMNS = FACT_ORDERS_COLUMNS + [
+    "has_payment",
+    "has_refund",
+    "is_cancelled",
+    "latest_producer_at_utc",
+    "latest_event_id",
+    "product_id",
+    "category",
+    "quantity",
+    "unit_price_vnd",
+    "payments",
+    "refunds",
+    "event_count",
+]
+
 PAYMENT_METRICS_COLUMNS = [
     "order_id",
     "paid_date_key",

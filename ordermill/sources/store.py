@@ -3,7 +3,8 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-MANIFEST = "version long, table_name string, path string"
+MANIFEST = "version long, table_name string, part string, path string"
+WHOLE = ""
 
 
 def read_or_empty(spark, path, schema):
@@ -19,31 +20,41 @@ def read_or_empty(spark, path, schema):
 class VersionedTables:
     """Several tables published as one version.
 
-    Each version is a set of folders. A small manifest table names the folders of every
-    table in every version, and the greatest version is the current one. Its rows are
-    written last, in one file, so readers see the old set or the new set and never a mix.
-    A candidate that is not published is overwritten by the next attempt.
+    Each version is a set of folders, one or more per table and part. A small manifest
+    table names the folders of every version, and the greatest version is the current one.
+    Its rows are written last, in one file, so readers see the old set or the new set and
+    never a mix. A candidate that is not published is overwritten by the next attempt.
+
+    The current version is read once per object; a new object sees later versions.
     """
 
     def __init__(self, spark, root):
         self.spark = spark
         self.root = root.rstrip("/")
         self._manifest = f"{self.root}/_manifest"
+        self._state = None
 
-    def current(self):
-        """(version, {table: folders}); version 0 with no tables before the first publish."""
+    def _load(self):
         rows = read_or_empty(self.spark, self._manifest, MANIFEST)
-        version = rows.agg(F.max("version")).first()[0]
-        folders = {}
-        if version:
-            entries = rows.filter(F.col("version") == version).orderBy("table_name", "path")
-            for entry in entries.collect():
-                folders.setdefault(entry["table_name"], []).append(entry["path"])
-        return version or 0, folders
-
-    def read(self, name, schema):
-        """The current table, or no rows where it was never published."""
-        folders = self.current()[1].get(name)
+        newest = rows.agg(F.max("version")).scalar()
+        version, folders = 0, {}
+        for entry in rows.filter(F.col("version") == newest).orderBy("table_name", "path").collect():
+            version = entry["version"]
+            parts = folders.setdefault(entry["table_name"], {})
+            parts.setdefault(entry["part"], []).append(entry["path"])
+        return version, folders
+
+    def current(self):
+        """(version, {table: {part: folders}}); version 0 before the first publish."""
+        if self._state is None:
+            self._state = self._load()
+        return self._state
+
+    def read(self, name, schema, parts=None):
+        """The current table, or only some of its parts; no rows where there are none."""
+        known = self.current()[1].get(name, {})
+        chosen = known if parts is None else [p for p in known if p in parts]
+        folders = [path for part in chosen for path in known[part]]
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*folders)
@@ -57,19 +68,50 @@ class VersionedTables:
         frame.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
-    def publish(self, replaced=(), extended=()):
-        """Make staged tables current.
+    def stage_parts(self, name, frame, column):
+        """As `stage`, in one folder per value of `column`, which says where rows belong.
 
-        `replaced` tables consist of the staged folder alone, `extended` tables gain it,
-        and all others keep their folders.
+        Returns the rows and the folder of every part that has rows.
         """
-        version, folders = self.current()
+        path = self.candidate_path(name)
+        frame.write.mode("overwrite").partitionBy(column).parquet(path)
+        staged = self.spark.read.schema(frame.schema).parquet(path)
+        parts = [str(row[0]) for row in staged.select(column).distinct().collect()]
+        return staged.drop(column), {part: f"{path}/{column}={part}" for part in parts}
+
+    def publish(self, replaced=(), extended=(), parts=None):
+        """Make staged tables current; tables that are not named keep their folders.
+
+        `replaced` tables consist of the staged folder alone and `extended` tables gain it.
+        `parts` maps a table to the new folder of each changed part, None removing it.
+        """
+        version, known = self.current()
+        tables = {name: dict(folders) for name, folders in known.items()}
         for name in replaced:
-            folders[name] = [self.candidate_path(name)]
+            tables[name] = {WHOLE: [self.candidate_path(name)]}
         for name in extended:
-            folders[name] = [*folders.get(name, []), self.candidate_path(name)]
-        rows = [(version + 1, name, path) for name in folders for path in folders[name]]
+            folders = tables.setdefault(name, {})
+            folders[WHOLE] = [*folders.get(WHOLE, []), self.candidate_path(name)]
+        for name, changed in (parts or {}).items():
+            folders = tables.setdefault(name, {})
+            folders |= {part: [path] for part, path in changed.items()}
+            tables[name] = {p: f for p, f in folders.items() if f != [None]}
+        rows = [
+            (version + 1, name, part, path)
+            for name, folders in tables.items()
+            for part, paths in folders.items()
+            for path in paths
+        ]
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(
             self._manifest
         )
+        self._state = (version + 1, tables)
         return version + 1
+
+
+def clustered(frame, column):
+    """Evenly sized files, each holding few values of `column` in order.
+
+    Rebalancing splits a value that holds a large share of the rows over several files.
+    """
+    return frame.hint("rebalance", F.col(column)).sortWithinPartitions(column)
