@@ -1,5 +1,7 @@
 """Calendar, customer and product dimensions."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ordermill.functions.clock import date_key, iso_weekday, text_date
@@ -44,8 +46,9 @@ def new_dim_rows(dim, source, business_key, key):
     """Rows for the business keys of `source` that `dim` lacks.
 
     Keys continue after the greatest one, without gaps, in business-key order. The new
-    keys are range-sorted and saved, so that every pass sees the same partitions; the key
-    is then the rows in earlier partitions plus the position in the own one. No task
+    keys are range-sorted and written to the shared folder, so that every pass sees the
+    same partitions; the key is then the rows in earlier partitions plus the position in
+    the own one. No task
     holds more than one range, and only the per-partition counts are put together.
     """
     return number_new_keys(dim, source, business_key, key)[0]
@@ -54,21 +57,21 @@ def new_dim_rows(dim, source, business_key, key):
 def number_new_keys(dim, source, business_key, key):
     """`new_dim_rows`, and how many they are."""
     spark = source.sparkSession
-    shared_folder(spark)
     start = dim.agg(F.max(key)).first()[0]
     fresh = source.select(*business_key).distinct()
     if start is not None:
         fresh = fresh.join(dim.select(*business_key), business_key, "left_anti")
-    placed = (
+    path = f"{shared_folder(spark)}/ordermill/keys/{uuid.uuid4().hex}"
+    (
         fresh.repartitionByRange(*business_key)
         .sortWithinPartitions(*business_key)
         .withColumn("_id", F.monotonically_increasing_id())
-        .checkpoint()
-        .select(
-            *business_key,
-            F.shiftright("_id", _ROW_BITS).alias("_part"),
-            F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1).alias("_row"),
-        )
+        .write.parquet(path)
+    )
+    placed = spark.read.parquet(path).select(
+        *business_key,
+        F.shiftright("_id", _ROW_BITS).alias("_part"),
+        F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1).alias("_row"),
     )
     # One entry per partition of the sort, whatever the number of rows.
     counts = placed.groupBy("_part").agg(F.max("_row").alias("last")).collect()

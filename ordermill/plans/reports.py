@@ -66,9 +66,15 @@ def gross_by_category(star):
 
 
 def _top(frame, column, count):
-    """The rows that reach the value of place `count`; ties at that place are all kept."""
+    """The rows that reach the value of place `count`; ties at that place are all kept.
+
+    The place is found over whole rows, so that it reads the same aggregate as the result
+    and Spark computes that once.
+    """
     ranked = frame.filter(F.col(column).isNotNull())
-    last = ranked.orderBy(F.desc(column)).limit(count).agg(F.min(column)).scalar()
+    rest = [c for c in frame.columns if c != column]
+    top = ranked.orderBy(F.desc(column)).limit(count)
+    last = top.agg(F.min(F.struct(column, *rest)).getField(column)).scalar()
     return ranked.filter(F.col(column) >= last)
 
 
