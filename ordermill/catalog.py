@@ -9,17 +9,22 @@ from pyspark.sql import functions as F, types as T
 from ordermill.functions.text import blank_or_null_word_to_null, blank_to_null
 from ordermill.operators import dims, facts, parse, quality, setdiff, silver, upsert
 from ordermill.plans import measures, reports
-from ordermill.plans.layers import Layers, silver_rows, source_events
+from ordermill.plans.gold import gold_tables
+from ordermill.plans.layers import Layers, scratch, silver_rows, source_events
 from ordermill.plans.star import Slicers, business_only, slice_star
 from ordermill.schemas import (
     BUSINESS_COLUMNS,
+    DEFAULT_CLUSTER,
+    DEFAULT_TOPIC,
     DIM_CUSTOMER,
     DIM_PRODUCT,
     FACT_ORDERS_COLUMNS,
+    PAYMENT_METRICS_COLUMNS,
 )
 from ordermill.session import use_utc
 from ordermill.sources import delimited, derived, inbox
-from ordermill.streaming import windows
+from ordermill.sources.messages import MessageFolder
+from ordermill.streaming import ingest, windows
 
 SALES_MEASURES = [
     "total_orders",
@@ -419,7 +424,69 @@ def affected_orders(spark, sf_dir):
     return facts.fact_orders(facts.order_states(events, layers.dim_customer()))
 
 
+def bronze_csv(spark, sf_dir):
+    """Raw rows written as CSV files and loaded again with their types."""
+    path = f"{scratch(spark)}/raw"
+    derived.raw_sales(spark, sf_dir).write.options(
+        **delimited.DIALECT, timestampFormat="yyyy-MM-dd HH:mm:ss", emptyValue='""'
+    ).csv(path)
+    return delimited.read_bronze_csv(spark, path)
+
+
+def exported_metrics(spark, sf_dir):
+    """The payment metrics of the dashboard snapshot, read back as the text they hold."""
+    folder = scratch(spark)
+    delimited.export_snapshot(
+        {"order_payment_metrics": (_metrics(spark, sf_dir), "order_id")}, folder
+    )
+    path = f"{folder}/order_payment_metrics"
+    schema = ", ".join(f"{c} string" for c in PAYMENT_METRICS_COLUMNS)
+    return spark.read.schema(schema).options(**delimited.DIALECT).csv(path)
+
+
+def streamed_orders(spark, sf_dir):
+    """All messages as a stream: stored, cleaned and loaded batch by batch, then the orders."""
+    root = scratch(spark)
+    derived.messages(spark, sf_dir).write.parquet(f"{root}/topic")
+    to = ingest.Destination(
+        f"{root}/lake", DEFAULT_CLUSTER, DEFAULT_TOPIC, derived.TOPIC_ID
+    )
+    source = MessageFolder(f"{root}/topic", max_per_batch=1000)
+    ingest.start_ingest(
+        spark, source, to, f"{root}/state", "backfill", report=lambda text: None
+    ).awaitTermination()
+    return facts.fact_orders(gold_tables(to.gold(spark))["order_states"])
+
+
+def streamed_window_counts(spark, sf_dir):
+    """Finished event-time windows of the event table read as a stream."""
+    root = scratch(spark)
+    events = derived.table(spark, sf_dir, "events")
+    stream = (
+        spark.readStream.schema(events.schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+        .select(F.col("ts").cast("timestamp").alias("ts"))
+    )
+    query = (
+        windows.window_counts(stream, "ts")
+        .writeStream.format("parquet")
+        .option("path", f"{root}/windows")
+        .option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema("start timestamp, end timestamp, count long").parquet(
+        f"{root}/windows"
+    )
+
+
 _PLAIN = [
+    bronze_csv,
+    exported_metrics,
+    streamed_orders,
+    streamed_window_counts,
     bronze_typed,
     order_messages,
     silver_dedupe,

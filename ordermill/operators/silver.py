@@ -111,26 +111,26 @@ def with_load_metadata(rows):
     )
 
 
-def insert_absent(target, source, key="event_id"):
+def insert_absent(target, source, key="event_id", small_source=False):
     """Rows of `source` whose key is not in `target`.
 
-    Only target keys that also occur in the source are kept for the comparison, so a
-    small source is sent to the large target and the target is not shuffled.
+    For a small source the target keys are first narrowed to those of the source, which
+    is then the side that moves; the large target is filtered where it lies.
     """
-    hits = target.select(key).join(source.select(key), key, "left_semi")
-    return source.join(hits, key, "left_anti")
+    known = target.select(key)
+    if small_source:
+        known = known.join(source.select(key), key, "left_semi")
+    return source.join(known, key, "left_anti")
 
 
-def append_silver(spark, rows, path):
+def append_silver(spark, rows, path, small_source=False):
     """Append Silver-shaped rows with new ids; existing rows are never changed."""
     known = read_or_empty(spark, path, SILVER)
-    missing = F.concat_ws(
-        ", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in _NOT_NULL]
-    )
+    missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in _NOT_NULL])
     rows = fail_where(
         rows, F.when(missing != "", F.concat(F.lit("Silver needs a value in: "), missing))
     )
-    fresh = with_load_metadata(insert_absent(known, rows))
+    fresh = with_load_metadata(insert_absent(known, rows, small_source=small_source))
     clustered(fresh, "event_date_utc").write.mode("append").parquet(path)
     return read_or_empty(spark, path, SILVER)
 

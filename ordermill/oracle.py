@@ -386,6 +386,28 @@ def statements():
         "FROM m_events JOIN dim_product p USING (product_key) GROUP BY p.product_id"
     ).replace("SELECT product_id", "SELECT p.product_id")
     return {
+        "bronze_csv": _with(_RAW, f"SELECT {_show(BUSINESS_COLUMNS)} FROM raw"),
+        "exported_metrics": _with(
+            _GOLD,
+            "SELECT order_id, "
+            + ", ".join(
+                f"CASE WHEN {c} THEN 't' ELSE 'f' END AS {c}"
+                for c in ("has_payment", "has_refund", "is_cancelled")
+            )
+            + ", CAST(paid_date_key AS VARCHAR) AS paid_date_key, "
+            + ", ".join(
+                f"CAST(CAST({c} AS DECIMAL(28,2)) AS VARCHAR) AS {c}"
+                for c in ("order_total_vnd", "gross_paid_vnd", "refunded_vnd", "net_paid_vnd")
+            )
+            + " FROM pay",
+        ),
+        "streamed_orders": _with(_GOLD, f"SELECT {orders_shown} FROM fact_orders"),
+        "streamed_window_counts": (
+            f"SELECT {_stamp('w')} AS start, {_stamp('w + INTERVAL 5 MINUTE')} AS \"end\", "
+            "count(*) AS count FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS w FROM events) "
+            "GROUP BY w HAVING w + INTERVAL 5 MINUTE <= "
+            "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+        ),
         "bronze_typed": _with(_MESSAGES, f"SELECT {_show(BUSINESS_COLUMNS)} FROM decoded"),
         "order_messages": _with(
             _RAW,

@@ -6,13 +6,19 @@ asked for and then read by every report of the session, as reports read a loaded
 
 import hashlib
 import threading
+import uuid
 
 from ordermill.operators import dims, facts
-from ordermill.operators.silver import events_from_silver, newest_per_event, split_datetimes
-from ordermill.operators.silver import with_load_metadata
+from ordermill.operators.silver import (
+    events_from_silver,
+    newest_per_event,
+    split_datetimes,
+    with_load_metadata,
+)
 from ordermill.plans.star import Star
 from ordermill.session import shared_folder
 from ordermill.sources import derived
+from ordermill.sources.store import clustered
 
 _LOCK = threading.RLock()
 _WRITTEN = {}
@@ -29,6 +35,11 @@ def source_events(spark, sf_dir):
     return events_from_silver(silver_rows(spark, sf_dir))
 
 
+def scratch(spark):
+    """A new place in the shared folder for tables of one query."""
+    return f"{shared_folder(spark)}/ordermill/runs/{uuid.uuid4().hex}"
+
+
 class Layers:
     def __init__(self, spark, sf_dir):
         self._spark, self._sf_dir = spark, sf_dir
@@ -71,12 +82,18 @@ class Layers:
     def fact_sales_events(self):
         return self._table(
             "fact_sales_events",
-            lambda: facts.event_facts(self.events(), self.dim_customer(), self.dim_product()),
+            lambda: clustered(
+                facts.event_facts(self.events(), self.dim_customer(), self.dim_product()),
+                "event_date_key",
+            ),
         )
 
     def order_states(self):
         return self._table(
-            "order_states", lambda: facts.order_states(self.events(), self.dim_customer())
+            "order_states",
+            lambda: clustered(
+                facts.order_states(self.events(), self.dim_customer()), "paid_date_key"
+            ),
         )
 
     def star(self):

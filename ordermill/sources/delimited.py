@@ -7,6 +7,15 @@ from ordermill.schemas import BRONZE
 from ordermill.session import use_utc
 
 CORRUPT = "_corrupt_record"
+# Quotes inside a quoted field are doubled, and outer spaces belong to the value.
+DIALECT = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+# An empty field is NULL, a quoted empty field is empty text; no other text means NULL.
+TYPED = DIALECT | {"mode": "FAILFAST", "enforceSchema": False, "nullValue": "\0"}
 
 
 def read_bronze_csv(spark, path):
@@ -14,13 +23,13 @@ def read_bronze_csv(spark, path):
     return (
         use_utc(spark)
         .read.schema(BRONZE)
-        .options(header=True, mode="FAILFAST", enforceSchema=False)
+        .options(**TYPED)
         .csv(path)
     )
 
 
 def _checked_header(spark, path):
-    first = spark.read.options(header=False).csv(path).first()
+    first = spark.read.options(**DIALECT | {"header": False}).csv(path).first()
     names = [name.lstrip("﻿") if name else name for name in first] if first else []
     if (
         not {"event_id", "order_id"} <= set(names)
@@ -41,7 +50,7 @@ def scan_csv(spark, path):
     rows = (
         spark.read.schema(schema)
         .options(
-            header=True,
+            **DIALECT,
             mode="PERMISSIVE",
             columnNameOfCorruptRecord=CORRUPT,
             enforceSchema=False,
@@ -97,7 +106,7 @@ def ingest_csv_once(spark, folder, bronze_path, checkpoint):
     query = (
         use_utc(spark)
         .readStream.schema(BRONZE)
-        .options(header=True, mode="FAILFAST", enforceSchema=False)
+        .options(**TYPED)
         .csv(folder)
         .writeStream.format("parquet")
         .option("path", bronze_path)
@@ -126,6 +135,6 @@ def export_snapshot(tables, folder):
             .sortWithinPartitions(key)
             .select(*shown)
             .write.mode("overwrite")
-            .options(header=True, timestampFormat="yyyy-MM-dd HH:mm:ssx", emptyValue='""')
+            .options(**DIALECT, timestampFormat="yyyy-MM-dd HH:mm:ssx", emptyValue='""')
             .csv(f"{folder}/{name}")
         )

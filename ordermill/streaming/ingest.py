@@ -89,7 +89,9 @@ def affected_refresh(spark, to, rows):
     """Silver and Gold from the inbox rows of one batch; the rest is not read again."""
     decoded = decode_inbox(rows, to.cluster, to.topic)
     require_inbox_events(decoded)
-    silver = append_silver(spark, split_datetimes(newest_inbox_copy(decoded)), to.silver)
+    silver = append_silver(
+        spark, split_datetimes(newest_inbox_copy(decoded)), to.silver, small_source=True
+    )
     return refresh_gold(to.gold(spark), silver, bronze_from_inbox(rows, to.cluster, to.topic))
 
 

@@ -124,7 +124,8 @@ def test_silver_needs_its_keys(spark, folder, column):
 def test_insert_absent(spark):
     target = spark.createDataFrame([("a", 1), ("b", 1)], "event_id string, x int")
     source = spark.createDataFrame([("b", 2), ("c", 2)], "event_id string, x int")
-    assert values(silver.insert_absent(target, source)) == {("c", 2)}
+    for small in (False, True):
+        assert values(silver.insert_absent(target, source, small_source=small)) == {("c", 2)}
 
 
 def test_differences(spark):

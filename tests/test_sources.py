@@ -1,3 +1,4 @@
+import csv
 import glob
 
 import pytest
@@ -36,6 +37,11 @@ def test_typed_csv_keeps_duplicates(spark, tmp_path, bom):
     assert str(rows[0].order_total_vnd) == "200.00" and rows[0].is_late_event is False
 
 
+def test_typed_csv_tells_empty_from_missing(spark, tmp_path):
+    path = write(tmp_path, "a.csv", HEADER, LINE.format("E1", ""), LINE.format("E2", '""'))
+    assert [r.promo_code for r in delimited.read_bronze_csv(spark, path).collect()] == [None, ""]
+
+
 def test_typed_csv_refuses_bad_values(spark, tmp_path):
     path = write(tmp_path, "a.csv", HEADER, LINE.format("E1", "").replace(",2,", ",two,"))
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
@@ -96,6 +102,15 @@ def test_export_format(spark, folder):
     assert lines[0].endswith(",ADS,,t") and lines[1].endswith(',ADS,"",f')
 
 
+@pytest.mark.parametrize("value", ['say "hi", twice', " outer ", "a,b", "back\\slash", '"'])
+def test_csv_values_survive(spark, folder, value):
+    frame = bronze(spark, [event(city=value)])
+    delimited.export_snapshot({"t": (frame.select("event_id", "order_id", "city"), "event_id")}, folder("o"))
+    line = open(glob.glob(folder("o/t/part-*.csv"))[0], encoding="utf-8").read().splitlines()[1]
+    assert next(csv.reader([line]))[2] == value
+    assert delimited.strict_csv(spark, folder("o/t")).first().city == value
+
+
 def test_inbox_scenario(spark, folder):
     path = folder("inbox")
     batch = [

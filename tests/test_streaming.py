@@ -90,11 +90,11 @@ def test_failure_inside_a_batch(spark, folder, to, monkeypatch, broken):
     working = getattr(ingest, broken)
     calls = []
 
-    def fail_second(*args):
+    def fail_second(*args, **options):
         calls.append(1)
         if len(calls) == 2:
             raise RuntimeError("simulated loss")
-        return working(*args)
+        return working(*args, **options)
 
     monkeypatch.setattr(ingest, broken, fail_second)
     with pytest.raises(Exception, match="simulated loss"):
