@@ -54,13 +54,16 @@ _STAMPS = ["event", "producer", "loaded"]
 
 
 def _with_stamps(silver):
-    """Silver with each date and time text pair rebuilt beside it, NULL where impossible."""
-    return silver.withColumns(
-        {
-            f"_{s}": rebuild_timestamp(F.col(f"{s}_date_utc"), F.col(f"{s}_time_utc"), strict=False)
-            for s in _STAMPS
-        }
-    )
+    """Silver with each date and time text pair rebuilt beside it, NULL where impossible.
+
+    The generator keeps the rebuilding below the rules: they read its result, where a plain
+    projection would be copied into every rule of a filter.
+    """
+    rebuilt = [
+        rebuild_timestamp(F.col(f"{s}_date_utc"), F.col(f"{s}_time_utc"), strict=False).alias(f"_{s}")
+        for s in _STAMPS
+    ]
+    return silver.select("*", F.inline(F.array(F.struct(*rebuilt))))
 
 
 def _silver_rules():

@@ -16,7 +16,7 @@ from ordermill.operators.silver import (
     split_datetimes,
 )
 from ordermill.plans.gold import build_gold, refresh_gold
-from ordermill.schemas import INBOX, SILVER
+from ordermill.schemas import BUSINESS_COLUMNS, INBOX, SILVER
 from ordermill.session import use_utc
 from ordermill.sources.inbox import append_inbox, as_inbox_rows
 from ordermill.sources.messages import preview
@@ -86,13 +86,19 @@ def full_refresh(spark, to):
 
 
 def affected_refresh(spark, to, rows):
-    """Silver and Gold from the inbox rows of one batch; the rest is not read again."""
-    decoded = decode_inbox(rows, to.cluster, to.topic)
-    require_inbox_events(decoded)
-    silver = append_silver(
-        spark, split_datetimes(newest_inbox_copy(decoded)), to.silver, small_source=True
-    )
-    return refresh_gold(to.gold(spark), silver, bronze_from_inbox(rows, to.cluster, to.topic))
+    """Silver and Gold from the inbox rows of one batch; the rest is not read again.
+
+    The messages of the batch are parsed once.
+    """
+    decoded = decode_inbox(rows, to.cluster, to.topic).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        require_inbox_events(decoded)
+        silver = append_silver(
+            spark, split_datetimes(newest_inbox_copy(decoded)), to.silver, small_source=True
+        )
+        return refresh_gold(to.gold(spark), silver, decoded.select(*BUSINESS_COLUMNS))
+    finally:
+        decoded.unpersist()
 
 
 def take_batch(messages, to, incremental=True, report=print):
