@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from ordermill import catalog, oracle
 from tools.compare import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLES = oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,11 @@ def test_query(spark, sql, name):
         assert costly not in plan
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_flagship(spark):
     assert entry.entry(spark).columns == [
         "full_date", "gross_paid", "net_paid", "paid_orders", "refunded_amount"
