@@ -1,7 +1,13 @@
 """Small helpers that every text operator uses."""
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+import ordermill
+
 
 def packed(docs, **inputs):
     """One column `row` with the untouched input row, and the named inputs beside it.
@@ -33,3 +39,18 @@ def saved(frame):
 def table(spark, folder, name):
     """A given table, stored as one file or as a folder of files."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+_SHIPPED = "_ordermill_shipped"
+
+
+def ship(spark):
+    """Give the package to the Python workers, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, _SHIPPED, False):
+        return
+    root = Path(ordermill.__file__).parent
+    folder = tempfile.mkdtemp()  # the driver serves the file from here; tasks fetch it from the driver
+    archive = shutil.make_archive(f"{folder}/ordermill", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    setattr(context, _SHIPPED, True)

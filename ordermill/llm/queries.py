@@ -2,6 +2,12 @@
 
 from ordermill.llm.exact_dedup import exact_dedup
 from ordermill.llm.frames import table
+from ordermill.llm.language_codes import identify
+
+
+def op2_language_codes(spark, sf_dir):
+    found = identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -9,7 +15,7 @@ def op3_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_language_codes, op3_exact_dedup)}
 
 # As DuckDB runs them over the same tables.
 SQL = {
