@@ -62,3 +62,14 @@ def of_repeats(frame, key, rows, most_words=MOST_WORDS):
     entries = frame.select(_place(F.col(key), bits), _mask(F.col(key)))
     again = entries.groupBy("word", "mask").count().where("count > 1")
     return Bloom(again.groupBy("word").agg(F.bit_or("mask").alias("bits")), bits)
+
+
+def without(frame, key, gone):
+    """Rows of `frame` whose key is not among the keys of `gone` (same column name).
+
+    Rows that the filter of `gone` does not hold pass straight through; only the others are
+    shuffled and joined.
+    """
+    tested = of_keys(gone, key, gone.count()).tested(frame, key, "_maybe")
+    straight = tested.where(~F.col("_maybe"))
+    return straight.unionByName(tested.where("_maybe").join(gone.select(key), key, "left_anti")).drop("_maybe")

@@ -3,6 +3,7 @@
 from ordermill.llm.exact_dedup import exact_dedup
 from ordermill.llm.frames import table
 from ordermill.llm.language_codes import identify
+from ordermill.llm.partenum import jaccard_components
 
 
 def op2_language_codes(spark, sf_dir):
@@ -15,7 +16,12 @@ def op3_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_codes, op3_exact_dedup)}
+def op4_partenum_join(spark, sf_dir):
+    found = jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_language_codes, op3_exact_dedup, op4_partenum_join)}
 
 # As DuckDB runs them over the same tables.
 SQL = {

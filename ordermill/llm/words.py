@@ -56,11 +56,25 @@ def blocks(places, limit=BLOCK):
         row = end
 
 
-def hash_words(data, lower=False):
-    """Where the words of a byte array start, where they end, and their hashes."""
-    space = _SPACE[data]
-    edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-    starts, ends = edges[0::2], edges[1::2]
+def pieces(batches, column="text", limit=8 * BLOCK):
+    """Arrow batches cut so that the strings of `column` hold about `limit` bytes in each."""
+    for batch in batches:
+        for first, last in blocks(text_bytes(batch.column(column))[1], limit):
+            yield batch.slice(first, last - first)
+
+
+def hash_words(data, places, lower=False):
+    """Where the words of each text start and end, their hashes, and each text's first word.
+
+    `places` says where each text begins in `data`; a word does not reach into the next text.
+    """
+    word = ~_SPACE[data]
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[places] = True
+    after = np.concatenate(([False], word[:-1])) if len(word) else word
+    starts = np.flatnonzero(word & (~after | begins[:-1]))
+    before = np.concatenate((word[1:], [False])) if len(word) else word
+    ends = np.flatnonzero(word & (~before | begins[1:])) + 1
     hashes = np.empty(len(starts), dtype=U)
     first = 0
     while first < len(starts):
@@ -75,7 +89,7 @@ def hash_words(data, lower=False):
             s, e = starts[first:last] - begin, ends[first:last] - begin
             hashes[first:last] = mix((sums[e] - sums[s]) * _DOWN[s] + (e - s).astype(U))
         first = last
-    return starts, ends, hashes
+    return starts, ends, hashes, np.searchsorted(starts, places)
 
 
 def _long_word(data, lower):

@@ -1,0 +1,101 @@
+"""PartEnum join against the comparison of all pairs."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from ordermill.llm import queries
+from ordermill.llm.partenum import Threshold, jaccard_components, one_of_each
+
+SF = "/root/testdata/sf0.001"
+
+
+def shingles(text, size=4):
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not found:
+        return set()
+    return {tuple(found[k : k + size]) for k in range(max(1, len(found) - size + 1))}
+
+
+def brute(texts, threshold=85):
+    """{id: (set size, smallest id reachable)} from all pairs."""
+    sets = {k: shingles(x) for k, x in texts.items()}
+    root = {k: k for k in texts}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    names = sorted(texts)
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            A, B = sets[a], sets[b]
+            if A and B and min(len(A), len(B)) * 100 >= threshold * max(len(A), len(B)):
+                if 100 * len(A & B) >= threshold * len(A | B):
+                    x, y = sorted((top(a), top(b)))
+                    root[y] = x
+    return {k: (len(sets[k]), top(k)) for k in texts}
+
+
+def result(frame):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in frame.collect()}
+
+
+def test_query_against_all_pairs(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert result(queries.QUERIES["op4_partenum_join"](spark, SF)) == brute(texts)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_of_all_distances(spark, seed):
+    dice = random.Random(seed)
+    texts = {}
+    for family in range(8):
+        base = [f"w{dice.randrange(4000)}" for _ in range(dice.choice([7, 12, 30, 80, 200, 420]))]
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(dice.choice([0, 1, 1, 2, 3, 6])):
+                at = dice.randrange(len(copy))
+                copy[at : at + dice.choice([0, 1])] = [f"x{dice.randrange(40)}"]
+            texts[len(texts)] = " ".join(copy)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert result(jaccard_components(frame)) == brute(texts)
+
+
+def test_a_shared_line_links_nothing(spark):
+    line = " ".join(f"common{k}" for k in range(40))
+    texts = {k: f"{line} " + " ".join(f"w{k}x{j}" for j in range(20)) for k in range(300)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert result(jaccard_components(frame)) == brute(texts)
+
+
+def test_defined_results(spark):
+    long = " ".join(f"t{k}" for k in range(60_000))
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "A b"), (5, "a  B"), (6, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"),
+            (8, long), (9, long + " end"), (None, "a b c d e"), (10, "é b"), (11, "É b"), (12, "one two three four")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"KEY": F.lit(1), "node": F.lit(2)})
+    found = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_components(frame).collect())
+    assert found == [
+        (0, 2, 6), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 2, 6), (7, 2, 6), (7, 2, 6),
+        (8, 59997, 8), (9, 59998, 8), (10, 1, 10), (11, 1, 11), (12, 1, 12),
+    ]
+    kept = one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [1, 2, 3, 4, 6, 8, 10, 11, 12]
+    assert jaccard_components(frame.limit(0)).collect() == []
+    assert one_of_each(frame.where("doc_id < 4")).count() == 3
+
+
+def test_bands_meet_every_pair_that_can_link():
+    limits = Threshold(85)
+    import numpy as np
+
+    for small in range(1, 300):
+        for large in range(small, small * 100 // 85 + 1):
+            a, b = limits.band(np.array([small, large]))
+            assert b - a in (0, 1)
+            shared = -(-85 * (small + large) // 185)
+            assert small + large - 2 * shared <= limits.most_different([b])[0]
