@@ -2,6 +2,7 @@
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -22,17 +23,18 @@ def _column(source):
     return F.col(source) if isinstance(source, str) else source
 
 
-def saved(frame):
-    """Cut the lineage by a table in the folder that `spark.checkpoint.dir` names.
-
-    A lost executor costs nothing that is saved. Only a session without that setting, as in
-    tests, gets a folder below its warehouse.
-    """
-    spark = frame.sparkSession
+def shared_folder(spark):
+    """The folder that `spark.checkpoint.dir` names; without that setting, as in tests, one in the warehouse."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
     if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        context.setCheckpointDir(named)
+    return named
+
+
+def saved(frame):
+    """Cut the lineage by a table in the shared folder; a lost executor costs nothing that is saved."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
@@ -41,6 +43,13 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def reread(frame):
+    """Write a frame as Parquet into the shared folder, and read it."""
+    folder = f"{shared_folder(frame.sparkSession)}/stage-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.parquet(folder)
+
+
 _SHIPPED = "_ordermill_shipped"
 
 

@@ -4,6 +4,12 @@ from ordermill.llm.exact_dedup import exact_dedup
 from ordermill.llm.frames import table
 from ordermill.llm.language_codes import identify
 from ordermill.llm.partenum import jaccard_components
+from ordermill.llm.poisson_mix import mix_sources
+from ordermill.llm.template_decontamination import contaminated
+
+
+def op1_template_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_language_codes(spark, sf_dir):
@@ -21,7 +27,20 @@ def op4_partenum_join(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_codes, op3_exact_dedup, op4_partenum_join)}
+def op7_poisson_mix(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents")).select("row.*", "copy", "place")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_template_decontamination,
+        op2_language_codes,
+        op3_exact_dedup,
+        op4_partenum_join,
+        op7_poisson_mix,
+    )
+}
 
 # As DuckDB runs them over the same tables.
 SQL = {
@@ -34,4 +53,22 @@ SQL = {
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op7_poisson_mix": r"""
+        WITH sizes AS (
+            SELECT source, sum(length(text)) AS size FROM documents GROUP BY source HAVING sum(length(text)) > 0),
+        means AS (
+            SELECT source, sqrt(size) / (SELECT sum(sqrt(size)) FROM sizes)
+                           * (SELECT sum(size) FROM sizes) / size AS mean FROM sizes),
+        terms AS (
+            SELECT source, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS term
+            FROM means, LATERAL (SELECT unnest(range(CAST(ceil(mean + 12 * sqrt(mean) + 30) AS BIGINT) + 1)) AS k)),
+        steps AS (
+            SELECT source, k AS copy, sum(term) OVER (PARTITION BY source ORDER BY k) AS step FROM terms)
+        SELECT d.*, CAST(copy AS INTEGER) AS copy,
+               CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), 'null'), copy, '20', 'place')), 1, 13)
+                    AS BIGINT) / 4503599627370496.0 AS place
+        FROM documents d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source
+         AND s.step <= CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), 'null'), '20')), 1, 13)
+                            AS BIGINT) / 4503599627370496.0
+    """,
 }
