@@ -42,7 +42,8 @@ def _grouped(again):
 
 
 def _first_of_its_id():
-    return F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(0))) == 1
+    # One struct, so that rows of a large group are dealt out anew and the join before can be split.
+    return F.row_number().over(Window.partitionBy(F.struct("text_sha256", "doc_id")).orderBy(F.lit(0))) == 1
 
 
 def exact_dedup(docs, id_col="doc_id", text_col="text"):
