@@ -6,10 +6,10 @@ of one band that link differ in at most k = floor(2r(1-t)/(1+t)) elements. The d
 hashes is cut into k + 1 + slack ranges: then at least 1 + slack ranges hold the same elements in
 both sets. The hash of what a set holds in one range is a signature.
 
-A range in which a set holds nothing says nothing, and would meet most sets of a band. With at
-most `slack` empty ranges a set needs no signature for them: one of the 1 + slack equal ranges
-has elements. A set with more empty ranges gives signatures for those too; if it links only with
-sets that have few, an equal range with elements exists for the pair already.
+A range that holds little says little: empty ones would meet most sets of a band. So a set drops
+the `slack` ranges with the fewest elements (equal numbers in the order of a hash of the content).
+This loses no pair: both sets order the 1 + slack or more equal ranges in the same way, and a set
+that dropped the last of these would have dropped the others before, more than `slack` in all.
 
 Equal sets are one node, known by a 64-bit hash and its size. Buckets of a signature are not
 expanded into pairs. In turn
@@ -40,105 +40,109 @@ class Threshold:
         self.bands = [1]
 
     def band(self, sizes):
-        """The band of each size and, as a table, the largest size of each band."""
-        while self.bands[-1] <= sizes.max(initial=1):
+        """The band of each size; `bands` has their smallest sizes, up to that of the next band but one."""
+        while len(self.bands) < 3 or self.bands[-3] <= sizes.max(initial=1):
             self.bands.append(self.bands[-1] * self.whole // self.part + 1)
         starts = np.array(self.bands)
         return np.searchsorted(starts, sizes, side="right") - 1
 
-    def most_different(self, band):
+    def most_different(self, bands):
         """How many elements two linked sets of a band (or of it and the one below) may differ in."""
-        largest = np.array([self.bands[b] * self.whole // self.part for b in band])
-        return 2 * largest * (self.whole - self.part) // (self.whole + self.part)
+        largest = np.array(self.bands) * self.whole // self.part
+        return (2 * largest * (self.whole - self.part) // (self.whole + self.part))[bands]
 
 
-def _document_sets(column, size):
-    """For each text the sorted distinct hashes of its word n-grams (lower case)."""
+def _sets(column, size):
+    """For blocks of texts the sorted distinct hashes of their word n-grams, and how many each has."""
     data, places = words.text_bytes(column)
     for first, last in words.blocks(places):
         begin, end = places[first], places[last]
         _, _, hashes, cuts = words.hash_words(data[begin:end], places[first : last + 1] - begin, lower=True)
-        for k in range(last - first):
-            yield _gram_set(hashes[cuts[k] : cuts[k + 1]], size)
-
-
-def _gram_set(hashes, size):
-    if len(hashes) < size:
-        return words.windows(hashes, len(hashes)) if len(hashes) else hashes
-    return np.unique(words.windows(hashes, size))
-
-
-def _node(elements):
-    """A hash of the whole set."""
-    return words.mix(elements.sum(dtype=U) + words.mix(U(len(elements))))
-
-
-def _signatures(elements, threshold):
-    """Signatures of one set, for its own band and for the next."""
-    own = int(threshold.band(np.array([len(elements)]))[0])
-    threshold.band(np.array([threshold.bands[own + 1]]))
-    found = []
-    for band in (own, own + 1):
-        most = int(threshold.most_different([band])[0])
-        if not most:
-            continue  # only equal sets link, and those are one node
-        slack = 1 + most // 20
-        ranges = most + 1 + slack
-        at = ((elements >> U(11)).astype(np.float64) * (ranges / 2.0**53)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(at, prepend=-1))
-        held = words.mix(np.add.reduceat(elements, cuts))
-        tags = words.mix(at[cuts].astype(U) + U(band << 40))
-        found.append(words.mix(held + tags))
-        if ranges - len(cuts) > slack:
-            empty = np.setdiff1d(np.arange(ranges), at[cuts])
-            found.append(words.mix(words.mix(empty.astype(U) + U(band << 40)) ^ U(0x5555)))
-    return np.concatenate(found) if found else np.zeros(0, dtype=U)
-
-
-def _lists(arrays):
-    """An Arrow list column of numpy arrays of unsigned 64-bit numbers."""
-    lengths = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype=U)
-    return pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat.view(np.int64)))
-
-
-def _node_column(sets):
-    return pa.array([_node(x).view(np.int64) if len(x) else None for x in sets], pa.int64())
+        counts = np.diff(cuts)
+        short = np.flatnonzero((counts > 0) & (counts < size))
+        grams = words.windows(hashes, size)
+        grams = np.concatenate((grams, np.zeros(len(hashes) - len(grams), dtype=U)))
+        for row in short:
+            grams[cuts[row]] = words.windows(hashes[cuts[row] : cuts[row + 1]], counts[row])[0]
+        held = np.where(counts < size, np.minimum(counts, 1), counts - size + 1)
+        for at, n in zip(cuts[:-1].tolist(), held.tolist(), strict=True):
+            grams[at : at + n].sort()
+        rows = np.repeat(np.arange(last - first), held)
+        grams = grams[np.arange(held.sum()) + np.repeat(cuts[:-1] - np.cumsum(held) + held, held)]
+        new = np.ones(len(grams), dtype=bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (rows[1:] != rows[:-1])
+        yield grams[new], np.bincount(rows[new], minlength=last - first)
+
+
+def _nodes(elements, counts):
+    """A hash of each whole set; null for an empty one."""
+    some = np.flatnonzero(counts)
+    found = np.zeros(len(counts), dtype=U)
+    if len(some):
+        found[some] = np.add.reduceat(elements, (np.cumsum(counts) - counts)[some])
+    return pa.array(words.mix(found + words.mix(counts.astype(U))).view(np.int64), mask=counts == 0)
+
+
+def _signatures(elements, counts, threshold, step):
+    """Signatures of all sets for their own band (step 0) or the next (1), and the set of each."""
+    bands = threshold.band(counts) + step
+    bands = np.maximum(bands, 0)
+    most = threshold.most_different(bands)
+    most[counts == 0] = 0  # where nothing may differ, linked sets are equal and one node
+    slack = 1 + most // 8
+    ranges = np.where(most > 0, most + 1 + slack, 0)
+    rows = np.repeat(np.arange(len(counts)), counts)
+    taken = most[rows] > 0
+    rows, elements = rows[taken], elements[taken]
+    if not len(rows):
+        return np.zeros(0, dtype=U), rows
+    at = ((elements >> U(11)).astype(np.float64) * (ranges[rows] / 2.0**53)).astype(np.int64)
+    cuts = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(rows, prepend=-1) != 0))
+    held = words.mix(np.add.reduceat(elements, cuts))
+    sizes, rows, at = np.diff(np.append(cuts, len(elements))), rows[cuts], at[cuts]
+    empty = ranges - np.bincount(rows, minlength=len(counts))
+    signatures = words.mix(held + words.mix(at.astype(U) + (bands[rows].astype(U) << U(40))))
+    order = np.lexsort((held, sizes, rows))
+    rank = np.arange(len(order)) - np.searchsorted(rows, rows[order])  # lightest first, within each set
+    kept = order[rank >= np.maximum(0, slack - empty)[rows[order]]]
+    found = [signatures[kept]], [rows[kept]]
+    for row in np.flatnonzero(empty > slack):  # more empty ranges than may be dropped: they are signatures too
+        left = np.setdiff1d(np.arange(ranges[row]), at[rows == row])
+        found[0].append(words.mix(~words.mix(left.astype(U) + (U(bands[row]) << U(40)))))
+        found[1].append(np.full(len(left), row))
+    return np.concatenate(found[0]), np.concatenate(found[1])
 
 
 def _described(batches, size):
-    for batch in words.pieces(batches):
-        sets = list(_document_sets(batch.column("text"), size))
-        sizes = pa.array([len(x) for x in sets], pa.int64())
-        columns = [batch.column("doc_id"), batch.column("key"), sizes, _node_column(sets)]
+    for batch in batches:
+        sets = [(_nodes(elements, counts), counts) for elements, counts in _sets(batch.column("text"), size)]
+        nodes = pa.concat_arrays([x for x, _ in sets]) if sets else pa.array([], pa.int64())
+        sizes = np.concatenate([x for _, x in sets]) if sets else np.zeros(0)
+        columns = [batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), nodes]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "node"])
 
 
 def _signed(batches, size, threshold):
-    for batch in words.pieces(batches):
-        sets = [x for x in _document_sets(batch.column("text"), size) if len(x)]
-        columns = [_node_column(sets), _lists([_signatures(x, threshold) for x in sets])]
-        yield pa.RecordBatch.from_arrays(columns, ["node", "signatures"])
-
-
-def _texts_with_nodes(batches, size):
-    for batch in words.pieces(batches):
-        nodes = _node_column(_document_sets(batch.column("text"), size))
-        yield pa.RecordBatch.from_arrays([nodes, batch.column("text")], ["node", "text"])
+    for batch in batches:
+        for elements, counts in _sets(batch.column("text"), size):
+            nodes = _nodes(elements, counts)
+            for step in (0, 1):
+                signatures, rows = _signatures(elements, counts, threshold, step)
+                columns = [pa.array(signatures.view(np.int64)), nodes.take(pa.array(rows))]
+                yield pa.RecordBatch.from_arrays(columns, ["signature", "node"])
 
 
 def _with_sets(batches, size):
-    for batch in words.pieces(batches):
-        sets = _lists(list(_document_sets(batch.column("text"), size)))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "elements"])
+    for batch in batches:
+        for elements, counts in _sets(batch.column("text"), size):
+            cuts = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(elements.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([_nodes(elements, counts), lists], ["node", "elements"])
 
 
 def _shared_signatures(texts, size, threshold):
     """(signature, node, low, high): the nodes under each signature that two nodes have."""
-    signed = texts.mapInArrow(
-        lambda b: _signed(b, size, threshold), "node long, signatures array<long>"
-    )
-    entries = signed.select(F.explode("signatures").alias("signature"), "node")
+    entries = texts.mapInArrow(lambda b: _signed(b, size, threshold), "signature long, node long")
     ends = entries.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = saved(ends.where("low <> high"))
     # Only entries that may have a shared signature are shuffled a second time.
@@ -146,13 +150,14 @@ def _shared_signatures(texts, size, threshold):
     return saved(maybe.select("signature", "node").join(shared, "signature").distinct())
 
 
-def _node_sets(texts, nodes, size):
+def _node_sets(rows, described, nodes, size):
     """(node, elements, n) for the given nodes, from one text of each."""
-    known = texts.mapInArrow(lambda b: _texts_with_nodes(b, size), "node long, text string")
-    maybe = bloom.of_keys(nodes, "node", nodes.count()).tested(known, "node", "maybe").where("maybe")
-    one = maybe.groupBy("node").agg(F.any_value("text").alias("text")).join(nodes, "node", "left_semi")
-    sets = one.mapInArrow(lambda b: _with_sets(b, size), "node long, elements array<long>")
-    return saved(sets.withColumn("n", F.size("elements")))
+    chosen = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    chosen = saved(chosen.select("key").distinct())
+    maybe = bloom.of_keys(chosen, "key", chosen.count()).tested(rows.select("key", "text"), "key", "maybe")
+    texts = maybe.where("maybe").join(chosen, "key", "left_semi").select("text")
+    sets = texts.mapInArrow(lambda b: _with_sets(b, size), "node long, elements array<long>")
+    return saved(sets.dropDuplicates(["node"]).withColumn("n", F.size("elements")))
 
 
 def _fits(a, b, threshold):
@@ -179,10 +184,10 @@ def _mixed(members, labels):
     return known.join(ends.where("least <> top.label"), "signature")
 
 
-def _node_labels(texts, size, threshold):
+def _node_labels(rows, described, size, threshold):
     """(node, label) of every node that links to another one."""
-    members = _shared_signatures(texts, size, threshold)
-    sets = _node_sets(texts, members.select("node").distinct(), size)
+    members = _shared_signatures(rows.select("text"), size, threshold)
+    sets = _node_sets(rows, described, members.select("node").distinct(), size)
     stars = members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
     links = saved(_verified(stars, sets, threshold))
     mixed = _mixed(members, components(links)).where("label <> top.label")
@@ -216,7 +221,7 @@ def jaccard_components(docs, id_col="doc_id", text_col="text", size=4, threshold
         f"doc_id {dict(docs.dtypes)[id_col]}, key long, n_shingles long, node long",
     )
     described = saved(described)
-    labels = _node_labels(rows.select("text"), size, limits)
+    labels = _node_labels(rows, described, size, limits)
     known = described.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = known.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first"))
     return known.join(first, "label", "left").select(

@@ -56,13 +56,6 @@ def blocks(places, limit=BLOCK):
         row = end
 
 
-def pieces(batches, column="text", limit=8 * BLOCK):
-    """Arrow batches cut so that the strings of `column` hold about `limit` bytes in each."""
-    for batch in batches:
-        for first, last in blocks(text_bytes(batch.column(column))[1], limit):
-            yield batch.slice(first, last - first)
-
-
 def hash_words(data, places, lower=False):
     """Where the words of each text start and end, their hashes, and each text's first word.
 
