@@ -6,6 +6,7 @@ input: a larger input fills it more densely, which lets more rows through the te
 result. On large machines `most_words` may be raised.
 """
 
+import numpy as np
 from pyspark.sql import functions as F
 
 MOST_WORDS = 1 << 21
@@ -24,12 +25,28 @@ def _mask(key):
     return a.bitwiseOR(b).bitwiseOR(c).alias("mask")
 
 
+def holds(bitmap, bits, keys):
+    """For numpy arrays: whether the bitmap of a filter may hold each unsigned 64-bit key."""
+    one = np.uint64(1)
+    mask = np.zeros(len(keys), dtype=np.uint64)
+    for n in range(3):
+        mask |= one << ((keys >> np.uint64(6 * n)) & np.uint64(63))
+    return bitmap[keys >> np.uint64(64 - bits)] & mask == mask
+
+
 class Bloom:
     """`table` is (word, bits); `bits` the number of bits that name a word."""
 
     def __init__(self, table, bits):
         self.table, self.bits = table, bits
 
+    def bitmap(self):
+        """All words as one numpy array, for use in tasks; at most `MOST_WORDS` of them."""
+        found = self.table.toArrow()
+        words = np.zeros(1 << self.bits, dtype=np.uint64)
+        words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+        return words
+
     def tested(self, frame, key, name):
         """`frame` with a boolean: false if the key is surely not in the filter."""
         joined = frame.withColumns({"_word": _place(F.col(key), self.bits), "_mask": _mask(F.col(key))}).join(

@@ -5,6 +5,7 @@ from ordermill.llm.frames import table
 from ordermill.llm.language_codes import identify
 from ordermill.llm.partenum import jaccard_components
 from ordermill.llm.poisson_mix import mix_sources
+from ordermill.llm.recompression import drop_repeats
 from ordermill.llm.template_decontamination import contaminated
 
 
@@ -27,6 +28,10 @@ def op4_partenum_join(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op5_recompression(spark, sf_dir):
+    return drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_poisson_mix(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("row.*", "copy", "place")
 
@@ -38,6 +43,7 @@ QUERIES = {
         op2_language_codes,
         op3_exact_dedup,
         op4_partenum_join,
+        op5_recompression,
         op7_poisson_mix,
     )
 }
