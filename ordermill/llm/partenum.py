@@ -160,19 +160,19 @@ def _node_sets(rows, described, nodes, size):
     return saved(sets.dropDuplicates(["node"]).withColumn("n", F.size("elements")))
 
 
-def _fits(a, b, threshold):
+def fits(a, b, threshold):
     """Whether sets of these sizes can link at all: the smaller one must make up enough of the larger."""
     return F.least(a, b).cast("long") * threshold.whole >= F.greatest(a, b).cast("long") * threshold.part
 
 
-def _verified(pairs, sets, threshold):
+def verified(pairs, sets, threshold):
     """The pairs (a, b) of nodes whose sets link."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"), F.col("n").alias("m"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("right"), "n")
     both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("left", "right")).cast("long")
     links = threshold.whole * shared >= threshold.part * (F.col("m") + F.col("n") - shared)
-    return both.where(_fits(F.col("m"), F.col("n"), threshold)).where(links).select("a", "b")
+    return both.where(fits(F.col("m"), F.col("n"), threshold)).where(links).select("a", "b")
 
 
 def _mixed(members, labels):
@@ -189,16 +189,16 @@ def _node_labels(rows, described, size, threshold):
     members = _shared_signatures(rows.select("text"), size, threshold)
     sets = _node_sets(rows, described, members.select("node").distinct(), size)
     stars = members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
-    links = saved(_verified(stars, sets, threshold))
+    links = saved(verified(stars, sets, threshold))
     mixed = _mixed(members, components(links)).where("label <> top.label")
     stars = mixed.select(F.col("top.node").alias("a"), F.col("node").alias("b"))
-    links = saved(links.unionByName(_verified(stars, sets, threshold)))
+    links = saved(links.unionByName(verified(stars, sets, threshold)))
     left = saved(_mixed(members, components(links)).join(sets.select("node", "n"), "node"))
     left = left.select("signature", "node", "label", "n")
     right = left.select("signature", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
     across = left.withColumnRenamed("node", "a").join(right, "signature")
-    across = across.where(F.col("label") < F.col("other")).where(_fits(F.col("n"), F.col("m"), threshold))
-    return components(links.unionByName(_verified(across, sets, threshold)))
+    across = across.where(F.col("label") < F.col("other")).where(fits(F.col("n"), F.col("m"), threshold))
+    return components(links.unionByName(verified(across, sets, threshold)))
 
 
 def jaccard_components(docs, id_col="doc_id", text_col="text", size=4, threshold=85):

@@ -8,6 +8,7 @@ from ordermill.llm.chat_rendering import digests, render
 from ordermill.llm.exact_dedup import exact_dedup
 from ordermill.llm.frames import shared_folder, table
 from ordermill.llm.language_codes import identify
+from ordermill.llm.line_dedup import drop_similar_lines
 from ordermill.llm.partenum import jaccard_components
 from ordermill.llm.poisson_mix import mix_sources
 from ordermill.llm.recompression import drop_repeats
@@ -39,6 +40,10 @@ def op5_recompression(spark, sf_dir):
     return drop_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return drop_similar_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_poisson_mix(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("row.*", "copy", "place")
 
@@ -88,6 +93,7 @@ QUERIES = {
         op3_exact_dedup,
         op4_partenum_join,
         op5_recompression,
+        op6_line_dedup,
         op7_poisson_mix,
         op8_chat_rendering,
         op9_secret_ownership,
