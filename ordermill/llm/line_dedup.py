@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ordermill.llm import bloom, words
+from ordermill.llm.counts import bucket, bucket_counts
 from ordermill.llm.frames import packed, saved, ship
 from ordermill.llm.partenum import Threshold, fits, verified
 
 U = words.U
 BUCKET_BITS = 18
-BLOCK = 1 << 10
 THRESHOLD = 80
 
 
@@ -56,7 +56,7 @@ def _line_sets(column, counts):
     """As above, with the distinct words of each line, rarest first."""
     for row, number, hashes, sizes in _line_words(column):
         line = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((hashes, counts[hashes >> U(64 - BUCKET_BITS)], line))
+        order = np.lexsort((hashes, counts[bucket(hashes, BUCKET_BITS)], line))
         line, hashes = line[order], hashes[order]
         new = np.ones(len(line), dtype=bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
@@ -71,28 +71,10 @@ def _nodes(tokens, sizes):
     return words.mix(sums + words.mix(sizes.astype(U))).view(np.int64)
 
 
-def _bucket_counts(batches):
-    total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+def _word_hashes(batches):
     for batch in batches:
         for _, _, hashes, _ in _line_words(batch.column("text")):
-            total += np.bincount((hashes >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
-    parts = total.reshape(-1, BLOCK)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(parts.tolist(), pa.list_(pa.int64()))], ["block", "n"])
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    parts = np.stack([np.asarray(x.values) for x in table.column("n")]).sum(axis=0)
-    return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([parts.tolist()], pa.list_(pa.int64()))})
-
-
-def word_rarity(texts):
-    """How many words of the corpus fall into each hash bucket: a numpy array of 2^BUCKET_BITS counts."""
-    parts = texts.mapInArrow(_bucket_counts, "block long, n array<long>")
-    found = parts.groupBy("block").applyInArrow(_summed, "block long, n array<long>").toArrow()
-    total = np.zeros((1 << BUCKET_BITS) // BLOCK * BLOCK, dtype=np.int64).reshape(-1, BLOCK)
-    for block, n in zip(found["block"].to_pylist(), found["n"].to_pylist(), strict=True):
-        total[block] = n
-    return total.reshape(-1)
+            yield hashes
 
 
 def _lines(batches, shared):
@@ -176,7 +158,7 @@ def drop_similar_lines(docs, id_col="doc_id", text_col="text", threshold=THRESHO
     limits = Threshold(threshold)
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = packed(docs, doc_id=id_col, text=text_col, key=key).drop("row")
-    shared = spark.sparkContext.broadcast(word_rarity(rows.select("text")))
+    shared = spark.sparkContext.broadcast(bucket_counts(rows.select("text"), _word_hashes, BUCKET_BITS))
     kind = dict(docs.dtypes)[id_col]
     lines = rows.mapInArrow(lambda b: _lines(b, shared), f"doc_id {kind}, key long, line int, node long, n int")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")

@@ -1,21 +1,57 @@
-"""Connected components of links between nodes, by rounds of joins."""
+"""Connected components of links between nodes."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ordermill.llm.frames import saved
+from ordermill.llm.frames import saved, ship
 
+TASK_LINKS = 500_000
 
-def components(links):
+
+def components(links, task_links=TASK_LINKS):
     """(node, label) for every node of `links` (a, b): label is the smallest node it reaches.
 
-    Each round points every node to the smallest node near it, first from the larger neighbours,
-    then from the smaller ones, so that each component shrinks to a star; the number of rounds
-    grows with the logarithm of the longest chain. A round sums per node before it shuffles and
-    joins the sums back, so that a component with a third of all nodes is in no single task. Each
-    round is saved in the shared folder.
+    Each task first joins up to `task_links` links into trees of depth one. If one task holds all
+    links, these are the components. Otherwise rounds of joins follow: each points every node to
+    the smallest node near it, first from the larger neighbours, then from the smaller ones, so
+    that each component shrinks to a star; the number of rounds grows with the logarithm of the
+    longest chain. A round sums per node before it shuffles and joins the sums back, so that a
+    component with a third of all nodes is in no single task. Each round is saved in the shared
+    folder.
     """
-    edges = links.select("a", "b").where("a <> b")
-    edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    ship(links.sparkSession)
+    edges = saved(links.select("a", "b").where("a <> b"))
+    tasks = -(-edges.count() // task_links)
+    stars = edges.coalesce(max(1, tasks)).mapInArrow(_stars, "a long, b long")
+    return _labels(saved(stars) if tasks < 2 else _joined(stars))
+
+
+def _stars(batches):
+    """Links of one task as (node, smallest node that it reaches)."""
+    root = {}
+
+    def top(node):
+        path = []
+        while (above := root.setdefault(node, node)) != node:
+            path.append(node)
+            node = above
+        for k in path:
+            root[k] = node
+        return node
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    found = [(node, top(node)) for node in list(root)]
+    found = [x for x in found if x[0] != x[1]]
+    columns = list(zip(*found, strict=True)) or [(), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+
+def _joined(stars):
+    edges = saved(stars.distinct())
     before = _sums(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,10 +62,14 @@ def components(links):
         edges = saved(pointed.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
         after = _sums(edges)
         if after == before:
-            break
+            return edges
         before = after
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
+
+
+def _labels(stars):
+    """A star's nodes and its centre, each with its label."""
+    centres = stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(centres)
 
 
 def _sums(edges):

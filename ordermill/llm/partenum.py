@@ -6,10 +6,12 @@ of one band that link differ in at most k = floor(2r(1-t)/(1+t)) elements. The d
 hashes is cut into k + 1 + slack ranges: then at least 1 + slack ranges hold the same elements in
 both sets. The hash of what a set holds in one range is a signature.
 
-A range that holds little says little: empty ones would meet most sets of a band. So a set drops
-the `slack` ranges with the fewest elements (equal numbers in the order of a hash of the content).
-This loses no pair: both sets order the 1 + slack or more equal ranges in the same way, and a set
-that dropped the last of these would have dropped the others before, more than `slack` in all.
+A range whose elements are all frequent in the corpus, such as those of a shared passage, would
+meet many sets, and an empty one most of a band. So a set drops `slack` ranges: empty ones first,
+then those whose rarest element is most frequent (equal numbers in the order of a hash of the
+content). Frequencies are counted over all sets, in hash buckets. This loses no pair: both sets
+order the 1 + slack or more equal ranges in the same way, and a set that dropped the last of these
+would have dropped the others before, more than `slack` in all.
 
 Equal sets are one node, known by a 64-bit hash and its size. Buckets of a signature are not
 expanded into pairs. In turn
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ordermill.llm import bloom, words
+from ordermill.llm.counts import bucket, bucket_counts
 from ordermill.llm.frames import packed, saved, ship
 from ordermill.llm.links import components
 
 U = words.U
+BUCKET_BITS = 19
 
 
 class Threshold:
@@ -83,13 +87,13 @@ def _nodes(elements, counts):
     return pa.array(words.mix(found + words.mix(counts.astype(U))).view(np.int64), mask=counts == 0)
 
 
-def _signatures(elements, counts, threshold, step):
+def _signatures(elements, counts, threshold, step, frequency):
     """Signatures of all sets for their own band (step 0) or the next (1), and the set of each."""
     bands = threshold.band(counts) + step
     bands = np.maximum(bands, 0)
     most = threshold.most_different(bands)
     most[counts == 0] = 0  # where nothing may differ, linked sets are equal and one node
-    slack = 1 + most // 8
+    slack = 1 + most // 4
     ranges = np.where(most > 0, most + 1 + slack, 0)
     rows = np.repeat(np.arange(len(counts)), counts)
     taken = most[rows] > 0
@@ -99,11 +103,12 @@ def _signatures(elements, counts, threshold, step):
     at = ((elements >> U(11)).astype(np.float64) * (ranges[rows] / 2.0**53)).astype(np.int64)
     cuts = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(rows, prepend=-1) != 0))
     held = words.mix(np.add.reduceat(elements, cuts))
-    sizes, rows, at = np.diff(np.append(cuts, len(elements))), rows[cuts], at[cuts]
+    rarest = np.minimum.reduceat(frequency[bucket(elements, BUCKET_BITS)], cuts)
+    rows, at = rows[cuts], at[cuts]
     empty = ranges - np.bincount(rows, minlength=len(counts))
     signatures = words.mix(held + words.mix(at.astype(U) + (bands[rows].astype(U) << U(40))))
-    order = np.lexsort((held, sizes, rows))
-    rank = np.arange(len(order)) - np.searchsorted(rows, rows[order])  # lightest first, within each set
+    order = np.lexsort((held, -rarest, rows))
+    rank = np.arange(len(order)) - np.searchsorted(rows, rows[order])  # most frequent first, within each set
     kept = order[rank >= np.maximum(0, slack - empty)[rows[order]]]
     found = [signatures[kept]], [rows[kept]]
     for row in np.flatnonzero(empty > slack):  # more empty ranges than may be dropped: they are signatures too
@@ -122,12 +127,18 @@ def _described(batches, size):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "node"])
 
 
-def _signed(batches, size, threshold):
+def _elements(batches, size):
+    for batch in batches:
+        for elements, _ in _sets(batch.column("text"), size):
+            yield elements
+
+
+def _signed(batches, size, threshold, shared):
     for batch in batches:
         for elements, counts in _sets(batch.column("text"), size):
             nodes = _nodes(elements, counts)
             for step in (0, 1):
-                signatures, rows = _signatures(elements, counts, threshold, step)
+                signatures, rows = _signatures(elements, counts, threshold, step, shared.value)
                 columns = [pa.array(signatures.view(np.int64)), nodes.take(pa.array(rows))]
                 yield pa.RecordBatch.from_arrays(columns, ["signature", "node"])
 
@@ -142,12 +153,14 @@ def _with_sets(batches, size):
 
 def _shared_signatures(texts, size, threshold):
     """(signature, node, low, high): the nodes under each signature that two nodes have."""
-    entries = texts.mapInArrow(lambda b: _signed(b, size, threshold), "signature long, node long")
+    frequency = bucket_counts(texts, lambda b: _elements(b, size), BUCKET_BITS)
+    shared = texts.sparkSession.sparkContext.broadcast(frequency)
+    entries = texts.mapInArrow(lambda b: _signed(b, size, threshold, shared), "signature long, node long")
     ends = entries.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = saved(ends.where("low <> high"))
+    common = saved(ends.where("low <> high"))
     # Only entries that may have a shared signature are shuffled a second time.
-    maybe = bloom.of_keys(shared, "signature", shared.count()).tested(entries, "signature", "maybe").where("maybe")
-    return saved(maybe.select("signature", "node").join(shared, "signature").distinct())
+    maybe = bloom.of_keys(common, "signature", common.count()).tested(entries, "signature", "maybe").where("maybe")
+    return saved(maybe.select("signature", "node").join(common, "signature").distinct())
 
 
 def _node_sets(rows, described, nodes, size):
