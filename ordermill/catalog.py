@@ -464,8 +464,7 @@ def streamed_window_counts(spark, sf_dir):
     events = derived.table(spark, sf_dir, "events")
     stream = (
         spark.readStream.schema(events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
+        .parquet(f"{sf_dir}/events.parquet")
         .select(F.col("ts").cast("timestamp").alias("ts"))
     )
     query = (

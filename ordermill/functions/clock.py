@@ -10,11 +10,13 @@ _TEXT_STAMP = f"{TEXT_DATE} HH:mm:ss[.SSSSSS]"
 def iso_timestamp(text, strict=True):
     """ISO text, with or without an offset, as an instant.
 
-    Words such as `now` or `infinity` are no event times; they are refused.
+    It needs a whole date: words such as `now`, a time alone and a year or month alone are no
+    event times; they are refused.
     """
+    dated = text.rlike("^ *[0-9]{4,6}-[0-9]{1,2}-[0-9]{1,2}([ T]|$)")
     if not strict:
-        return F.when(text.rlike("^ *[0-9]"), text.try_cast("timestamp"))
-    return F.when(text.rlike("^ *[0-9]"), text.cast("timestamp")).when(
+        return F.when(dated, text.try_cast("timestamp"))
+    return F.when(dated, text.cast("timestamp")).when(
         text.isNotNull(),
         F.raise_error(F.concat(F.lit("not a timestamp: "), text)).cast("timestamp"),
     )

@@ -1,7 +1,5 @@
 """Session settings and the shared folder used to cut lineage."""
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -32,12 +30,12 @@ def use_utc(spark):
 def shared_folder(spark):
     """The folder every executor can reach, as named by the cluster.
 
-    A folder of our own is set only when the session names none, as in local tests.
+    Only when the session names none, as in local tests, it is a folder of the warehouse.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named and not context.getCheckpointDir():
         context.setCheckpointDir(named)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ordermill-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return named or context.getCheckpointDir()

@@ -36,7 +36,7 @@ def _checked_header(spark, path):
         or None in names
         or len(names) != len(set(names))
     ):
-        raise ValueError("CSV needs unique headers that include event_id and order_id")
+        raise ValueError(f"header without event_id or order_id, or with a repeated or empty name: {names}")
     return names
 
 
@@ -78,7 +78,7 @@ def scan_csv(spark, path):
 def strict_csv(spark, path):
     """As `scan_csv`, but the first bad row fails the job."""
     rows = scan_csv(spark, path)
-    text = F.concat(F.lit("Malformed CSV record: "), F.col("reject_reason"))
+    text = F.concat(F.lit("CSV row refused: "), F.col("reject_reason"))
     return fail_where(rows, text).drop("reject_reason")
 
 
@@ -118,23 +118,28 @@ def ingest_csv_once(spark, folder, bronze_path, checkpoint):
     return spark.read.schema(BRONZE).parquet(bronze_path)
 
 
+def _exported(field):
+    column = F.col(field.name)
+    if isinstance(field.dataType, T.BooleanType):
+        return F.when(column, "t").when(~column, "f")
+    if isinstance(field.dataType, T.TimestampType):
+        fraction = F.regexp_replace(F.date_format(column, ".SSSSSS"), r"\.?0+$", "")
+        return F.concat(F.date_format(column, "yyyy-MM-dd HH:mm:ss"), fraction, F.lit("+00"))
+    return column
+
+
 def export_snapshot(tables, folder):
     """Each (frame, key) of `tables` as CSV with header, sorted by key across its files.
 
-    Booleans are t/f and instants carry +00, as the measures expect.
+    Booleans are t/f and instants carry +00, as the measures expect, with the fraction they have.
     """
     for name, (frame, key) in tables.items():
-        shown = [
-            F.when(F.col(f.name), "t").when(~F.col(f.name), "f").alias(f.name)
-            if isinstance(f.dataType, T.BooleanType)
-            else F.col(f.name)
-            for f in frame.schema
-        ]
+        shown = [_exported(f).alias(f.name) for f in frame.schema]
         (
             frame.repartitionByRange(key)
             .sortWithinPartitions(key)
             .select(*shown)
             .write.mode("overwrite")
-            .options(**DIALECT, timestampFormat="yyyy-MM-dd HH:mm:ssx", emptyValue='""')
+            .options(**DIALECT, emptyValue='""')
             .csv(f"{folder}/{name}")
         )

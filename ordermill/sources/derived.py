@@ -16,17 +16,9 @@ def table(spark, sf_dir, name):
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(frame):
-    """Use every core where a small file would give fewer tasks than cores."""
-    wanted = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= wanted else frame.repartition(wanted)
-
-
 def _numbered_events(spark, sf_dir):
     """Business columns plus `k` (order number), `n` (event number) and `cp` (copy)."""
-    orders = _spread(
-        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
     parts = part.count()
 

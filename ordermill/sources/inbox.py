@@ -74,41 +74,50 @@ def new_inbox_rows(batch, inbox):
     )
 
 
-def foreign_topic_rows(batch, topic):
-    return batch.filter(~F.col("topic").eqNullSafe(F.lit(topic)))
+def _spans(batch):
+    """A scan filter: for each source partition of the batch, its own offsets only.
+
+    Offsets of different partitions have nothing to do with each other. There is one term for
+    each partition of the topic.
+    """
+    source = [c for c in INBOX_KEY if c != "kafka_offset"]
+    spans = batch.groupBy(*source).agg(F.min("kafka_offset").alias("low"), F.max("kafka_offset").alias("high"))
+    test = F.lit(False)
+    for span in spans.collect():
+        place = F.col("kafka_offset").between(span["low"], span["high"])
+        for column in source:
+            place = place & F.col(column).eqNullSafe(F.lit(span[column]))
+        test = test | place
+    return test
 
 
 def append_inbox(spark, batch, path, topic):
     """Append what is new in `batch`; an invalid batch raises and writes nothing.
 
-    Stored rows are looked up only in the offset span of the batch, so the files outside
-    of it are skipped. Rerunning a batch adds nothing, also after a lost commit. The batch
-    is read twice, so a caller whose source is slow should persist it.
+    Stored rows are looked up only in the offset span of the batch, partition by partition,
+    so the files outside of it are skipped. Rerunning a batch adds nothing, also after a lost
+    commit. The batch is read three times, so a caller whose source is slow should persist it.
     """
     checked = None
     try:
         seen = batch.agg(
             F.count("*").alias("read"),
-            F.min("kafka_offset").alias("low"),
-            F.max("kafka_offset").alias("high"),
             F.count_if(~F.col("topic").eqNullSafe(F.lit(topic))).alias("foreign"),
             F.count_if((F.col("partition_id") < 0) | (F.col("kafka_offset") < 0)).alias("bad"),
         ).first()
         if seen["read"] == 0:
             return AppendResult(0, 0)
         if seen["foreign"]:
-            raise ValueError("Unexpected topic in batch")
+            raise ValueError(f"{seen['foreign']} rows come from a topic other than {topic}")
         if seen["bad"]:
             raise ValueError("Negative partition or offset in batch")
-        inbox = read_or_empty(spark, path, INBOX).filter(
-            F.col("kafka_offset").between(seen["low"], seen["high"])
-        )
+        inbox = read_or_empty(spark, path, INBOX).filter(_spans(batch))
         checked = compare_with_inbox(batch, inbox).persist(StorageLevel.MEMORY_AND_DISK)
         state = checked.agg(
             F.count_if("conflict").alias("conflicts"), F.count_if(~F.col("known")).alias("new")
         ).first()
         if state["conflicts"]:
-            raise ValueError("Same source coordinates with different contents; batch refused")
+            raise ValueError(f"{state['conflicts']} coordinates hold a second, different message")
         if state["new"]:
             (
                 checked.filter("not known")

@@ -1,8 +1,6 @@
 """Messages to the inbox, and on to Silver and Gold, batch by batch."""
 
-import hashlib
-import json
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass, fields
 
 from pyspark.storagelevel import StorageLevel
 
@@ -45,37 +43,20 @@ class Destination:
     def gold(self, spark):
         return VersionedTables(spark, f"{self.root}/gold")
 
-    def binding(self):
-        return json.dumps(
-            {
-                "destination": self.root,
-                "source_cluster": self.cluster,
-                "topic": self.topic,
-                "topic_id": self.topic_id,
-            },
-            sort_keys=True,
-        )
-
 
-def bound_checkpoint(spark, folder, binding):
-    """The checkpoint of one source and destination; one bound to another is refused.
+def claim_progress(spark, folder, to):
+    """The offsets folder inside `folder`, which serves one destination for good.
 
-    The binding is kept beside the checkpoint, whose own folder is named by its digest.
+    The first ingest leaves a one-row table of its destination there; a later one with any
+    other column value would skip or repeat messages, so it is turned away.
     """
-    path = f"{folder}/ingest-{hashlib.sha256(binding.encode()).hexdigest()[:24]}"
-    claim_checkpoint(spark, path, binding)
-    return f"{path}/state"
-
-
-def claim_checkpoint(spark, path, binding):
-    """Write the binding of a new checkpoint, or compare it with the one written before."""
-    stored = read_or_empty(spark, f"{path}/binding", "binding string").collect()
-    if not stored:
-        spark.createDataFrame([(binding,)], "binding string").coalesce(1).write.parquet(
-            f"{path}/binding"
-        )
-    elif [row["binding"] for row in stored] != [binding]:
-        raise RuntimeError("Checkpoint belongs to another source or destination")
+    given = spark.createDataFrame([astuple(to)], [f.name for f in fields(to)])
+    owner = read_or_empty(spark, f"{folder}/owner", given.schema)
+    if owner.isEmpty():
+        given.coalesce(1).write.parquet(f"{folder}/owner")
+    elif not owner.exceptAll(given).isEmpty():
+        raise RuntimeError(f"{folder} keeps the progress of {owner.first()}, not of {to}")
+    return f"{folder}/offsets"
 
 
 def full_refresh(spark, to):
@@ -130,10 +111,13 @@ def run_preview(spark, source, to, rows=1000, incremental=False):
 
 
 def start_ingest(spark, source, to, checkpoints, mode="stream", incremental=True, report=print):
-    """Start the ingest query: `backfill` ends when caught up, `stream` keeps waiting."""
+    """Start the ingest query: `backfill` ends when caught up, `stream` keeps waiting.
+
+    `checkpoints` is the folder of this one query's progress.
+    """
     if mode not in ("stream", "backfill"):
         raise ValueError(f"unknown mode: {mode}")
-    location = bound_checkpoint(use_utc(spark), checkpoints, to.binding())
+    location = claim_progress(use_utc(spark), checkpoints, to)
     trigger = {"availableNow": True} if mode == "backfill" else {"processingTime": STREAM_TRIGGER}
 
     def store(batch, batch_id):

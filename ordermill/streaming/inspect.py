@@ -1,9 +1,12 @@
 """Watching a message stream without storing it."""
 
+from pyspark.storagelevel import StorageLevel
+
 from ordermill.operators.parse import batch_summary, message_text, parse_events
 from ordermill.session import use_utc
 
 INSPECT_TRIGGER = "5 seconds"
+# The fields of a sample.
 SHOWN = [
     "event_id",
     "order_id",
@@ -24,8 +27,12 @@ def start_inspection(spark, source, checkpoint, report, once=False):
     parsed = parse_events(message_text(source.stream(use_utc(spark))))
 
     def inspect(batch, batch_id):
-        summary = batch_summary(batch).orderBy("partition").collect()
-        report(batch_id, summary, batch.select(*SHOWN).limit(5).collect())
+        batch.persist(StorageLevel.MEMORY_AND_DISK)  # parsed once for both reports
+        try:
+            summary = batch_summary(batch).orderBy("partition").collect()
+            report(batch_id, summary, batch.select(*SHOWN).limit(5).collect())
+        finally:
+            batch.unpersist()
 
     trigger = {"availableNow": True} if once else {"processingTime": INSPECT_TRIGGER}
     return (

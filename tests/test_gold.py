@@ -193,6 +193,16 @@ def test_refresh_refuses_a_conflicting_version(spark, store, folder):
     assert store.current() == version
 
 
+@pytest.mark.parametrize("days", [1, 62, 63, 200])
+def test_refresh_refuses_a_second_stored_copy(spark, store, folder, days):
+    batch = [event(f"E{k}", f"ORD-{k:04d}", hours=24 * k) for k in range(days)]
+    stored = append_silver(spark, split_datetimes(newest_per_event(bronze(spark, batch))), folder("silver"))
+    other_day = split_datetimes(bronze(spark, [event("E0", "ORD-0000", hours=24 * 900)]))
+    twice = stored.unionByName(other_day, allowMissingColumns=True)
+    with pytest.raises(QualityError, match="reconciliation: 1"):
+        gold.refresh_gold(store, twice, bronze(spark, batch))
+
+
 def test_published_changes_are_visible(spark, store):
     load(spark, store, rows())
     before = gold.gold_tables(store)
