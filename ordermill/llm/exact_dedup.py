@@ -15,7 +15,7 @@ text exactly one stays; an empty table gives an empty result; other columns are
 from pyspark.sql import Window, functions as F
 
 from ordermill.llm import bloom
-from ordermill.llm.frames import packed
+from ordermill.llm.frames import packed, saved
 
 
 def normal_text(text):
@@ -37,7 +37,8 @@ def _grouped(again):
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"),
         F.count("*").alias("group_size"),
     )
-    groups = groups.select("text_sha256", F.col("first.doc_id").alias("keep_id"), "group_size")
+    # Saved, so that the join deals out both sides itself and can split a large group.
+    groups = saved(groups.select("text_sha256", F.col("first.doc_id").alias("keep_id"), "group_size"))
     return again.join(groups, "text_sha256")
 
 
