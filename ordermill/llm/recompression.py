@@ -173,7 +173,8 @@ def repeated_windows(rows, size=WINDOW, rounds=ROUNDS):
     table = bloom.of_keys(shared, "name", shared.count())
     sent = rows.sparkSession.sparkContext.broadcast((table.bitmap(), table.bits))
     found = rows.mapInArrow(lambda b: _candidates(b, size, rounds, sent), "hash long, key long, place int")
-    again = found.groupBy("hash").count().where("count > 1").select("hash")
+    # Saved, so that the join deals out both sides itself and can split a frequent window.
+    again = saved(found.groupBy("hash").count().where("count > 1").select("hash"))
     return found.join(again, "hash").select("key", "place")
 
 
