@@ -236,7 +236,8 @@ def jaccard_components(docs, id_col="doc_id", text_col="text", size=4, threshold
     described = saved(described)
     labels = _node_labels(rows, described, size, limits)
     known = described.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = known.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first"))
+    # Saved, so that the join deals out both sides itself and can split a large group.
+    first = saved(known.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first")))
     return known.join(first, "label", "left").select(
         "doc_id", "key", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id")
     )
