@@ -166,7 +166,7 @@ def drop_similar_lines(docs, id_col="doc_id", text_col="text", threshold=THRESHO
     firsts = saved(lines.groupBy("node").agg(F.min("first").alias("first")).withColumn("key", F.col("first.key")))
     late = _late_nodes(rows, firsts, shared, limits).withColumn("late", F.lit(True))
     state = firsts.join(late, "node", "left").select("node", F.col("first").alias("head"), "late")
-    gone = lines.join(state, "node").where("late OR first <> head")
+    gone = lines.join(saved(state), "node").where("late OR first <> head")
     gone = saved(gone.groupBy("key").agg(F.collect_list("line").alias("gone")))  # no more than a text has lines
     tested = bloom.of_keys(gone, "key", gone.count()).tested(rows, "key", "maybe")
     straight = tested.where("NOT maybe").withColumn("gone", F.lit(None).cast("array<int>"))

@@ -88,6 +88,7 @@ def find_secrets(docs, id_col="doc_id", text_col="text", owner_col="source", rep
     apart = each.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one"))
     by_owner = apart.groupBy("value", "owner").agg(F.count("*").alias("repositories"))
     owned = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    owned = saved(owned)  # so that the join deals out both sides itself and can split a frequent value
     known = each.join(owned, "value").withColumn("live", F.col("owners") < example_owners)
     known = known.where(F.col("live") | (F.col("kind") != OPAQUE))
     rank = F.element_at(F.create_map(*[x for kind, k in _ORDER.items() for x in (F.lit(kind), F.lit(k))]), F.col("kind"))

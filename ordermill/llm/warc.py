@@ -32,7 +32,7 @@ from pyspark.sql import Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith
 
 from ordermill.llm import bloom
-from ordermill.llm.frames import packed, ship
+from ordermill.llm.frames import packed, saved, ship
 
 LEAST_BYTES = 1000
 RANGE_BYTES = 64 << 20
@@ -123,7 +123,8 @@ def write_archives(pages, folder, id_col="page_id", url_col="url", html_col="htm
     alone = tested.where("NOT again").withColumns({"refers_to": F.lit(None).cast(dict(rows.dtypes)["page_id"]), "revisit": F.lit(False)})
     again = tested.where("again")
     heads = again.groupBy("digest").agg(F.max(F.struct(F.col("page_id").isNotNull(), "page_id")).alias("head"))
-    heads = heads.select("digest", F.col("head.page_id").alias("refers_to"))
+    # Saved, so that the join deals out both sides itself and can split a frequent payload.
+    heads = saved(heads.select("digest", F.col("head.page_id").alias("refers_to")))
     first = F.row_number().over(Window.partitionBy(F.struct("digest", "page_id")).orderBy(F.lit(0))) == 1
     again = again.join(heads, "digest").withColumn("revisit", ~(F.col("page_id").eqNullSafe(F.col("refers_to")) & first))
     columns = ["page_id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "digest", "size", "refers_to", "revisit"]
