@@ -59,12 +59,14 @@ def loads(spark, sf_dir, root, times):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    root = tempfile.mkdtemp(prefix="ordermill-bench-")  # local mode: one machine has it all
     spark = build_session(
         "ordermill-bench",
         f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": f"{root}/shared",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
@@ -74,7 +76,6 @@ def main():
     drain(derived.raw_sales(spark, sf_dir))
     for name, query in catalog.QUERIES.items():
         timed(times, name, lambda: drain(query(spark, sf_dir)))
-    root = tempfile.mkdtemp(prefix="ordermill-bench-")
     try:
         loads(spark, sf_dir, root, times)
     finally:

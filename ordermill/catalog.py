@@ -462,9 +462,10 @@ def streamed_window_counts(spark, sf_dir):
     """Finished event-time windows of the event table read as a stream."""
     root = scratch(spark)
     events = derived.table(spark, sf_dir, "events")
+    # As a pattern, the path may be one file or a folder of files.
     stream = (
         spark.readStream.schema(events.schema)
-        .parquet(f"{sf_dir}/events.parquet")
+        .parquet(f"{sf_dir}/events.parque[t]")
         .select(F.col("ts").cast("timestamp").alias("ts"))
     )
     query = (

@@ -4,7 +4,7 @@ from ordermill.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "ordermill-tests",
         "local[4]",
@@ -12,6 +12,7 @@ def spark():
             "spark.sql.shuffle.partitions": 4,
             "spark.ui.enabled": "false",
             "spark.sql.streaming.metricsEnabled": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -38,6 +38,13 @@ def test_query(spark, sql, name):
         assert costly not in plan
 
 
+def test_a_streamed_table_may_be_a_folder(spark, folder):
+    spark.read.parquet(f"{SF}/events.parquet").repartition(5).write.parquet(folder("events.parquet"))
+    name = "streamed_window_counts"
+    one, many = QUERIES[name](spark, SF), QUERIES[name](spark, folder("").rstrip("/"))
+    assert rows_of(one.columns, one.collect()) == rows_of(many.columns, many.collect())
+
+
 def test_all_are_registered():
     assert set(QUERIES) <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
