@@ -52,15 +52,29 @@ def _line_words(column):
         yield first + row, number, hashes, np.diff(cuts)
 
 
-def _line_sets(column, counts):
-    """As above, with the distinct words of each line, rarest first."""
+def rarity_order(counts):
+    """For each bucket its place among all, rarest first, as the high bits of a hash."""
+    places = np.empty(len(counts), dtype=U)
+    places[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=U)
+    return places << U(64 - BUCKET_BITS)
+
+
+def _line_sets(column, order):
+    """As above, with the distinct words of each line, rarest first.
+
+    A word's hash has its bucket's place in the order instead of the bucket, so that the order of
+    the numbers is the order of rarity.
+    """
+    low = U((1 << (64 - BUCKET_BITS)) - 1)
     for row, number, hashes, sizes in _line_words(column):
+        tokens = order[bucket(hashes, BUCKET_BITS)] | (hashes & low)
+        ends = np.cumsum(sizes)
+        for begin, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+            tokens[begin:end].sort()
         line = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((hashes, counts[bucket(hashes, BUCKET_BITS)], line))
-        line, hashes = line[order], hashes[order]
         new = np.ones(len(line), dtype=bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
-        yield row, number, hashes[new], np.bincount(line[new], minlength=len(sizes))
+        new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
+        yield row, number, tokens[new], np.bincount(line[new], minlength=len(sizes))
 
 
 def _nodes(tokens, sizes):
@@ -158,7 +172,8 @@ def drop_similar_lines(docs, id_col="doc_id", text_col="text", threshold=THRESHO
     limits = Threshold(threshold)
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = packed(docs, doc_id=id_col, text=text_col, key=key).drop("row")
-    shared = spark.sparkContext.broadcast(bucket_counts(rows.select("text"), _word_hashes, BUCKET_BITS))
+    order = rarity_order(bucket_counts(rows.select("text"), _word_hashes, BUCKET_BITS))
+    shared = spark.sparkContext.broadcast(order)
     kind = dict(docs.dtypes)[id_col]
     lines = rows.mapInArrow(lambda b: _lines(b, shared), f"doc_id {kind}, key long, line int, node long, n int")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
