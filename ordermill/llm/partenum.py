@@ -3,15 +3,16 @@
 Sizes are cut into bands [l, r] with r = floor(l / 0.85); linked sets are in the same band or in
 adjacent ones, so a set takes part in the signatures of its own band and of the next. Two sets
 of one band that link differ in at most k = floor(2r(1-t)/(1+t)) elements. The domain of element
-hashes is cut into k + 1 + slack ranges: then at least 1 + slack ranges hold the same elements in
-both sets. The hash of what a set holds in one range is a signature.
+hashes is cut into k + shared + slack ranges: then at least shared + slack ranges hold the same
+elements in both sets. The hash of what a set holds in one range is a signature.
 
 A range whose elements are all frequent in the corpus, such as those of a shared passage, would
 meet many sets, and an empty one most of a band. So a set drops `slack` ranges: empty ones first,
 then those whose rarest element is most frequent (equal numbers in the order of a hash of the
 content). Frequencies are counted over all sets, in hash buckets. This loses no pair: both sets
-order the 1 + slack or more equal ranges in the same way, and a set that dropped the last of these
-would have dropped the others before, more than `slack` in all.
+order the shared + slack or more equal ranges in the same way, so each drops the first ones of
+them, at most `slack`, and at least `shared` signatures are left that both have. Only pairs with
+so many are verified; a passage in common seldom gives more than a few.
 
 Equal sets are one node, known by a 64-bit hash and its size. Buckets of a signature are not
 expanded into pairs. In turn
@@ -87,6 +88,11 @@ def _nodes(elements, counts):
     return pa.array(words.mix(found + words.mix(counts.astype(U))).view(np.int64), mask=counts == 0)
 
 
+def shared_signatures(most):
+    """How many signatures two sets have in common if they differ in at most so many elements."""
+    return 1 + most // 16
+
+
 def _signatures(elements, counts, threshold, step, frequency):
     """Signatures of all sets for their own band (step 0) or the next (1), and the set of each."""
     bands = threshold.band(counts) + step
@@ -94,7 +100,7 @@ def _signatures(elements, counts, threshold, step, frequency):
     most = threshold.most_different(bands)
     most[counts == 0] = 0  # where nothing may differ, linked sets are equal and one node
     slack = 1 + most // 4
-    ranges = np.where(most > 0, most + 1 + slack, 0)
+    ranges = np.where(most > 0, most + shared_signatures(most) + slack, 0)
     rows = np.repeat(np.arange(len(counts)), counts)
     taken = most[rows] > 0
     rows, elements = rows[taken], elements[taken]
@@ -156,11 +162,13 @@ def _shared_signatures(texts, size, threshold):
     frequency = bucket_counts(texts, lambda b: _elements(b, size), BUCKET_BITS)
     shared = texts.sparkSession.sparkContext.broadcast(frequency)
     entries = texts.mapInArrow(lambda b: _signed(b, size, threshold, shared), "signature long, node long")
-    ends = entries.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    common = saved(ends.where("low <> high"))
-    # Only entries that may have a shared signature are shuffled a second time.
+    common = saved(entries.groupBy("signature").count().where("count > 1").select("signature"))
+    # Only entries that may have a signature in common are shuffled with their nodes.
     maybe = bloom.of_keys(common, "signature", common.count()).tested(entries, "signature", "maybe").where("maybe")
-    return saved(maybe.select("signature", "node").join(common, "signature").distinct())
+    maybe = maybe.select("signature", "node")
+    ends = maybe.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    ends = saved(ends.where("low <> high"))
+    return saved(maybe.join(ends, "signature").distinct())
 
 
 def _node_sets(rows, described, nodes, size):
@@ -178,6 +186,17 @@ def fits(a, b, threshold):
     return F.least(a, b).cast("long") * threshold.whole >= F.greatest(a, b).cast("long") * threshold.part
 
 
+def _often_enough(pairs, sizes, threshold):
+    """Pairs (a, b) that have as many signatures in common as linked sets of their sizes must have."""
+    counted = pairs.groupBy("a", "b").count()
+    for node, size in (("a", "m"), ("b", "n")):
+        counted = counted.join(sizes.select(F.col("node").alias(node), F.col("n").alias(size)), node)
+    largest = F.greatest("m", "n").cast("long")
+    # The least number that may differ in a band of the larger set: a bound from below.
+    most = F.floor(2 * largest * (threshold.whole - threshold.part) / (threshold.whole + threshold.part))
+    return counted.where(F.col("count") >= 1 + F.floor(most / 16)).where(fits(F.col("m"), F.col("n"), threshold)).select("a", "b")
+
+
 def verified(pairs, sets, threshold):
     """The pairs (a, b) of nodes whose sets link."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"), F.col("n").alias("m"))
@@ -201,16 +220,19 @@ def _node_labels(rows, described, size, threshold):
     """(node, label) of every node that links to another one."""
     members = _shared_signatures(rows.select("text"), size, threshold)
     sets = _node_sets(rows, described, members.select("node").distinct(), size)
+    sizes = sets.select("node", "n")
     stars = members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
-    links = saved(verified(stars, sets, threshold))
+    links = saved(verified(_often_enough(stars, sizes, threshold), sets, threshold))
     mixed = _mixed(members, components(links)).where("label <> top.label")
     stars = mixed.select(F.col("top.node").alias("a"), F.col("node").alias("b"))
-    links = saved(links.unionByName(verified(stars, sets, threshold)))
-    left = saved(_mixed(members, components(links)).join(sets.select("node", "n"), "node"))
+    links = saved(links.unionByName(verified(_often_enough(stars, sizes, threshold), sets, threshold)))
+    left = saved(_mixed(members, components(links)).join(sizes, "node"))
     left = left.select("signature", "node", "label", "n")
     right = left.select("signature", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
     across = left.withColumnRenamed("node", "a").join(right, "signature")
+    # Each bucket that such a pair shares holds several components, so all of them are counted here.
     across = across.where(F.col("label") < F.col("other")).where(fits(F.col("n"), F.col("m"), threshold))
+    across = _often_enough(across.select("a", "b"), sizes, threshold)
     return components(links.unionByName(verified(across, sets, threshold)))
 
 
