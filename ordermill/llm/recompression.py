@@ -49,44 +49,47 @@ class Symbols:
         return self.text[:-1] == self.text[1:]
 
     def _keep(self, heads, names, low, high):
-        self.names, self.first, self.low, self.high, self.text = (
-            x[heads] for x in (names, self.first, low, high, self.text)
-        )
+        self.names, self.first, self.text, self.low, self.high = names, self.first[heads], self.text[heads], low, high
 
-    def _around(self):
-        """Ranges of the symbols before and after; next to the edge of a text, a word outside of it."""
+    def _with_next(self):
+        """Ranges of each symbol and the next one; at the end of a text, with a word outside of it."""
         joined = self._joined()
-        before, after = self.low - 1, self.high + 1
-        before[1:] = np.where(joined, self.low[:-1], before[1:])
-        after[:-1] = np.where(joined, self.high[1:], after[:-1])
-        return np.minimum(before, self.low), np.maximum(after, self.high)
+        low, high = self.low.copy(), self.high + 1
+        low[:-1] = np.where(joined, np.minimum(low[:-1], self.low[1:]), low[:-1])
+        high[:-1] = np.where(joined, np.maximum(self.high[:-1], self.high[1:]), high[:-1])
+        return low, high
+
+    def _with_last(self):
+        """Ranges of each symbol and the one before; at the start of a text, with a word outside of it."""
+        joined = self._joined()
+        low, high = self.low - 1, self.high.copy()
+        low[1:] = np.where(joined, np.minimum(self.low[1:], self.low[:-1]), low[1:])
+        high[1:] = np.where(joined, np.maximum(high[1:], self.high[:-1]), high[1:])
+        return low, high
 
     def runs(self, salt):
         same = np.concatenate(([False], (self.names[1:] == self.names[:-1]) & self._joined()))
         heads = np.flatnonzero(~same)
-        before, after = self._around()
+        (low, high), (low2, high2) = self._with_last(), self._with_next()
         lengths = np.diff(np.append(heads, len(self.names)))
-        names = self.names.copy()
-        long = heads[lengths > 1]
-        names[long] = words.mix(names[long] + words.mix(lengths[lengths > 1].astype(U) + U(salt)))
-        high = after.copy()
-        high[heads] = after[heads + lengths - 1]
-        self._keep(heads, names, before, high)
+        names, long = self.names[heads], lengths > 1
+        names[long] = words.mix(names[long] + words.mix(lengths[long].astype(U) + U(salt)))
+        low, high = np.minimum(low, low2), np.maximum(high, high2)
+        self._keep(heads, names, np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads))
 
     def pairs(self, salt):
         coin = (words.mix(self.names + U(salt)) >> U(63)).astype(bool)  # True: first of a pair
         opens = np.zeros(len(self.names), dtype=bool)
         opens[:-1] = coin[:-1] & ~coin[1:] & self._joined()
         closes = np.concatenate(([False], opens[:-1]))
-        before, after = self._around()
-        # Alone, a first member depends on what follows, a second one on what came before.
-        low = np.where(coin | closes, self.low, before)
-        high = np.where(coin & ~opens, after, self.high)
-        at = np.flatnonzero(opens)
+        # A pair depends on its members; alone, a first member depends on what follows and a second
+        # one on what came before.
+        (low, high), (low2, high2) = self._with_next(), self._with_last()
+        low, high = np.where(coin, low, low2), np.where(coin, high, high2)
+        at, heads = np.flatnonzero(opens), np.flatnonzero(~closes)
         names = self.names.copy()
         names[at] = words.mix(self.names[at] * _LEFT + words.mix(self.names[at + 1] * _RIGHT + U(salt)))
-        low[at], high[at] = np.minimum(self.low[at], self.low[at + 1]), np.maximum(self.high[at], self.high[at + 1])
-        self._keep(np.flatnonzero(~closes), names, low, high)
+        self._keep(heads, names[heads], low[heads], high[heads])
 
 
 def parse(hashes, texts, rounds=ROUNDS):
@@ -108,16 +111,21 @@ def _blocks(batch):
         yield first, last, hashes, np.repeat(np.arange(first, last), np.diff(cuts)), cuts[:-1]
 
 
-def _usable(symbols, size):
-    """Symbols whose range is inside a text and fits into a window."""
-    return symbols.high - symbols.low < size
+def _usable(symbols, texts, size):
+    """Symbols whose range is inside their text and fits into a window."""
+    last = len(texts) - 1
+    inside = (symbols.low >= 0) & (symbols.high <= last)
+    inside &= texts[np.clip(symbols.low, 0, last)] == texts[np.clip(symbols.high, 0, last)]
+    return inside & (symbols.high - symbols.low < size)
 
 
 def _symbol_names(batches, size, rounds):
     for batch in batches:
         for _, _, hashes, texts, _ in _blocks(batch):
-            symbols = parse(hashes, texts, rounds)
-            yield pa.RecordBatch.from_arrays([pa.array(symbols.names[_usable(symbols, size)].view(np.int64))], ["name"])
+            if len(hashes):
+                symbols = parse(hashes, texts, rounds)
+                names = symbols.names[_usable(symbols, texts, size)]
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64))], ["name"])
 
 
 def _candidates(batches, size, rounds, shared):
@@ -130,7 +138,7 @@ def _candidates(batches, size, rounds, shared):
             if not len(windows):
                 continue
             symbols = parse(hashes, texts, rounds)
-            alone = _usable(symbols, size) & ~bloom.holds(table, bits, symbols.names)
+            alone = _usable(symbols, texts, size) & ~bloom.holds(table, bits, symbols.names)
             first, last = symbols.high[alone] - size + 1, symbols.low[alone]  # windows around them
             marks = np.zeros(len(hashes) + 1, dtype=np.int64)
             np.add.at(marks, np.maximum(first, 0), 1)
