@@ -15,10 +15,11 @@ them, at most `slack`, and at least `shared` signatures are left that both have.
 so many are verified; a passage in common seldom gives more than a few.
 
 Equal sets are one node, known by a 64-bit hash and its size. Buckets of a signature are not
-expanded into pairs. In turn
-each bucket compares its smallest, then its largest node with the others; links join nodes to
-components; only buckets that still hold several components compare nodes across components. So
-a bucket full of near copies costs one comparison for each. No bucket or pair is dropped.
+expanded into pairs. In a few rounds each bucket names a pivot, the node with the least hash of
+the round, and each node is compared with the pivots that it meets most often; links join nodes to
+components. Only buckets that then still hold several components compare nodes across components,
+all of them. So a bucket full of near copies costs a few comparisons for each. No bucket or pair
+is dropped.
 
 Signatures are 64-bit hashes of the elements: a collision adds a comparison, never a link, as
 links are verified on the sets.
@@ -26,7 +27,7 @@ links are verified on the sets.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ordermill.llm import bloom, words
 from ordermill.llm.counts import bucket, bucket_counts
@@ -35,6 +36,8 @@ from ordermill.llm.links import components
 
 U = words.U
 BUCKET_BITS = 19
+ROUNDS = 4
+PIVOTS = 2
 
 
 class Threshold:
@@ -167,7 +170,7 @@ def _shared_signatures(texts, size, threshold):
     maybe = bloom.of_keys(common, "signature", common.count()).tested(entries, "signature", "maybe").where("maybe")
     maybe = maybe.select("signature", "node")
     ends = maybe.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    ends = saved(ends.where("low <> high"))
+    ends = saved(ends.where("low <> high").select("signature"))
     return saved(maybe.join(ends, "signature").distinct())
 
 
@@ -207,13 +210,22 @@ def verified(pairs, sets, threshold):
     return both.where(fits(F.col("m"), F.col("n"), threshold)).where(links).select("a", "b")
 
 
-def _mixed(members, labels):
-    """Members with their component, without the buckets that are all in one component."""
+def _mixed(members, labels, salt):
+    """Members with component and pivot, without the buckets that are all in one component."""
     known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = known.withColumn("rank", F.xxhash64("node", F.lit(salt)))
     ends = known.groupBy("signature").agg(
-        F.min("label").alias("least"), F.max(F.struct("label", "node")).alias("top")
+        F.min("label").alias("least"), F.max("label").alias("greatest"), F.min("rank").alias("pivot")
     )
-    return known.join(ends.where("least <> top.label"), "signature")
+    return known.join(saved(ends.where("least < greatest")), "signature")
+
+
+def _stars(mixed):
+    """Pairs (a, b): b and each of the few pivots of other components that it meets most often."""
+    heads = mixed.where("rank = pivot").select("signature", F.col("node").alias("a"), F.col("label").alias("other"))
+    met = mixed.join(heads, "signature").where("label <> other").groupBy("a", F.col("node").alias("b")).count()
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))
+    return met.withColumn("place", place).where(F.col("place") <= PIVOTS).select("a", "b")
 
 
 def _node_labels(rows, described, size, threshold):
@@ -221,12 +233,12 @@ def _node_labels(rows, described, size, threshold):
     members = _shared_signatures(rows.select("text"), size, threshold)
     sets = _node_sets(rows, described, members.select("node").distinct(), size)
     sizes = sets.select("node", "n")
-    stars = members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
-    links = saved(verified(_often_enough(stars, sizes, threshold), sets, threshold))
-    mixed = _mixed(members, components(links)).where("label <> top.label")
-    stars = mixed.select(F.col("top.node").alias("a"), F.col("node").alias("b"))
-    links = saved(links.unionByName(verified(_often_enough(stars, sizes, threshold), sets, threshold)))
-    left = saved(_mixed(members, components(links)).join(sizes, "node"))
+    links, labels = None, saved(sets.select("node", F.col("node").alias("label")).limit(0))
+    for salt in range(ROUNDS):
+        stars = verified(_stars(_mixed(members, labels, salt)), sets, threshold)
+        links = saved(stars if links is None else links.unionByName(stars))
+        labels = components(links)
+    left = saved(_mixed(members, labels, ROUNDS).join(sizes, "node"))
     left = left.select("signature", "node", "label", "n")
     right = left.select("signature", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
     across = left.withColumnRenamed("node", "a").join(right, "signature")
