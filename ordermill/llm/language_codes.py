@@ -8,8 +8,8 @@ flagged as ambiguous.
 
 The classifiers are fitted on about `train_rows` labelled rows for each language (a bounded
 sample, chosen by a hash of the id); whole texts are used in training and prediction. The model,
-`CODES` floats for each bit, is sent to the tasks once. A language table larger than `CODES`
-cannot arise: its size follows from `train_rows` and the n-gram table.
+`CODES` floats for each bit, is sent to the tasks once; n-gram counts of the sample, at most `CODES`
+for each language, are all that the driver gets.
 
 Defined results: a text that is null or has no letter gets `und`, score 0; without labelled rows
 every text gets `und`; with one language every text with letters gets it, score 1; ids may be
