@@ -1,24 +1,35 @@
 """Benchmark decontamination by template windows; DataFrame functions only.
 
 A text becomes a sequence of lower-case words in which numbers, names and units are typed
-placeholders: a run of digits, a capitalised word inside a sentence, and a unit after a number.
+placeholders: a numeric literal with its sign, grouping and decimals, a run of capitalised words,
+and a unit after a number. Capitals also open texts, sentences, lines, quotations and brackets, so
+a text is read twice: in the first reading a capitalised word is a name only after a lower-case
+letter, comma or semicolon and one space, in the second one everywhere.
+
 Windows of eight such tokens are hash-joined with those of the benchmark items, so a question
-with other numbers or names still matches. A Bloom filter of bounded size takes out almost all
-windows of the documents before the join.
+with other numbers or names still matches. Two passes: the first one takes hashes only, of both
+readings, through a Bloom filter of bounded size and finds the few texts with a window of an item;
+the second one takes the windows of these texts with their values.
 
 The slots of matching windows must then be consistent: under one alignment of document and item,
 equal item values stand for equal document values and different ones for different ones. Where
 they are not, only the windows without slots count. A document is contaminated by an item when
-the matching windows are at least half of the item's.
+the matching windows, of either reading of the document, are at least half of those of one reading
+of the item. The figures are of the first reading of the item for which that holds.
 
 Windows with fewer than four literal tokens (or, in an item of fewer tokens, fewer than half) say
 too little and take no part. An item of fewer than eight tokens is one window of its own length.
 
+A reading is one for the whole text: a window that would match only with one opening capital as a
+name and another one as a plain word does not match.
+
 Defined results: null and empty texts match nothing; an item without informative windows matches
 nothing; repeated documents or items each give their rows, counted once for each pair of ids; rows
 with a null id take part under the null id; empty tables give an empty result.
 """
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ordermill.llm import bloom
@@ -33,68 +44,115 @@ UNITS = (
     "ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month "
     "months year years kb mb gb tb k c f w kw v a hz khz mhz ghz dollar dollars euro euros cent cents percent"
 ).split()
-_NAME, _NUMBER, _UNIT = "\x01", "\x02", "\x03"
+_NAME, _NUMBER, _UNIT, _OPENING = "\x01", "\x02", "\x03", "\x04"
+_JOINT, _POINT, _GROUP, _MINUS = "\x05", "\x06", "\x07", "\x08"
+_MARKS = "".join((_NAME, _NUMBER, _UNIT, _OPENING, _JOINT, _POINT, _GROUP, _MINUS))
+_DIGITS = rf"[\p{{Nd}}{_POINT}{_GROUP}{_MINUS}]"
+
 
+def marked(text):
+    """Tokens of a text between single spaces; those that fill a slot carry the mark of its type before their value.
 
-def valued_tokens(text):
-    """Tokens of a text; those that fill a slot carry the mark of its type before their value."""
-    named = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}+", f"{_NAME}$0")
-    numbered = F.regexp_replace(F.lower(named), r"\p{Nd}+", f" {_NUMBER}$0 ")
-    units = rf"({_NUMBER}\p{{Nd}}+) +({'|'.join(UNITS)})(?![\p{{L}}\p{{Nd}}])"
+    A name that may be an opening capital has a mark of its own; the words of a name are joined.
+    """
+    plain = F.translate(text, _MARKS, " " * len(_MARKS))
+    joined = F.regexp_replace(plain, r"(\p{Lu}(?<!\p{L}.)\p{Ll}\p{L}*)[ -](?=\p{Lu}\p{Ll})", f"$1{_JOINT}")
+    named = F.regexp_replace(joined, r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}", f"{_NAME}$0")
+    named = F.regexp_replace(named, rf"\p{{Lu}}(?<![\p{{L}}{_NAME}{_JOINT}].)\p{{Ll}}", f"{_OPENING}$0")
+    signed = F.regexp_replace(F.lower(named), r"[-\u2212](?<![\p{L}\p{Nd}].)(?=\.?\p{Nd})", _MINUS)
+    grouped = F.regexp_replace(signed, r"[,'\u2019\u00a0\u202f](?<=\p{Nd}.)(?=\p{Nd})", _GROUP)
+    pointed = F.regexp_replace(grouped, r"\.(?<![\p{L}.].)(?=\p{Nd})", _POINT)
+    numbered = F.regexp_replace(pointed, rf"{_DIGITS}+", f" {_NUMBER}$0 ")
+    units = rf"({_NUMBER}{_DIGITS}+) +{_OPENING}?({'|'.join(UNITS)})(?![\p{{L}}\p{{Nd}}])"
     measured = F.regexp_replace(numbered, units, f"$1 {_UNIT}$2")
-    clean = F.trim(F.regexp_replace(measured, rf"[^\p{{L}}\p{{Nd}}{_NAME}{_NUMBER}{_UNIT}]+", " "))
-    return F.filter(F.split(clean, " "), lambda t: t != "")
+    return F.trim(F.regexp_replace(measured, rf"[^\p{{L}}\p{{Nd}}{_MARKS}]+", " "))
 
 
-def _template(tokens):
-    """Tokens with the values of slots taken out."""
-    return F.transform(tokens, lambda t: F.when(t < " ", F.substring(t, 1, 1)).otherwise(t))
+def _readings(text):
+    """A marked text with opening capitals as plain words, and with all of them as names."""
+    plain = F.regexp_replace(text, rf"{_OPENING}(\p{{L}}+){_JOINT}", f"$1 {_NAME}")
+    return F.translate(plain, _OPENING, ""), F.translate(text, _OPENING, _NAME)
+
+
+def _tokens(text):
+    return F.array_remove(F.split(text, " "), "")
 
 
 def _is_slot(token):
     return token < " "
 
 
-def _windows(rows, size, *kept):
-    """The kept columns with place and hash of each window of so many tokens.
+def _template(tokens):
+    """Tokens with the values of slots taken out."""
+    return F.transform(tokens, lambda t: F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t))
+
 
-    The template is a column below the generator: an expression inside the lambda would be
-    computed once for each window.
-    """
-    last = F.size("template") - size
-    places = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(places, lambda at: F.xxhash64(F.slice("template", at, size)))
-    rows = rows.withColumn("template", _template(F.col("tokens")))
-    return rows.select(*kept, F.posexplode(hashes).alias("place", "hash"))
+def _places(tokens, size):
+    """First places of the windows of so many tokens."""
+    last = F.size(tokens) - size
+    return F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _read(rows, *kept):
+    """The kept columns with number and tokens of each reading; the second one only where it differs."""
+    rows = rows.select(*kept, marked(F.col("text")).alias("marked"))
+    first, second = _readings(F.col("marked"))
+    rows = rows.select(*kept, first.alias("first"), second.alias("second"))
+    both = F.when(F.col("first") == F.col("second"), F.array("first")).otherwise(F.array("first", "second"))
+    return rows.select(*kept, F.posexplode(both).alias("reading", "read")).select(*kept, "reading", _tokens("read").alias("tokens"))
+
+
+def _windows(rows, *kept):
+    """The kept columns with place, tokens, hash of the template and whether it is informative, of each window of `size` tokens."""
+    cut = F.transform(_places("tokens", F.col("size")), lambda at: F.slice("tokens", at, F.col("size")))
+    rows = rows.select(*kept, "size", F.posexplode(cut).alias("place", "window"))
+    rows = rows.withColumn("template", _template("window"))
+    literals = F.size(F.filter("template", lambda t: ~_is_slot(t)))
+    informative = literals >= F.least(F.lit(LITERALS), (F.col("size") + 1) / 2)
+    return rows.withColumns({"informative": informative, "hash": F.xxhash64("template")})
 
 
 def _item_windows(items):
-    """(item_id, size, item_place, hash, item_tokens, item_windows) of informative windows."""
-    rows = items.withColumn("tokens", valued_tokens(F.col("text"))).where(F.size("tokens") > 0)
-    rows = rows.withColumn("size", F.least(F.lit(WINDOW), F.size("tokens")))
-    rows = _windows(rows, F.col("size"), "item_id", "size", "tokens").withColumnRenamed("place", "item_place")
-    rows = rows.withColumn("item_tokens", F.slice("tokens", F.col("item_place") + 1, F.col("size"))).drop("tokens")
-    literals = F.size(F.filter("item_tokens", lambda t: ~_is_slot(t)))
-    rows = saved(rows.where(literals >= F.least(F.lit(LITERALS), (F.col("size") + 1) / 2)))
-    counts = rows.groupBy("item_id").agg(F.count_distinct("item_place").alias("item_windows"))
-    same = rows.item_id.eqNullSafe(counts.item_id)
-    return saved(rows.join(counts, same).drop(counts.item_id))
+    """(item_id, item_reading, size, item_place, item_window, item_template, hash, item_windows) of informative windows."""
+    rows = _read(items, "item_id").where(F.size("tokens") > 0).withColumn("size", F.least(F.lit(WINDOW), F.size("tokens")))
+    rows = _windows(rows, "item_id", "reading").where("informative").drop("informative")
+    rows = saved(rows.withColumnsRenamed({"reading": "item_reading", "place": "item_place", "window": "item_window", "template": "item_template"}))
+    counts = rows.groupBy("item_id", "item_reading").agg(F.count_distinct("item_place").alias("item_windows"))
+    same = rows.item_id.eqNullSafe(counts.item_id) & (rows.item_reading == counts.item_reading)
+    return saved(rows.join(counts, same).drop(counts.item_id).drop(counts.item_reading))
+
+
+def _touched(docs, sizes, hashes, known):
+    """Key of each text with a window of an item, in either reading; values do not count here.
+
+    The tokens are columns below the generator: an expression inside the lambda would be computed
+    once for each window. A row of the generator is a key and a hash.
+    """
+    rows = docs.select("key", F.regexp_replace(marked(F.col("text")), rf"([{_NAME}{_NUMBER}{_UNIT}])[^ ]+", "$1").alias("marked"))
+    # The value of an opening name is still there: it is the word of the first reading.
+    first, second = _readings(F.col("marked"))
+    second = F.regexp_replace(second, rf"{_NAME}[^ ]+", _NAME)
+    first = F.regexp_replace(first, rf"{_NAME}[^ ]+", _NAME)
+    rows = rows.select("key", _tokens(first).alias("first"), _tokens(second).alias("second"))
+    hashed = lambda tokens, size: F.transform(_places(tokens, size), lambda at: F.xxhash64(F.slice(tokens, at, size)))
+    all_hashes = reduce(F.array_union, [hashed(tokens, F.lit(size)) for size in sizes for tokens in ("first", "second")])
+    rows = known.tested(rows.select("key", F.explode(all_hashes).alias("hash")), "hash", "maybe").where("maybe")
+    return saved(rows.join(hashes, "hash", "left_semi").select("key").distinct())
 
 
 def _matches(docs, windows):
     """Windows of documents that are windows of items, with the tokens of both."""
-    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most WINDOW numbers
-    known = bloom.of_keys(windows, "hash", windows.count())
-    rows = docs.where("text IS NOT NULL").select("doc_id", valued_tokens(F.col("text")).alias("tokens"))
-    found = None
-    for size in sorted(sizes):
-        own = known.tested(_windows(rows, F.lit(size), "doc_id", "tokens"), "hash", "maybe").where("maybe")
-        own = own.select("doc_id", "place", "hash", F.slice("tokens", F.col("place") + 1, size).alias("doc_tokens"))
-        found = own if found is None else found.unionByName(own)
-    if found is None:
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most WINDOW numbers
+    if not sizes:
         return None
-    both = found.join(windows, "hash")
-    return both.where(_template(F.col("doc_tokens")) == _template(F.col("item_tokens")))
+    known = bloom.of_keys(windows, "hash", windows.count())
+    docs = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    touched = _touched(docs, sizes, windows.select(F.xxhash64("item_template").alias("hash")).distinct(), known)
+    # Texts that the filter lets through by chance match nothing below.
+    rows = bloom.of_keys(touched, "key", touched.count()).tested(docs, "key", "maybe").where("maybe")
+    rows = _read(rows, "doc_id", "key").select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    own = known.tested(_windows(rows, "doc_id", "key", "reading"), "hash", "maybe").where("maybe").drop("maybe", "size")
+    return own.join(windows, "hash").where(F.col("template") == F.col("item_template"))
 
 
 def contaminated(docs, items, id_col="doc_id", text_col="text", item_id_col="item_id", item_text_col="text", contained=CONTAINED):
@@ -105,35 +163,36 @@ def contaminated(docs, items, id_col="doc_id", text_col="text", item_id_col="ite
     if found is None:
         ids = rows.select("doc_id", F.lit(None).cast(dict(windows.dtypes)["item_id"]).alias("item_id")).limit(0)
         return ids.selectExpr("*", "0L matched_windows", "0L item_windows", "0D containment", "0L n_slots", "0L n_changed")
-    slots = F.filter(F.arrays_zip("item_tokens", "doc_tokens"), lambda t: _is_slot(t["item_tokens"]))
-    found = found.select(
-        "doc_id", "item_id", "item_windows", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), slots.alias("slots")
-    )
-    # An alignment has no more windows than the item, so its lists are bounded by the item.
-    aligned = found.groupBy("doc_id", "item_id", "item_windows", "shift").agg(
-        F.collect_set("item_place").alias("all"),
-        F.collect_set(F.when(F.size("slots") == 0, F.col("item_place"))).alias("plain"),
+    slots = F.filter(F.arrays_zip("item_window", "window"), lambda t: _is_slot(t["item_window"]))
+    found = found.withColumn("slots", slots)
+    found = found.withColumn("shift", F.col("place") - F.col("item_place"))
+    # An alignment with one text has no more windows than the item, so its lists are bounded by the item.
+    aligned = found.groupBy("doc_id", "key", "reading", "item_id", "item_reading", "item_windows", "shift").agg(
+        F.collect_set(F.struct("item_place", "slots")).alias("windows"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"),
     )
     values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (values("item_tokens") == F.size("pairs")) & (values("doc_tokens") == F.size("pairs"))
+    consistent = (values("item_window") == F.size("pairs")) & (values("window") == F.size("pairs"))
+    aligned = aligned.withColumn("sound", F.when(consistent, F.col("pairs")).otherwise(F.filter("pairs", lambda p: F.lit(False))))
+    kept = F.when(consistent, F.col("windows")).otherwise(F.filter("windows", lambda w: F.size(w["slots"]) == 0))
     aligned = aligned.select(
         "doc_id",
         "item_id",
+        "item_reading",
         "item_windows",
-        F.explode(F.when(consistent, F.col("all")).otherwise(F.col("plain"))).alias("item_place"),
-        F.when(consistent, F.size("pairs")).otherwise(0).alias("n_slots"),
-        F.when(consistent, F.size(F.filter("pairs", lambda p: p["item_tokens"] != p["doc_tokens"]))).otherwise(0).alias("n_changed"),
+        F.explode(kept).alias("kept"),
+        F.size("sound").alias("n_slots"),
+        F.size(F.filter("sound", lambda p: p["item_window"] != p["window"])).alias("n_changed"),
     )
-    pairs = aligned.groupBy("doc_id", "item_id", "item_windows").agg(
-        F.count_distinct("item_place").alias("matched_windows"),
+    pairs = aligned.groupBy("doc_id", "item_id", "item_reading", "item_windows").agg(
+        F.count_distinct("kept.item_place").alias("matched_windows"),
         F.max("n_slots").cast("long").alias("n_slots"),
         F.max("n_changed").cast("long").alias("n_changed"),
     )
-    pairs = pairs.withColumn("containment", F.col("matched_windows") / F.col("item_windows"))
-    return pairs.where(F.col("containment") >= contained).select(
-        "doc_id", "item_id", "matched_windows", "item_windows", "containment", "n_slots", "n_changed"
-    )
+    pairs = pairs.withColumn("containment", F.col("matched_windows") / F.col("item_windows")).where(F.col("containment") >= contained)
+    figures = ("matched_windows", "item_windows", "containment", "n_slots", "n_changed")
+    first = F.min(F.struct("item_reading", *figures)).alias("first")
+    return pairs.groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", *[f"first.{x}" for x in figures])
 
 
 def without_benchmark(docs, items, id_col="doc_id", text_col="text", **named):

@@ -96,3 +96,30 @@ def test_other_numbers_names_and_units(spark):
 def test_no_python_in_the_plan(spark):
     plan = queries.QUERIES["op1_template_decontamination"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+def found_in(spark, item, *texts):
+    """Number of each text that holds the item: (matched windows, windows of the item, slots, changed slots)."""
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = contaminated(documents, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    return {r["doc_id"]: (r["matched_windows"], r["item_windows"], r["n_slots"], r["n_changed"]) for r in found.collect()}
+
+
+def test_names_that_open_a_sentence(spark):
+    two = "{0} has {1} apples and buys {2} more. {0} gives {3} apples to a friend."
+    forms = [two, two + " How many apples does {0} have now?", "\"{0} has {1} apples\", said the man.\n{0} buys {2} more (and {0} gives away {3} of them)."]
+    for form in forms:
+        item = form.format("Tom", 12, 7, 5)
+        found = found_in(spark, item, form.format("Anna", 30, 9, 4), "Intro. " + form.format("Anna Maria", 30, 9, 4), "Anna sells pears and plums on the market.")
+        assert set(found) == {0, 1}
+        assert all(matched == windows and changed == 4 for matched, windows, _, changed in found.values())
+
+
+def test_numbers_and_names_of_several_parts_are_one_slot(spark):
+    form = "a shop sells {} apples to the trader {} for a total of {} coins, what is left of the goods then?"
+    item = form.format("950", "Tom", "3")
+    for amount in ("1,200", "2.50", "-7", "1'200,000.75", ".5", "1\u202f200"):
+        assert found_in(spark, item, form.format(amount, "Mary Ann Jones", "8"))[0][2:] == (3, 3), amount
+    listed = found_in(spark, "the numbers 1, 2 and 3-4 are on the list of the teacher", "the numbers 5, 6 and 7-8 are on the list of the teacher")
+    assert listed[0][2] == 4
+    assert found_in(spark, form.format("12 5", "Tom", "3"), form.format("30 9", "Tom", "3"))[0][2:] == (4, 2)  # two numbers
