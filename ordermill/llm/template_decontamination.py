@@ -18,13 +18,15 @@ the matching windows, of either reading of the document, are at least half of th
 of the item. The figures are of the first reading of the item for which that holds.
 
 Windows with fewer than four literal tokens (or, in an item of fewer tokens, fewer than half) say
-too little and take no part. An item of fewer than eight tokens is one window of its own length.
+too little as templates: they match only with the same values. A document is contaminated when half
+of the other windows match or half of all windows; the figures are of the first of the two that
+holds. An item of fewer than eight tokens is one window of its own length.
 
 A reading is one for the whole text: a window that would match only with one opening capital as a
 name and another one as a plain word does not match.
 
 Defined results: null and empty texts match nothing; an item without informative windows matches
-nothing; repeated documents or items each give their rows, counted once for each pair of ids; rows
+unchanged copies only; repeated documents or items each give their rows, counted once for each pair of ids; rows
 with a null id take part under the null id; empty tables give an empty result.
 """
 
@@ -103,21 +105,31 @@ def _read(rows, *kept):
 
 
 def _windows(rows, *kept):
-    """The kept columns with place, tokens, hash of the template and whether it is informative, of each window of `size` tokens."""
+    """The kept columns with place, tokens, template, hash and whether the template is informative, of each window of `size` tokens.
+
+    The hash is that of the template where it is informative, and of the tokens where it is not.
+    """
     cut = F.transform(_places("tokens", F.col("size")), lambda at: F.slice("tokens", at, F.col("size")))
     rows = rows.select(*kept, "size", F.posexplode(cut).alias("place", "window"))
     rows = rows.withColumn("template", _template("window"))
     literals = F.size(F.filter("template", lambda t: ~_is_slot(t)))
     informative = literals >= F.least(F.lit(LITERALS), (F.col("size") + 1) / 2)
-    return rows.withColumns({"informative": informative, "hash": F.xxhash64("template")})
+    rows = rows.withColumn("informative", informative)
+    return rows.withColumn("hash", F.when(F.col("informative"), F.xxhash64("template")).otherwise(F.xxhash64("window")))
 
 
 def _item_windows(items):
-    """(item_id, item_reading, size, item_place, item_window, item_template, hash, item_windows) of informative windows."""
+    """(item_id, item_reading, size, item_place, item_window, item_template, informative, hash, item_windows, all_windows) of each window.
+
+    item_windows is the number of informative ones.
+    """
     rows = _read(items, "item_id").where(F.size("tokens") > 0).withColumn("size", F.least(F.lit(WINDOW), F.size("tokens")))
-    rows = _windows(rows, "item_id", "reading").where("informative").drop("informative")
+    rows = _windows(rows, "item_id", "reading")
     rows = saved(rows.withColumnsRenamed({"reading": "item_reading", "place": "item_place", "window": "item_window", "template": "item_template"}))
-    counts = rows.groupBy("item_id", "item_reading").agg(F.count_distinct("item_place").alias("item_windows"))
+    counts = rows.groupBy("item_id", "item_reading").agg(
+        F.count_distinct(F.when(F.col("informative"), F.col("item_place"))).alias("item_windows"),
+        F.count_distinct("item_place").alias("all_windows"),
+    )
     same = rows.item_id.eqNullSafe(counts.item_id) & (rows.item_reading == counts.item_reading)
     return saved(rows.join(counts, same).drop(counts.item_id).drop(counts.item_reading))
 
@@ -145,14 +157,16 @@ def _matches(docs, windows):
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most WINDOW numbers
     if not sizes:
         return None
-    known = bloom.of_keys(windows, "hash", windows.count())
+    templates = windows.select(F.xxhash64("item_template").alias("hash")).distinct()
     docs = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("key"), "text")
-    touched = _touched(docs, sizes, windows.select(F.xxhash64("item_template").alias("hash")).distinct(), known)
+    touched = _touched(docs, sizes, templates, bloom.of_keys(templates, "hash", windows.count()))
     # Texts that the filter lets through by chance match nothing below.
     rows = bloom.of_keys(touched, "key", touched.count()).tested(docs, "key", "maybe").where("maybe")
     rows = _read(rows, "doc_id", "key").select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
-    own = known.tested(_windows(rows, "doc_id", "key", "reading"), "hash", "maybe").where("maybe").drop("maybe", "size")
-    return own.join(windows, "hash").where(F.col("template") == F.col("item_template"))
+    known = bloom.of_keys(windows, "hash", windows.count())
+    own = known.tested(_windows(rows, "doc_id", "key", "reading"), "hash", "maybe").where("maybe")
+    alike = (F.col("template") == F.col("item_template")) & (F.col("informative") | (F.col("window") == F.col("item_window")))
+    return own.drop("maybe", "size", "informative").join(windows, "hash").where(alike)
 
 
 def contaminated(docs, items, id_col="doc_id", text_col="text", item_id_col="item_id", item_text_col="text", contained=CONTAINED):
@@ -167,8 +181,8 @@ def contaminated(docs, items, id_col="doc_id", text_col="text", item_id_col="ite
     found = found.withColumn("slots", slots)
     found = found.withColumn("shift", F.col("place") - F.col("item_place"))
     # An alignment with one text has no more windows than the item, so its lists are bounded by the item.
-    aligned = found.groupBy("doc_id", "key", "reading", "item_id", "item_reading", "item_windows", "shift").agg(
-        F.collect_set(F.struct("item_place", "slots")).alias("windows"),
+    aligned = found.groupBy("doc_id", "key", "reading", "item_id", "item_reading", "item_windows", "all_windows", "shift").agg(
+        F.collect_set(F.struct("item_place", "informative", "slots")).alias("windows"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"),
     )
     values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
@@ -180,19 +194,32 @@ def contaminated(docs, items, id_col="doc_id", text_col="text", item_id_col="ite
         "item_id",
         "item_reading",
         "item_windows",
+        "all_windows",
         F.explode(kept).alias("kept"),
         F.size("sound").alias("n_slots"),
         F.size(F.filter("sound", lambda p: p["item_window"] != p["window"])).alias("n_changed"),
     )
-    pairs = aligned.groupBy("doc_id", "item_id", "item_reading", "item_windows").agg(
-        F.count_distinct("kept.item_place").alias("matched_windows"),
+    pairs = aligned.groupBy("doc_id", "item_id", "item_reading", "item_windows", "all_windows").agg(
+        F.count_distinct(F.when(F.col("kept.informative"), F.col("kept.item_place"))).alias("matched_windows"),
+        F.count_distinct("kept.item_place").alias("all_matched"),
         F.max("n_slots").cast("long").alias("n_slots"),
         F.max("n_changed").cast("long").alias("n_changed"),
     )
-    pairs = pairs.withColumn("containment", F.col("matched_windows") / F.col("item_windows")).where(F.col("containment") >= contained)
-    figures = ("matched_windows", "item_windows", "containment", "n_slots", "n_changed")
-    first = F.min(F.struct("item_reading", *figures)).alias("first")
-    return pairs.groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", *[f"first.{x}" for x in figures])
+    counted = [("matched_windows", "item_windows"), ("all_matched", "all_windows")]
+    ways = F.array(*[F.struct(F.lit(way).alias("way"), F.col(m).alias("m"), F.col(n).alias("n")) for way, (m, n) in enumerate(counted)])
+    # An item may have no informative window.
+    ways = F.filter(ways, lambda w: (w["n"] > 0) & (w["m"] / F.nullif(w["n"], F.lit(0)) >= contained))
+    pairs = pairs.withColumn("way", F.get(ways, 0)).where("way IS NOT NULL")
+    first = F.min(F.struct("item_reading", "way", "n_slots", "n_changed")).alias("first")
+    return pairs.groupBy("doc_id", "item_id").agg(first).select(
+        "doc_id",
+        "item_id",
+        F.col("first.way.m").alias("matched_windows"),
+        F.col("first.way.n").alias("item_windows"),
+        (F.col("first.way.m") / F.col("first.way.n")).alias("containment"),
+        "first.n_slots",
+        "first.n_changed",
+    )
 
 
 def without_benchmark(docs, items, id_col="doc_id", text_col="text", **named):

@@ -123,3 +123,13 @@ def test_numbers_and_names_of_several_parts_are_one_slot(spark):
     listed = found_in(spark, "the numbers 1, 2 and 3-4 are on the list of the teacher", "the numbers 5, 6 and 7-8 are on the list of the teacher")
     assert listed[0][2] == 4
     assert found_in(spark, form.format("12 5", "Tom", "3"), form.format("30 9", "Tom", "3"))[0][2:] == (4, 2)  # two numbers
+
+
+def test_items_made_of_slots_match_unchanged_copies(spark):
+    sums = "What is 12 + 34 * 56 - 78?"
+    found = found_in(spark, sums, sums, f"Solve this, please: {sums} Good luck.", sums.replace("34", "35"), "1 2 3 4 5 6 7 8 9 10 11 12")
+    assert set(found) == {0, 1} and found[0][:2] == (1, 1) and found[0][3] == 0
+    table = "Year 2001 2002 2003 2004 2005 2006 2007 2008 2009 2010"
+    assert set(found_in(spark, table, f"see: {table}", table.replace("200", "199"))) == {0}
+    title = "The Great Book Of Ancient Roman Garden Plants And Other Small Wonders"
+    assert set(found_in(spark, title, f"He said: {title}", "The Small Lamp On Wooden Kitchen Tables And Other Large Objects")) == {0}
