@@ -11,9 +11,9 @@ with other numbers or names still matches. Two passes: the first one takes hashe
 readings, through a Bloom filter of bounded size and finds the few texts with a window of an item;
 the second one takes the windows of these texts with their values.
 
-The slots of matching windows must then be consistent: under one alignment of document and item,
-equal item values stand for equal document values and different ones for different ones. Where
-they are not, only the windows without slots count. A document is contaminated by an item when
+The slots of matching windows must then be consistent: under one alignment of document and item, a
+value of the item stands for one value of the document; two values of the item may stand for the
+same one. Windows with a value that stands for several do not count. A document is contaminated by an item when
 the matching windows, of either reading of the document, are at least half of those of one reading
 of the item. The figures are of the first reading of the item for which that holds.
 
@@ -185,10 +185,12 @@ def contaminated(docs, items, id_col="doc_id", text_col="text", item_id_col="ite
         F.collect_set(F.struct("item_place", "informative", "slots")).alias("windows"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"),
     )
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (values("item_window") == F.size("pairs")) & (values("window") == F.size("pairs"))
-    aligned = aligned.withColumn("sound", F.when(consistent, F.col("pairs")).otherwise(F.filter("pairs", lambda p: F.lit(False))))
-    kept = F.when(consistent, F.col("windows")).otherwise(F.filter("windows", lambda w: F.size(w["slots"]) == 0))
+    # Tokens carry the type of their slot, so values of different types are different values.
+    aligned = aligned.withColumn("values", F.sort_array(F.transform("pairs", lambda p: p["item_window"])))
+    repeated = F.filter("values", lambda v, at: (at > 0) & v.eqNullSafe(F.get("values", at - 1)))
+    aligned = aligned.withColumn("odd", F.array_distinct(repeated))
+    aligned = aligned.withColumn("sound", F.filter("pairs", lambda p: ~F.array_contains("odd", p["item_window"])))
+    kept = F.filter("windows", lambda w: ~F.exists(w["slots"], lambda p: F.array_contains("odd", p["item_window"])))
     aligned = aligned.select(
         "doc_id",
         "item_id",

@@ -133,3 +133,14 @@ def test_items_made_of_slots_match_unchanged_copies(spark):
     assert set(found_in(spark, table, f"see: {table}", table.replace("200", "199"))) == {0}
     title = "The Great Book Of Ancient Roman Garden Plants And Other Small Wonders"
     assert set(found_in(spark, title, f"He said: {title}", "The Small Lamp On Wooden Kitchen Tables And Other Large Objects")) == {0}
+
+
+def test_only_windows_with_an_inconsistent_value_are_dropped(spark):
+    item = "the old farmer on the hill keeps 3 hens and 4 goats in the yard behind his house and sells the eggs"
+    same = item.replace("3", "5").replace("4", "5")
+    windows = found_in(spark, item, item)[0][1]
+    assert found_in(spark, item, same)[0] == (windows, windows, 2, 2)
+    item = "the farmer keeps 3 hens and 4 goats in the yard behind his house, of the hens 3 are brown and the man sells their eggs on the market of the town"
+    odd = item.replace("3 hens", "5 hens").replace("3 are", "6 are").replace("4", "9")
+    (matched, windows, slots, changed), bad = found_in(spark, item, odd)[0], (3, 15)  # places of the value that became two
+    assert matched == sum(all(not at <= x < at + WINDOW for x in bad) for at in range(windows)) and (slots, changed) == (1, 1)
