@@ -144,3 +144,8 @@ def test_only_windows_with_an_inconsistent_value_are_dropped(spark):
     odd = item.replace("3 hens", "5 hens").replace("3 are", "6 are").replace("4", "9")
     (matched, windows, slots, changed), bad = found_in(spark, item, odd)[0], (3, 15)  # places of the value that became two
     assert matched == sum(all(not at <= x < at + WINDOW for x in bad) for at in range(windows)) and (slots, changed) == (1, 1)
+
+
+def test_texts_of_200000_words(spark):
+    docs = ["w " * 200_000 + QUESTION, QUESTION + " one two three. Four" * 50_000, " ".join(f"word{n}, Name" for n in range(100_000))]
+    assert {k: v[:2] for k, v in found_in(spark, QUESTION, *docs).items()} == {d: f for (d, _), f in brute(dict(enumerate(docs)), {1: QUESTION}).items()}
