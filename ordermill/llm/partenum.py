@@ -259,6 +259,16 @@ def jaccard_components(docs, id_col="doc_id", text_col="text", size=4, threshold
     repeated rows link with each other; null ids take no part in the smallest id; an empty table
     gives an empty result; other columns are ignored.
     """
+    known = _labelled(docs, id_col, text_col, size, threshold)
+    # Saved, so that the join deals out both sides itself and can split a large group.
+    first = saved(known.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first")))
+    return known.join(first, "label", "left").select(
+        "doc_id", "key", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id")
+    )
+
+
+def _labelled(docs, id_col, text_col, size, threshold):
+    """doc_id, key, n_shingles, label of each document; label names its component, null without one."""
     ship(docs.sparkSession)
     limits = Threshold(threshold)
     key = F.xxhash64(F.col(id_col), F.col(text_col))
@@ -269,17 +279,19 @@ def jaccard_components(docs, id_col="doc_id", text_col="text", size=4, threshold
     )
     described = saved(described)
     labels = _node_labels(rows, described, size, limits)
-    known = described.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # Saved, so that the join deals out both sides itself and can split a large group.
-    first = saved(known.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first")))
-    return known.join(first, "label", "left").select(
-        "doc_id", "key", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id")
-    )
+    return described.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def one_of_each(docs, id_col="doc_id", text_col="text", size=4, threshold=85):
-    """The input rows of the smallest doc_id of each group; rows that repeat id and text are one document."""
-    found = jaccard_components(docs, id_col, text_col, size, threshold)
-    gone = saved(found.where("NOT doc_id <=> component_id").select("key").distinct())
+    """The input rows of one document of each group; rows that repeat id and text are one document.
+
+    It is the one with the smallest doc_id, null last, and of these with the smallest key, so one
+    stays where ids are null or repeat over different texts.
+    """
+    known = _labelled(docs, id_col, text_col, size, threshold).where("label IS NOT NULL")
+    known = saved(known.select("label", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key").alias("document")))
+    first = saved(known.groupBy("label").agg(F.min("document").alias("first")))
+    gone = known.join(first, "label").where(F.col("document.key") != F.col("first.key"))
+    gone = saved(gone.select(F.col("document.key").alias("key")).distinct())
     rows = packed(docs, key=F.xxhash64(F.col(id_col), F.col(text_col)))
     return bloom.without(rows, "key", gone).select("row.*")

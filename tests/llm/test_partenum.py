@@ -89,6 +89,16 @@ def test_defined_results(spark):
     assert one_of_each(frame.where("doc_id < 4")).count() == 3
 
 
+def test_one_stays_where_ids_are_null_or_repeat(spark):
+    dice = random.Random(5)
+    copies = lambda base: [" ".join(base[:-1] + [f"end{k}"]) for k in range(4)]
+    unnamed, same, mixed = (copies([f"v{dice.randrange(10**6)}" for _ in range(100)]) for _ in range(3))
+    rows = [(None, x) for x in unnamed] + [(7, x) for x in same] + list(zip((None, 9, 9, 12), mixed, strict=True)) + [(None, "alone here"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in one_of_each(frame).collect())
+    assert kept == sorted([("None", unnamed[0][:5]), ("7", same[0][:5]), ("9", mixed[0][:5]), ("None", "alone"), ("None", "")])
+
+
 def test_bands_meet_every_pair_that_can_link():
     limits = Threshold(85)
     import numpy as np
