@@ -57,14 +57,20 @@ def codewords(count):
     return best[1]
 
 
-def _grams(data):
-    """For each byte the table places of the n-grams that begin there."""
+def _grams(data, ends=()):
+    """For each byte the table places of the n-grams that begin there; bytes beyond the end of its text are zero."""
     b = np.concatenate((data, np.zeros(max(ORDERS), dtype=np.uint8))).astype(np.uint32)
     n = len(data)
+    ends = np.asarray(ends, dtype=np.int64)
+    beyond = []  # for each distance, the bytes whose text ends within it
+    for j in range(1, max(ORDERS)):
+        near = (ends[:, None] - np.arange(1, j + 1)).ravel()
+        beyond.append(near[(near >= 0) & (near < n)])
     for k, order in enumerate(ORDERS):
         value = b[:n].copy()
         for j in range(1, order):
             value = (value << np.uint32(8)) | b[j : j + n]
+            value[beyond[j - 1]] &= np.uint32(0xFFFFFF00)
         yield k * TABLE + ((value * np.uint32(2654435769)) >> np.uint32(32 - TABLE_BITS)).astype(np.int64)
 
 
@@ -80,7 +86,7 @@ def _text_sums(column, weights):
             some = np.flatnonzero(places[first + 1 : last + 1] > np.maximum(places[first:last], at))
             if not len(some):
                 continue
-            for codes in _grams(piece):
+            for codes in _grams(piece, places[first + 1 : last + 1] - at):
                 found = weights[codes[: end - at]]
                 sums[first + some] += np.add.reduceat(found, starts[some], axis=0, dtype=np.float64)
     return sums, np.maximum(1, np.diff(places)) * len(ORDERS)

@@ -48,6 +48,13 @@ def test_sums_do_not_depend_on_the_batch():
     assert np.allclose(together, np.concatenate([model.sides(pa.array([x])) for x in texts]), atol=1e-9)
 
 
+def test_short_texts_in_one_block_do_not_reach_into_each_other():
+    texts = [f" {x}{PAD}" for x in ("a", "one two", "", "xyz", "é", "w " * 40, "b")]
+    model = Model(list("ab"), codewords(2), np.random.default_rng(1).normal(size=(3 << 15, 1)).astype(np.float32), np.ones(1), np.ones(1))
+    together = model.sides(pa.array(texts))
+    assert np.allclose(together, np.concatenate([model.sides(pa.array([x])) for x in texts]), rtol=0, atol=1e-12)
+
+
 def test_defined_results(spark):
     words = {"aa": "mara tala nara ", "bb": "xix vox pyx "}
     rows = [(k, words[lang] * 5, lang) for k, lang in enumerate(["aa", "bb"] * 30)]
