@@ -5,7 +5,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ordermill.llm.chat_rendering import digests, render
+from ordermill.llm.compression_quality import score_quality
 from ordermill.llm.exact_dedup import exact_dedup
+from ordermill.llm.fill_in_middle import PLAIN, fill_in_middle, restored_sha256
 from ordermill.llm.frames import shared_folder, table
 from ordermill.llm.language_codes import identify
 from ordermill.llm.line_dedup import drop_similar_lines
@@ -14,6 +16,7 @@ from ordermill.llm.poisson_mix import mix_sources
 from ordermill.llm.recompression import drop_repeats
 from ordermill.llm.secret_ownership import KINDS, find_secrets, span_text
 from ordermill.llm.template_decontamination import contaminated
+from ordermill.llm.token_alignment import link_statistics
 from ordermill.llm.warc import read_archives, write_archives
 
 
@@ -85,6 +88,30 @@ def op10_warc(spark, sf_dir):
     )
 
 
+def op11_compression_quality(spark, sf_dir):
+    found = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_token_alignment(spark, sf_dir):
+    found = link_statistics(table(spark, sf_dir, "documents"))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    found = fill_in_middle(table(spark, sf_dir, "documents"))
+    formed = lambda chars: F.when(F.col("form") != PLAIN, chars)
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        formed(F.col("first_cut")).alias("prefix_chars"),
+        formed(F.col("last_cut") - F.col("first_cut")).alias("middle_chars"),
+        "output_sha256",
+        restored_sha256().alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -98,6 +125,9 @@ QUERIES = {
         op8_chat_rendering,
         op9_secret_ownership,
         op10_warc,
+        op11_compression_quality,
+        op12_token_alignment,
+        op13_fill_in_middle,
     )
 }
 
@@ -173,4 +203,25 @@ SQL = {
                CAST(sum(chars) AS BIGINT) AS formatted_chars, false AS rewrites_history
         FROM e GROUP BY conv_id
     """,
+    "op13_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                   sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x FROM documents),
+        h AS (
+            SELECT *, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+                   CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+        f AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+                        THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (
+            SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                                ELSE t END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
 }

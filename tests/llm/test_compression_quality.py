@@ -1,0 +1,99 @@
+"""Compression classifier: held-out accuracy, the fit's bounds, and defined results."""
+
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from ordermill.llm import compression_quality as cq, queries
+
+SF = "/root/testdata/sf0.1"
+
+
+def held(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def test_held_out_accuracy(spark):
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = queries.QUERIES["op11_compression_quality"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(r["held_out"] == held(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    seen = [(r["score"], r["predicted"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
+    score, predicted, label = (np.array(x) for x in zip(*seen))
+    assert len(seen) > 1000 and (predicted == label).mean() > 0.98
+    assert min((predicted == label)[label == q].mean() for q in (0, 1)) > 0.9
+    for low in np.arange(0, 1, 0.25):  # calibrated: among scores about p, about a share p is good
+        some = (score >= low) & (score < low + 0.25)
+        assert some.sum() < 20 or abs(score[some].mean() - label[some].mean()) < 0.2
+
+
+GOOD = "the quick brown fox goes over a lazy dog and comes back {} home again. "
+BAD = "B{}Y N0W!!! $$$ CHEAP### %%% click&&& "
+
+
+def some_rows(n=300, start=0):
+    return [(k, (GOOD if k % 2 else BAD).format(k) * (1 + k % 5), k % 2) for k in range(start, start + n)]
+
+
+def tables(spark, rows):
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(k, q, 0) for k, _, q in rows], "doc_id long, quality int, toxic int")
+
+
+def test_defined_results(spark):
+    _, labels = tables(spark, some_rows())
+    odd = [(1000, None), (1001, ""), (1002, " \n"), (1003, GOOD.format(1) * 50_000), (1004, BAD.format(1) * 50_000), (None, GOOD.format(2)), (3, GOOD.format(3)), (3, None)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in some_rows()] + odd, "doc_id long, text string")
+    docs = docs.withColumns({x: F.lit(1) for x in ("row", "score", "HELD_OUT", "part", "quality")})
+    odd_labels = spark.createDataFrame([(5, 7, 0), (7, None, 0), (None, 0, 0), (9, 1, 0), (9, 0, 0), (99999, 1, 0)], labels.schema)
+    found = cq.score_quality(docs, labels.unionByName(odd_labels)).collect()
+    assert len(found) == docs.count() and {r["row"]["part"] for r in found} == {1}
+    by = {r["doc_id"]: r for r in found}
+    assert by[1003]["predicted"] == 1 and by[1004]["predicted"] == 0 and not by[None]["held_out"]
+    assert by[1000]["score"] == by[1001]["score"] and 0 <= by[1000]["score"] <= 1
+    assert cq.score_quality(docs.limit(0), labels).collect() == []
+
+
+def test_one_label_or_none(spark):
+    docs, labels = tables(spark, some_rows(60))
+    assert {r["score"] for r in cq.score_quality(docs, labels.limit(0)).collect()} == {0.5}
+    only = [k for k in range(60) if k % 2 and not held(k)]
+    want = (len(only) + 1) / (len(only) + 2)
+    assert {r["score"] for r in cq.score_quality(docs, labels.where("quality = 1")).collect()} == {want}
+
+
+def test_held_out_labels_are_not_learned(spark):
+    docs, labels = tables(spark, some_rows(400))
+    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    scores = lambda x: {r["doc_id"]: r["score"] for r in cq.score_quality(docs, x).collect()}
+    assert scores(labels) == scores(turned)
+
+
+def test_sample_is_bounded_and_result_repeats(spark):
+    docs, labels = tables(spark, some_rows(600))
+    assert cq._sampled(labels, 20, 30).groupBy("part").count().orderBy("part").collect() == [(0, 20), (1, 20), (2, 30)]
+    one = {r["doc_id"]: r["score"] for r in cq.score_quality(docs, labels, dictionary_rows=40, curve_rows=60).collect()}
+    two = {r["doc_id"]: r["score"] for r in cq.score_quality(docs.repartition(3), labels.repartition(5), dictionary_rows=40, curve_rows=60).collect()}
+    assert one == two
+
+
+def test_few_texts_are_their_own_dictionary():
+    assert cq.build_dictionary([b"one", b"two"]) == b"onetwo"
+
+
+def test_measures_by_hand():
+    import zstandard
+
+    texts = [GOOD.format(k).encode() * 3 for k in range(100)], [BAD.format(k).encode() * 3 for k in range(100)]
+    sizes = cq.Sizes(tuple(cq.build_dictionary(x) for x in texts[::-1]))
+    tools = [
+        zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+        for d in sizes.dictionaries
+    ]
+    text = (GOOD * 20 + BAD).format(*range(21)).encode()
+    cut = [text[k : k + 512] for k in range(0, len(text), 512)]
+    empty = min(len(t.compress(b"")) for t in tools)
+    bad, good = (sum(len(t.compress(p)) - empty for p in cut) for t in tools)
+    assert np.allclose(sizes.measure(pa.array([text.decode(), ""]))[0], [(bad - good) / max(bad, good), np.log((bad + good + 2) / (2 * len(text) + 8))])
