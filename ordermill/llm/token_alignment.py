@@ -15,10 +15,17 @@ Defined results: a text that is null or empty, or whose joined token bytes of ei
 space + text, has no tokens; ids may be null or repeat, each row is treated by itself; an empty table gives
 an empty result; other columns are carried along in `row` (`align_tokens`) or ignored (`link_statistics`).
 Whole texts are tokenized; a task holds the tokens of one block of about `BLOCK` bytes, or of one longer text.
+
+The byte-level vocabulary has no token with a space after something other than white space, so a text
+falls into chunks, each with the space before it, whose tokens do not depend on the others. A task tokenizes
+a chunk once and remembers it, up to `REMEMBERED` chunks; a vocabulary that does not allow this, and side B,
+whose library gains nothing by it, are given whole texts.
 """
 
 import hashlib
+import itertools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +39,8 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK = 1 << 19
 MOST_PAIRS = 1 << 20
+REMEMBERED = 1 << 17
+_GAP = re.compile(r"\s |^ ")
 _SPACE_MARK = "▁"
 
 
@@ -42,6 +51,25 @@ def _byte_level():
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _crosses(token):
+    """Whether a token has a space after something other than white space."""
+    return re.search(r"\S ", token.decode(errors="replace")) is not None
+
+
+def chunks(text):
+    """A text cut at its spaces; a space after white space belongs to the chunk before."""
+    parts = text.split(" ")
+    if not _GAP.search(text):
+        return parts
+    cut = parts[:1]
+    for part in parts[1:]:
+        if cut[-1] and not cut[-1][-1].isspace():
+            cut.append(part)
+        else:
+            cut[-1] = f"{cut[-1]} {part}"
+    return cut
+
+
 class ByteBpe:
     """Ids of space + text, and the bytes of each id."""
 
@@ -57,6 +85,9 @@ class ByteBpe:
         for token, k in known.items():
             self.bytes_of[k] = bytes(level[c] for c in token) if set(token) <= level.keys() else token.encode()
 
+        # The pattern that splits a text before merging puts a space at the start of a piece only.
+        self.by_chunk = not any(map(_crosses, self.bytes_of))
+
     def encode(self, texts):
         found = self._tool.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         return [e.ids for e in found]
@@ -70,6 +101,7 @@ class PieceBpe:
 
         self._tool = sentencepiece.SentencePieceProcessor(model_proto=content)
         self.bytes_of = [self._bytes(k) for k in range(self._tool.get_piece_size())]
+        self.by_chunk = False
 
     def _bytes(self, k):
         piece = self._tool.id_to_piece(k)
@@ -93,18 +125,40 @@ class Side:
 
     def tool(self):
         if self._tool is None:
-            self._tool = self.kind(self.content)
+            self._tool, self._known = self.kind(self.content), {}
             self.sizes = np.array([len(b) for b in self._tool.bytes_of])
             names = [f"{k}{end}" for end in _ENDS for k in range(len(self.sizes))]
             self.names = np.array(names, dtype=object).reshape(len(_ENDS), -1)
         return self._tool
 
-    def tokens(self, texts):
-        """Ids of each text, or None where the bytes of its tokens are not space + text."""
+    def _checked(self, texts):
         table = self.tool().bytes_of
         for text, ids in zip(texts, self.tool().encode(texts)):
             yield ids if b"".join([table[k] for k in ids]) == b" " + text.encode() else None
 
+    def _chunk_tokens(self, new):
+        """Ids of each chunk: all are tokenized as one text, whose tokens are cut at the ends of the chunks."""
+        (ids,) = self._checked([" ".join(new)])
+        if ids is None or any(not c or c[-1].isspace() for c in new):  # tokens may not end with each chunk
+            return list(self._checked(new))
+        ends = np.cumsum([1 + len(c.encode()) for c in new])
+        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+        return [tuple(ids[a:b]) for a, b in zip([0, *cuts], cuts)]
+
+    def tokens(self, texts):
+        """Ids of each text, or None where the bytes of its tokens are not space + text."""
+        if not self.tool().by_chunk:
+            return list(self._checked(texts))
+        cut = [chunks(text) for text in texts]
+        met, known = {c for one in cut for c in one}, self._known
+        if len(known) > REMEMBERED:
+            known = self._known = {c: known[c] for c in met if c in known}
+        new = [c for c in met if c not in known]
+        for some in ([c for c in new if c and not c[-1].isspace()], [c for c in new if not c or c[-1].isspace()]):
+            known.update(zip(some, self._chunk_tokens(some) if some else ()))
+        found = [[known[c] for c in one] for one in cut]
+        return [None if None in one else list(itertools.chain.from_iterable(one)) for one in found]
+
 
 # What may follow an id in the text of groups: the next id of its side, the other side, the next group, nothing.
 _ENDS = (",", "|", ";", "")
@@ -116,7 +170,7 @@ class Block:
 
     def __init__(self, sides, texts):
         kept = [k for k, t in enumerate(texts) if t]
-        found = [list(side.tokens([texts[k] for k in kept])) for side in sides]
+        found = [side.tokens([texts[k] for k in kept]) for side in sides]
         ids = [[[]] * len(texts), [[]] * len(texts)]
         for k, *both in zip(kept, *found):
             if None not in both:

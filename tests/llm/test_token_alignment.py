@@ -70,6 +70,18 @@ def test_rare_pairs_are_joined(spark, most_pairs):
     assert {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in got} == dict(enumerate(wanted(ODD)))
 
 
+def test_remembered_chunks_give_the_tokens_of_whole_texts(monkeypatch):
+    side = ta._sides(ta.BYTE_BPE, ta.PIECE_BPE)[0]
+    assert side.tool().by_chunk and ta._crosses(b"a b") and not ta._crosses("\u00a0 x".encode())
+    pieces = ["word", "it's", " ", "  ", "\n", "\t ", "\u00a0", " \u2003", "1,200.5", "é", "漢字", "!?", "\x1c", "\x85", "<|endoftext|>", "don't", "end."]
+    random = np.random.default_rng(5)
+    texts = ["".join(random.choice(pieces, 12)) for _ in range(300)] + [" ".join(random.choice(pieces, 12)) for _ in range(300)] + [t for t in ODD if t]
+    whole = list(side._checked(texts))
+    assert all("".join([" " + c for c in ta.chunks(t)]) == " " + t for t in texts)
+    monkeypatch.setattr(ta, "REMEMBERED", 20)
+    assert [x for k in range(0, len(texts), 7) for x in side.tokens(texts[k : k + 7])] == whole
+
+
 def test_blocks_do_not_matter(monkeypatch):
     whole = ta.Block(SIDES, [t or "" for t in ODD])
     for text, shown, count in zip(ODD, whole.group_texts(SIDES), whole.n_groups()):
