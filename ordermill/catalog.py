@@ -8,14 +8,11 @@ from pyspark.sql import functions as F, types as T
 
 from ordermill.functions.text import blank_or_null_word_to_null, blank_to_null
 from ordermill.operators import dims, facts, parse, quality, setdiff, silver, upsert
-from ordermill.plans import measures, reports
-from ordermill.plans.gold import gold_tables
+from ordermill.plans import loads, measures, replays, reports
 from ordermill.plans.layers import Layers, scratch, silver_rows, source_events
 from ordermill.plans.star import Slicers, business_only, slice_star
 from ordermill.schemas import (
     BUSINESS_COLUMNS,
-    DEFAULT_CLUSTER,
-    DEFAULT_TOPIC,
     DIM_CUSTOMER,
     DIM_PRODUCT,
     FACT_ORDERS_COLUMNS,
@@ -23,8 +20,7 @@ from ordermill.schemas import (
 )
 from ordermill.session import use_utc
 from ordermill.sources import delimited, derived, inbox
-from ordermill.sources.messages import MessageFolder
-from ordermill.streaming import ingest, windows
+from ordermill.streaming import windows
 
 SALES_MEASURES = [
     "total_orders",
@@ -74,7 +70,7 @@ def shown(frame):
     for f in frame.schema:
         column = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(f.dataType, T.DateType):
             column = F.date_format(column, "yyyy-MM-dd")
         elif isinstance(f.dataType, T.DoubleType):
@@ -428,7 +424,7 @@ def bronze_csv(spark, sf_dir):
     """Raw rows written as CSV files and loaded again with their types."""
     path = f"{scratch(spark)}/raw"
     derived.raw_sales(spark, sf_dir).write.options(
-        **delimited.DIALECT, timestampFormat="yyyy-MM-dd HH:mm:ss", emptyValue='""'
+        **delimited.DIALECT, timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", emptyValue='""'
     ).csv(path)
     return delimited.read_bronze_csv(spark, path)
 
@@ -444,20 +440,6 @@ def exported_metrics(spark, sf_dir):
     return spark.read.schema(schema).options(**delimited.DIALECT).csv(path)
 
 
-def streamed_orders(spark, sf_dir):
-    """All messages as a stream: stored, cleaned and loaded batch by batch, then the orders."""
-    root = scratch(spark)
-    derived.messages(spark, sf_dir).write.parquet(f"{root}/topic")
-    to = ingest.Destination(
-        f"{root}/lake", DEFAULT_CLUSTER, DEFAULT_TOPIC, derived.TOPIC_ID
-    )
-    source = MessageFolder(f"{root}/topic", max_per_batch=1000)
-    ingest.start_ingest(
-        spark, source, to, f"{root}/state", "backfill", report=lambda text: None
-    ).awaitTermination()
-    return facts.fact_orders(gold_tables(to.gold(spark))["order_states"])
-
-
 def streamed_window_counts(spark, sf_dir):
     """Finished event-time windows of the event table read as a stream."""
     root = scratch(spark)
@@ -485,7 +467,6 @@ def streamed_window_counts(spark, sf_dir):
 _PLAIN = [
     bronze_csv,
     exported_metrics,
-    streamed_orders,
     streamed_window_counts,
     bronze_typed,
     order_messages,
@@ -534,7 +515,7 @@ _PLAIN = [
     affected_orders,
 ]
 
-QUERIES = {build.__name__: _query(build) for build in _PLAIN} | {
+QUERIES = {build.__name__: _query(build) for build in [*_PLAIN, *replays.QUERIES, *loads.QUERIES]} | {
     "silver_rebuild_ts": _query(source_events),
     "kpi_sales": _cards(SALES_MEASURES),
     "kpi_products": _cards(PRODUCT_MEASURES),

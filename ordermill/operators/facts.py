@@ -124,15 +124,18 @@ def order_states(events, dim_customer):
     return checked_order_states(events, dim_customer).select(*ORDER_STATE_COLUMNS)
 
 
-def extended_states(known, new):
-    """Known order states with new partial states added to them, and their check column."""
-    columns = [
-        "order_id", *_MILESTONES, *_LATEST, "customer_key", *_ATTRIBUTES,
-        "payments", "refunds", "event_count", "is_cancelled",
-    ]
-    both = known.select(*columns).unionByName(new.select(*columns))
-    return combine_states(both, "customer_key").select(
-        *ORDER_STATE_COLUMNS, "attributes_conflict"
+def stored_states(states, conflict=None):
+    """One state per order from stored partial ones, in the stored columns.
+
+    With `conflict`, the name of a column of partial states, an order is in conflict as well when
+    any of its parts was.
+    """
+    combined = combine_states(states, "customer_key")
+    if not conflict:
+        return combined.select(*ORDER_STATE_COLUMNS)
+    found = states.groupBy("order_id").agg(F.bool_or(conflict).alias("_before"))
+    return combined.join(found, "order_id").select(
+        *ORDER_STATE_COLUMNS, (F.col("attributes_conflict") | F.col("_before")).alias("attributes_conflict")
     )
 
 

@@ -10,6 +10,7 @@ from operator import or_
 from pyspark.sql import functions as F
 
 from ordermill.functions.clock import is_text_date, rebuild_timestamp
+from ordermill.functions.digest import DIGEST, several, unlike, with_digest
 from ordermill.functions.text import any_unusable_id, blank_to_null, utf8_text
 from ordermill.operators.facts import order_rollup
 from ordermill.operators.parse import json_failed, tolerant_json
@@ -123,7 +124,7 @@ def order_rules(events):
     return order_rollup(events).select("order_id", "attributes_conflict", "payments", "refunds")
 
 
-_BAD_PAYMENTS = "payments > 1 or refunds > 1 or (refunds > 0 and payments = 0)"
+BAD_PAYMENTS = "payments > 1 or refunds > 1 or (refunds > 0 and payments = 0)"
 
 
 def order_attribute_conflicts(events):
@@ -133,39 +134,38 @@ def order_attribute_conflicts(events):
 
 def payment_pattern_violations(events):
     """Orders with two payments, two refunds, or a refund without payment."""
-    return order_rules(events).filter(_BAD_PAYMENTS).select("order_id", "payments", "refunds")
+    return order_rules(events).filter(BAD_PAYMENTS).select("order_id", "payments", "refunds")
 
 
 def bronze_conflicts(bronze):
     """Events that occur in Bronze with more than one content."""
-    content = F.struct(*[c for c in BUSINESS_COLUMNS if c != "event_id"])
-    return (
-        comparable_bronze(bronze)
-        .groupBy("event_id")
-        .agg(F.min(content).alias("_low"), F.max(content).alias("_high"))
-        .filter(~F.col("_low").eqNullSafe(F.col("_high")))
-        .select("event_id")
-    )
+    versions = with_digest(comparable_bronze(bronze), _CONTENT).groupBy("event_id")
+    return versions.agg(several().alias("conflict")).filter("conflict").select("event_id")
+
+
+_CONTENT = [c for c in BUSINESS_COLUMNS if c != "event_id"]
 
 
 def event_audit(events, bronze):
-    """Per event id, Silver against Bronze, in one shuffle.
+    """Per event id, Silver against Bronze, in one shuffle of ids and digests.
 
     With one Silver row per id and one Bronze content per id, the two tables are equal
     as sets exactly when every id is on both sides with a single content.
     """
-    content = F.struct(*[c for c in BUSINESS_COLUMNS if c != "event_id"])
-    sides = events.select("event_id", content.alias("row"), F.lit(True).alias("silver")).unionByName(
-        comparable_bronze(bronze).select(
-            "event_id", content.alias("row"), F.lit(False).alias("silver")
-        )
+    side = lambda frame, silver: with_digest(frame, _CONTENT).select(
+        "event_id", *DIGEST, F.lit(silver).alias("silver")
     )
-    in_silver, in_bronze = F.when(F.col("silver"), F.col("row")), F.when(~F.col("silver"), F.col("row"))
-    return sides.groupBy("event_id").agg(
-        F.count(in_silver).alias("silver_rows"),
-        F.count(in_bronze).alias("bronze_rows"),
-        (~F.min(in_bronze).eqNullSafe(F.max(in_bronze))).alias("bronze_conflict"),
-        (~F.min(in_silver).eqNullSafe(F.min(in_bronze))).alias("differs"),
+    silver = F.col("silver")
+    return (
+        side(events, True)
+        .unionByName(side(comparable_bronze(bronze), False))
+        .groupBy("event_id")
+        .agg(
+            F.count_if(silver).alias("silver_rows"),
+            F.count_if(~silver).alias("bronze_rows"),
+            several(~silver).alias("bronze_conflict"),
+            unlike(silver, ~silver).alias("differs"),
+        )
     )
 
 
@@ -210,21 +210,23 @@ def require_source(silver, bronze):
     return report
 
 
+def require_order_sums(conflicts, bad_payments):
+    """Stop when orders have conflicting attributes or a wrong payment pattern."""
+    found = {"order attributes conflict": conflicts, "payment/refund pattern": bad_payments}
+    broken = {rule: n for rule, n in found.items() if n}
+    if broken:
+        raise QualityError(broken)
+
+
 def require_orders(states):
-    """Stop on conflicting order attributes or payment patterns; returns the order count."""
-    orders = (
-        states.agg(
-            F.count("*").alias("orders"),
-            F.count_if("attributes_conflict").alias("order attributes conflict"),
-            F.count_if(F.expr(_BAD_PAYMENTS)).alias("payment/refund pattern"),
-        )
-        .first()
-        .asDict()
-    )
-    total = orders.pop("orders")
-    if any(orders.values()):
-        raise QualityError({rule: n for rule, n in orders.items() if n})
-    return total
+    """The same over order states; returns the order count."""
+    sums = states.agg(
+        F.count("*").alias("orders"),
+        F.count_if("attributes_conflict").alias("conflicts"),
+        F.count_if(F.expr(BAD_PAYMENTS)).alias("bad_payments"),
+    ).first()
+    require_order_sums(sums["conflicts"], sums["bad_payments"])
+    return sums["orders"]
 
 
 def _inbox_rules():

@@ -22,7 +22,7 @@ _MONEY = {"unit_price_vnd", "order_total_vnd", "gross_paid_vnd", "refunded_vnd",
 
 
 def _stamp(column):
-    return f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
+    return f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
 def _show(columns, prefix=""):
@@ -60,8 +60,8 @@ o AS (
          WHEN i = 2 AND r < 94 THEN 'ORDER_SHIPPED' WHEN i = 2 THEN 'ORDER_CANCELLED'
          WHEN r < 94 THEN 'ORDER_DELIVERED' WHEN r < 97 THEN 'REFUND_ISSUED'
          ELSE 'CANCEL_ACKNOWLEDGED' END AS event_type,
-    make_timestamp(secs * 1000000) AS event_time_utc,
-    make_timestamp((secs + CASE WHEN late THEN 2700 ELSE n % 60 END) * 1000000)
+    make_timestamp(secs * 1000000 + n % 999 * 1000 + 1) AS event_time_utc,
+    make_timestamp((secs + CASE WHEN late THEN 2700 ELSE n % 60 END) * 1000000 + n % 999 * 1000 + 1)
       AS producer_time_utc,
     'CUST-' || lpad(CAST(o_custkey AS VARCHAR), 15, '0') AS customer_id,
     'SKU-' || lpad(CAST(p_partkey AS VARCHAR), 15, '0') AS product_id,
@@ -81,7 +81,7 @@ o AS (
 )"""
 
 _JSON_FIELDS = ", ".join(
-    f"'{c}', strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"
+    f"'{c}', strftime({c}, '%Y-%m-%dT%H:%M:%S.%fZ')"
     if c in _INSTANTS
     else f"'{c}', CAST({c} AS VARCHAR)"
     for c in BUSINESS_COLUMNS
@@ -93,7 +93,7 @@ _MESSAGES = f"""{_RAW}, messages AS (
   FROM raw
 ), inbox AS (
   SELECT partition_id, kafka_offset, order_id AS message_key, value,
-         producer_time_utc AS sent_at
+         date_trunc('millisecond', producer_time_utc) AS sent_at
   FROM messages
 ), decoded AS (
   SELECT partition_id, kafka_offset, {", ".join(
@@ -129,7 +129,7 @@ _SILVER = f"""{_RAW}, silver AS (
 )"""
 
 _SPLIT = ", ".join(
-    f"strftime({c}, '%H:%M:%S') || '.000000' AS {c}"
+    f"strftime({c}, '%H:%M:%S.%f') AS {c}"
     if c in _INSTANTS
     else f"strftime({c.replace('date', 'time')}, '%Y%d%m') AS {c}"
     if c in ("event_date_utc", "producer_date_utc")
@@ -210,8 +210,8 @@ _MODEL = f"""{_GOLD}, m_events AS (
 _DEFECTS = f"""{_SILVER}, loaded AS (
   SELECT *, strftime(event_time_utc, '%Y%d%m') AS event_date_utc,
     strftime(producer_time_utc, '%Y%d%m') AS producer_date_utc,
-    strftime(event_time_utc, '%H:%M:%S') AS event_clock,
-    strftime(producer_time_utc, '%H:%M:%S') AS producer_clock
+    strftime(event_time_utc, '%H:%M:%S.%f') AS event_clock,
+    strftime(producer_time_utc, '%H:%M:%S.%f') AS producer_clock
   FROM silver
 ), broken AS (
   SELECT event_id, order_id,
@@ -235,8 +235,8 @@ _DEFECTS = f"""{_SILVER}, loaded AS (
   FROM loaded
 ), bad AS (
   SELECT *, nullif(nullif(trim(silver_promo), ''), 'null') AS promo_code,
-    try_strptime(event_date_utc || ' ' || event_clock, '%Y%d%m %H:%M:%S') AS event_time_utc,
-    try_strptime(producer_date_utc || ' ' || producer_clock, '%Y%d%m %H:%M:%S')
+    try_strptime(event_date_utc || ' ' || event_clock, '%Y%d%m %H:%M:%S.%f') AS event_time_utc,
+    try_strptime(producer_date_utc || ' ' || producer_clock, '%Y%d%m %H:%M:%S.%f')
       AS producer_time_utc
   FROM broken
 ), rawc AS (
@@ -367,6 +367,158 @@ def _bad_rules():
     return f"concat_ws(',', {named})"
 
 
+_NUMBERED = "CAST(right({}, 15) AS BIGINT)"
+
+
+def _delivered(time):
+    """Rows with the delivery they arrive in, as the fixture deals them out."""
+    first = f"(year({time}) - 1995) // 4 + CASE WHEN n % 50 = 7 OR cp = 1 THEN 1 ELSE 0 END"
+    return f"""SELECT *, CAST({first} + again AS INTEGER) AS delivery
+      FROM {{}}, (VALUES (0), (1)) a(again) WHERE again = 0 OR n % 997 = 1"""
+
+
+def _exports():
+    """Rows of the six tables as the text of their files."""
+    shown = {
+        "dim_date": ["date_key", "full_date", "date_label", "day_of_month", "month_number", "quarter_number",
+                     "year_number", "day_of_week", "is_weekend"],
+        "dim_customer": ["customer_key", "customer_id"],
+        "dim_product": ["product_key", "product_id", "category"],
+        "fact_sales_events": FACT_SALES_EVENTS_COLUMNS,
+        "fact_orders": FACT_ORDERS_COLUMNS,
+        "pay": ["order_id", "paid_date_key", "order_total_vnd", "has_payment", "has_refund", "is_cancelled",
+                "gross_paid_vnd", "refunded_vnd", "net_paid_vnd"],
+    }
+    flags = {"is_weekend", "is_late_event", "has_payment", "has_refund", "is_cancelled"}
+
+    def text(c):
+        if c in _INSTANTS or c.endswith("_at_utc"):
+            return f"{_stamp(c)} || '+00'"
+        if c in flags:
+            return f"CASE WHEN {c} THEN 't' WHEN NOT {c} THEN 'f' END"
+        return f"CAST(CAST({c} AS DECIMAL(28,2)) AS VARCHAR)" if c in _MONEY else f"CAST({c} AS VARCHAR)"
+
+    for table, columns in shown.items():
+        fields = " || '|' || ".join(f"coalesce({text(c)}, '-')" for c in columns)
+        yield "order_payment_metrics" if table == "pay" else table, table, fields
+
+
+def _load_statements():
+    """Results of loads, files and streams."""
+    number, order = _NUMBERED.format("event_id"), _NUMBERED.format("order_id")
+    actions = lambda load, event, state: " UNION ALL ".join(
+        f"SELECT '{load}' AS load, '{name}' AS table_name, "
+        + (
+            'count(*) AS "insert", CAST(0 AS BIGINT) AS "update", CAST(0 AS BIGINT) AS same, '
+            if load == "first"
+            else f'CAST(0 AS BIGINT) AS "insert", count(*) FILTER ({test}) AS "update", '
+            f"count(*) FILTER (NOT ({test})) AS same, "
+        )
+        + f"CAST(0 AS BIGINT) AS stale FROM {table}"
+        for name, table, test in (
+            ("fact_sales_events", "fact_sales_events", event),
+            ("order_states", "fact_orders", state),
+        )
+    )
+    null_events, null_states = f"{number} % 400 = 2", f"{order} % 300 = 2"
+    loads = [
+        actions("first", "false", "false"),
+        actions("unchanged", "false", "false"),
+        actions("repaired", f"{number} % 400 = 1", f"{order} % 300 = 1"),
+        actions("pending", null_events, null_states),
+        actions("null_changed", null_events, null_states),
+    ]
+    blank = lambda c: f"{c} IS NULL OR trim({c}) = ''"
+    basic = {
+        "event time": "event_time_utc IS NULL",
+        "event_id": blank("event_id"),
+        "event_type": blank("event_type"),
+        "order total": "order_total_vnd IS NULL OR order_total_vnd < 0",
+        "order_id": blank("order_id"),
+        "quantity": "quantity IS NULL OR quantity <= 0",
+        "unit price": "unit_price_vnd IS NULL OR unit_price_vnd < 0",
+    }
+    basic = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in basic.items())
+    exports = list(_exports())
+    windows = (
+        "SELECT time_bucket(INTERVAL 5 MINUTE, event_time_utc) AS w, event_type, count(*) AS events, "
+        "count(*) FILTER (WHERE is_late_event) AS late_events FROM decoded GROUP BY w, event_type"
+    )
+    return {
+        "streamed_orders": _with(_GOLD, f"SELECT {_show(FACT_ORDERS_COLUMNS)} FROM fact_orders"),
+        "restarted_orders": _with(_GOLD, f"SELECT {_show(FACT_ORDERS_COLUMNS)} FROM fact_orders"),
+        "inspected_batches": _with(
+            f"""{_DAMAGED}, numbered AS (
+              SELECT p.*, r.n, r.cp, r.producer_time_utc AS sent FROM parsed p
+              JOIN raw r ON p.kafka_offset = 2 * r.n + r.cp
+            ), sent AS ({_delivered("sent").format("numbered")})""",
+            "SELECT delivery AS batch, partition_id AS partition, count(*) AS rows, min(kafka_offset) AS first_offset, "
+            "max(kafka_offset) AS last_offset, count(*) FILTER (WHERE NOT good) AS json_errors "
+            "FROM sent GROUP BY ALL",
+        ),
+        "streamed_type_windows": _with(
+            _MESSAGES,
+            f"SELECT {_stamp('w')} AS start, {_stamp('w + INTERVAL 5 MINUTE')} AS \"end\", event_type, events, "
+            f"late_events FROM ({windows}) WHERE w + INTERVAL 5 MINUTE <= "
+            "(SELECT date_trunc('millisecond', max(event_time_utc)) - INTERVAL 10 MINUTE FROM decoded)",
+        ),
+        "streamed_dedupe": _with(_RAW, f"SELECT DISTINCT {_show(BUSINESS_COLUMNS)} FROM raw"),
+        "late_rows": _with(
+            f"""{_RAW}, firsts AS (SELECT * FROM raw WHERE cp = 0),
+            sent AS ({_delivered("event_time_utc").format("firsts")}),
+            marks AS (SELECT delivery, date_trunc('millisecond', max(max(event_time_utc)) OVER (ORDER BY delivery)) AS seen
+                      FROM sent GROUP BY delivery)""",
+            "SELECT d.delivery, count(event_id) AS read, count(event_id) FILTER (NOT late) AS accepted, "
+            "count(event_id) FILTER (late) AS dropped FROM (SELECT CAST(unnest(range(4)) AS INTEGER) AS delivery) d LEFT JOIN ("
+            "SELECT s.*, coalesce(event_time_utc <= (SELECT max(seen) FROM marks m WHERE m.delivery < s.delivery) "
+            "- INTERVAL 10 MINUTE, false) AS late FROM sent s) s ON s.delivery = d.delivery GROUP BY d.delivery",
+        ),
+        "gold_load_actions": _with(_GOLD, " UNION ALL ".join(loads)),
+        "load_report": _with(
+            _GOLD,
+            "SELECT (SELECT count(*) FROM silver) AS events, (SELECT count(*) FROM raw) AS bronze_rows, "
+            "(SELECT count(DISTINCT order_id) FROM silver) AS orders",
+        ),
+        "silver_load": _with(_SILVER, f"SELECT {_SPLIT}, true AS loaded FROM silver"),
+        "silver_load_from_inbox": _with(_SILVER, f"SELECT {_SPLIT}, true AS loaded FROM silver"),
+        "csv_taken_once": _with(_RAW, f"SELECT {_show(BUSINESS_COLUMNS)}, CAST(k % 2 AS INTEGER) AS part FROM raw"),
+        "csv_rejects": _with(
+            _RAW,
+            "SELECT CASE WHEN n % 401 IN (1, 2) THEN 'wrong number of fields' WHEN n % 401 = 3 THEN 'blank event_id' "
+            "WHEN n % 401 IN (4, 5) THEN 'blank order_id' END AS reject_reason, count(*) AS rows FROM raw GROUP BY 1",
+        ),
+        "exported_gold": _with(
+            _GOLD,
+            " UNION ALL ".join(f"SELECT '{n}' AS table_name, {fields} AS fields FROM {t}" for n, t, fields in exports),
+        ),
+        "export_order": _with(
+            _GOLD,
+            " UNION ALL ".join(
+                f"SELECT '{n}' AS table_name, count(*) AS rows, true AS in_order FROM {t}" for n, t, _ in exports
+            ),
+        ),
+        "inbox_rule_violations": _with(
+            _DEFECTS,
+            f"SELECT event_id, rules FROM (SELECT event_id, concat_ws(',', {basic}) AS rules FROM bad) WHERE rules <> ''",
+        ),
+        "inbox_key_violations": _with(
+            f"""{_MESSAGES}, keys AS (
+              SELECT CASE kafka_offset % 1000 WHEN 2 THEN -1 WHEN 4 THEN NULL ELSE partition_id END AS partition_id,
+                CASE kafka_offset % 1000 WHEN 6 THEN -kafka_offset ELSE kafka_offset END AS kafka_offset FROM inbox)""",
+            "SELECT * FROM (SELECT partition_id, kafka_offset, CASE WHEN partition_id IS NULL THEN 'missing key part' "
+            "WHEN partition_id < 0 THEN 'negative partition' WHEN kafka_offset < 0 THEN 'negative offset' "
+            "WHEN kafka_offset % 1000 = 8 THEN 'repeated coordinate' END AS problem, "
+            "CASE WHEN kafka_offset % 1000 = 8 THEN 2 ELSE 1 END * CAST(1 AS BIGINT) AS copies FROM keys) WHERE problem IS NOT NULL",
+        ),
+        "lost_in_join": _with(_SILVER, "SELECT event_id, product_id, category FROM ev WHERE category = 'CLEARANCE'"),
+        "loaded_date_violations": _with(
+            _SILVER,
+            "SELECT event_id, CASE WHEN n % 307 = 1 THEN 'impossible date' WHEN n % 307 = 2 THEN 'date text,impossible date' ELSE 'date text' END AS rules "
+            "FROM silver WHERE n % 307 IN (1, 2, 3)",
+        ),
+    }
+
+
 def statements():
     fs = ", ".join(FACT_SALES_EVENTS_COLUMNS)
     orders_shown = _show(FACT_ORDERS_COLUMNS)
@@ -384,7 +536,7 @@ def statements():
         f"{_m('units_sold', 'product_gross_paid')} "
         "FROM m_events JOIN dim_product p USING (product_key) GROUP BY p.product_id"
     ).replace("SELECT product_id", "SELECT p.product_id")
-    return {
+    return _load_statements() | {
         "bronze_csv": _with(_RAW, f"SELECT {_show(BUSINESS_COLUMNS)} FROM raw"),
         "exported_metrics": _with(
             _GOLD,
@@ -400,7 +552,6 @@ def statements():
             )
             + " FROM pay",
         ),
-        "streamed_orders": _with(_GOLD, f"SELECT {orders_shown} FROM fact_orders"),
         "streamed_window_counts": (
             f"SELECT {_stamp('w')} AS start, {_stamp('w + INTERVAL 5 MINUTE')} AS \"end\", "
             "count(*) AS count FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS w FROM events) "
@@ -466,16 +617,12 @@ def statements():
         "inbox_conflict": _with(
             _MESSAGES,
             "SELECT 'retail-local' AS source_cluster, 'derived-topic' AS source_topic_id, "
-            "b.partition_id, b.kafka_offset FROM inbox s JOIN (SELECT partition_id, kafka_offset, "
-            "CASE WHEN kafka_offset % 100 = 14 THEN value || ' ' ELSE value END AS value "
-            "FROM inbox) b USING (partition_id, kafka_offset) "
-            "WHERE s.value IS DISTINCT FROM b.value",
+            "partition_id, kafka_offset FROM inbox WHERE kafka_offset % 100 = 14",
         ),
         "new_inbox_rows": _with(
             _MESSAGES,
-            "SELECT partition_id, kafka_offset, message_key FROM inbox a WHERE NOT EXISTS ("
-            "SELECT 1 FROM inbox s WHERE s.kafka_offset % 2 = 0 "
-            "AND s.partition_id = a.partition_id AND s.kafka_offset = a.kafka_offset)",
+            "SELECT partition_id, kafka_offset, any_value(message_key) AS message_key FROM inbox "
+            "GROUP BY partition_id, kafka_offset HAVING bool_and(kafka_offset % 2 <> 0)",
         ),
         "duplicate_events": _with(
             _RAW,

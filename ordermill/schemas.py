@@ -216,3 +216,38 @@ ORDER_ATTRIBUTES = [
     "traffic_source",
     "promo_code",
 ]
+
+
+# Types of the columns that facts have and Bronze has not.
+_FACT_TYPES = {
+    "customer_key": T.LongType(),
+    "product_key": T.LongType(),
+    "event_date_key": T.IntegerType(),
+    "producer_date_key": T.IntegerType(),
+    "created_date_key": T.IntegerType(),
+    "paid_date_key": T.IntegerType(),
+    "delivered_date_key": T.IntegerType(),
+    "created_at_utc": T.TimestampType(),
+    "paid_at_utc": T.TimestampType(),
+    "shipped_at_utc": T.TimestampType(),
+    "delivered_at_utc": T.TimestampType(),
+    "latest_event_at_utc": T.TimestampType(),
+    "latest_producer_at_utc": T.TimestampType(),
+    "latest_event_type": T.StringType(),
+    "latest_event_id": T.StringType(),
+    "has_payment": T.BooleanType(),
+    "has_refund": T.BooleanType(),
+    "is_cancelled": T.BooleanType(),
+    "payments": T.LongType(),
+    "refunds": T.LongType(),
+    "event_count": T.LongType(),
+}
+
+
+def _fact_schema(columns):
+    types = {f.name: f.dataType for f in BRONZE} | _FACT_TYPES
+    return T.StructType([T.StructField(c, types[c]) for c in columns])
+
+
+FACT_SALES_EVENTS = _fact_schema(FACT_SALES_EVENTS_COLUMNS)
+ORDER_STATES = _fact_schema(ORDER_STATE_COLUMNS)

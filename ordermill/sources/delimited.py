@@ -1,6 +1,6 @@
 """CSV in, messages out, CSV snapshot out."""
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window, functions as F, types as T
 
 from ordermill.functions.rows import fail_where
 from ordermill.schemas import BRONZE
@@ -101,13 +101,14 @@ def write_messages(rows, servers, topic):
     )
 
 
-def ingest_csv_once(spark, folder, bronze_path, checkpoint):
-    """Append every CSV file not taken before; a second call on the same files adds none."""
+def ingest_csv_once(spark, folder, bronze_path, checkpoint, with_source=False):
+    """Append every CSV file not taken before; a second call on the same files adds none.
+
+    Each row is stored with the file it came from, which `with_source` shows.
+    """
+    rows = use_utc(spark).readStream.schema(BRONZE).options(**TYPED).csv(folder)
     query = (
-        use_utc(spark)
-        .readStream.schema(BRONZE)
-        .options(**TYPED)
-        .csv(folder)
+        rows.select("*", F.col("_metadata.file_path").alias("source_file"))
         .writeStream.format("parquet")
         .option("path", bronze_path)
         .option("checkpointLocation", checkpoint)
@@ -115,7 +116,8 @@ def ingest_csv_once(spark, folder, bronze_path, checkpoint):
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(BRONZE).parquet(bronze_path)
+    stored = T.StructType([*BRONZE.fields, T.StructField("source_file", T.StringType())])
+    return spark.read.schema(stored if with_source else BRONZE).parquet(bronze_path)
 
 
 def _exported(field):
@@ -143,3 +145,34 @@ def export_snapshot(tables, folder):
             .options(**DIALECT, emptyValue='""')
             .csv(f"{folder}/{name}")
         )
+
+
+def export_order(rows, key):
+    """One row: how many rows an exported table has, and whether `key` never falls within and across its files.
+
+    A scan gives the rows of each piece of a file in their order. Only the first and last key of a piece
+    meet those of the next.
+    """
+    piece = ["_file", "_start"]
+    placed = rows.select(
+        key.alias("_key"),
+        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    before = F.lag("_key").over(Window.partitionBy(*piece).orderBy("_row"))
+    pieces = (
+        placed.withColumn("_falls", F.col("_key") < before)
+        .groupBy(*piece)
+        .agg(
+            F.count("*").alias("rows"),
+            F.count_if("_falls").alias("falls"),
+            F.min_by("_key", "_row").alias("first"),
+            F.max_by("_key", "_row").alias("last"),
+        )
+    )
+    # One row for each piece of a file: the names of the files are in the order of their ranges.
+    last = F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy(*piece))
+    return pieces.withColumn("_falls", F.col("first") < last).agg(
+        F.sum("rows").alias("rows"), ((F.sum("falls") + F.count_if("_falls")) == 0).alias("in_order")
+    )

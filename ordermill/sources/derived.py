@@ -4,7 +4,7 @@ One order yields up to four lifecycle events, some with an exact second copy, so
 row count grows with `orders`. The rules are listed in FIXTURES.md.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ordermill.schemas import BRONZE, BUSINESS_COLUMNS, DEFAULT_CLUSTER, DEFAULT_TOPIC, MONEY
 from ordermill.session import use_utc
@@ -19,6 +19,8 @@ def table(spark, sf_dir, name):
 def _numbered_events(spark, sf_dir):
     """Business columns plus `k` (order number), `n` (event number) and `cp` (copy)."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    # A file of one row group is one task; what is made of each order is much more than its row.
+    orders = orders.repartition("o_orderkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
     parts = part.count()
 
@@ -39,11 +41,13 @@ def _numbered_events(spark, sf_dir):
         )
     )
     late = n % 50 == 7
+    micros = n % 999 * 1000 + 1
     event_seconds = (
         F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
         + k * 7919 % 86400
         + i * (k % 1800 + 3600)
     )
+    instant = lambda seconds: F.timestamp_micros(seconds * 1_000_000 + micros)
     pad = lambda number: F.lpad(number.cast("string"), 15, "0")
     price = F.col("p_retailprice").cast(MONEY)
     quantity = (k % 5 + 1).cast("int")
@@ -57,8 +61,8 @@ def _numbered_events(spark, sf_dir):
         .when(r < 94, "ORDER_DELIVERED")
         .when(r < 97, "REFUND_ISSUED")
         .otherwise("CANCEL_ACKNOWLEDGED"),
-        "event_time_utc": F.timestamp_seconds(event_seconds),
-        "producer_time_utc": F.timestamp_seconds(
+        "event_time_utc": instant(event_seconds),
+        "producer_time_utc": instant(
             event_seconds + F.when(late, F.lit(2700).cast("long")).otherwise(n % 60)
         ),
         "customer_id": F.concat(F.lit("CUST-"), pad(F.col("o_custkey"))),
@@ -111,9 +115,10 @@ def with_defects(rows):
     return rows.withColumns(broken)
 
 
-def raw_sales(spark, sf_dir):
-    """Typed Bronze rows, duplicates kept."""
-    return _numbered_events(spark, sf_dir).select(*BUSINESS_COLUMNS).to(BRONZE)
+def raw_sales(spark, sf_dir, *numbers):
+    """Typed Bronze rows, duplicates kept; `numbers` names columns of the fixture to keep beside them."""
+    rows = _numbered_events(spark, sf_dir).select(*BUSINESS_COLUMNS, *numbers)
+    return rows.to(T.StructType([*BRONZE.fields, *[rows.schema[c] for c in numbers]]))
 
 
 def messages(spark, sf_dir, damage=False):
@@ -123,7 +128,7 @@ def messages(spark, sf_dir, damage=False):
     """
     rows = _numbered_events(spark, sf_dir)
     n = F.col("n")
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     as_text = [
         (stamp(c) if c in ("event_time_utc", "producer_time_utc") else F.col(c).cast("string"))
         .alias(c)
@@ -148,6 +153,22 @@ def messages(spark, sf_dir, damage=False):
     )
 
 
+FIRST_YEAR, YEARS, DELIVERIES = 1995, 4, 4
+
+
+def deliveries(rows, at="timestamp", number="offset div 2", copy="offset % 2"):
+    """Rows with the `delivery` in which they arrive, 0 to DELIVERIES - 1.
+
+    Rows come by years; late events and second copies come one delivery later, and every 997th
+    message comes once more in the next one.
+    """
+    n = F.expr(number)
+    first = F.floor((F.year(at) - FIRST_YEAR) / YEARS).cast("int")
+    first = first + F.when((n % 50 == 7) | (F.expr(copy) == 1), 1).otherwise(0)
+    again = F.when(n % 997 == 1, F.array(first, first + 1)).otherwise(F.array(first))
+    return rows.withColumn("delivery", F.explode(again))
+
+
 def inbox(spark, sf_dir, damage=False):
     """The messages as stored inbox rows."""
     from ordermill.sources.inbox import as_inbox_rows

@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from ordermill.functions.digest import DIGEST, several, with_digest
 from ordermill.schemas import INBOX, INBOX_CONTENT, INBOX_KEY
 from ordermill.sources.messages import project_message
 from ordermill.sources.store import read_or_empty
@@ -37,23 +38,22 @@ def as_inbox_rows(messages, cluster, topic_id):
 
 
 def compare_with_inbox(batch, inbox):
-    """One row per coordinate of the batch: copies, content, known or not, conflict or not.
+    """One row per coordinate of the batch: copies, known or not, conflict or not.
 
-    A coordinate conflicts when its contents differ, between batch and inbox or within
-    the batch. Both sides meet in one shuffle, combined before it.
+    A coordinate conflicts when its contents differ, between batch and inbox or within the batch.
+    Both sides meet in one shuffle of coordinates and digests, combined before it; no content moves.
     """
-    content = F.struct(*INBOX_CONTENT)
-    new = batch.select(*INBOX_KEY, content.alias("content"), F.lit(1).alias("copies"))
-    old = inbox.select(*INBOX_KEY, content.alias("content"), F.lit(0).alias("copies"))
+    side = lambda rows, copies: with_digest(rows, INBOX_CONTENT).select(
+        *INBOX_KEY, *DIGEST, F.lit(copies).alias("copies")
+    )
     return (
-        new.unionByName(old)
-        # The offset first: it tells rows apart, so sorting compares little else.
-        .groupBy(*reversed(INBOX_KEY))
+        side(batch, 1)
+        .unionByName(side(inbox, 0))
+        .groupBy(*INBOX_KEY)
         .agg(
             F.sum("copies").alias("copies"),
             F.bool_or(F.col("copies") == 0).alias("known"),
-            F.min("content").alias("content"),
-            (~F.min("content").eqNullSafe(F.max("content"))).alias("conflict"),
+            several().alias("conflict"),
         )
         .filter("copies > 0")
     )
@@ -64,14 +64,17 @@ def inbox_conflicts(batch, inbox):
     return compare_with_inbox(batch, inbox).filter("conflict").select(*INBOX_KEY)
 
 
+def _absent_rows(batch, compared):
+    """Batch rows at coordinates that are not stored, one for each; those that came once are not sorted out."""
+    new = compared.filter("not known").select(*INBOX_KEY, "copies")
+    rows = batch.select(*_STORED).join(new, INBOX_KEY)
+    once, more = rows.filter("copies = 1"), rows.filter("copies > 1")
+    return once.unionByName(more.dropDuplicates(INBOX_KEY)).select(*_STORED)
+
+
 def new_inbox_rows(batch, inbox):
     """Batch rows whose coordinates are not stored yet, one per coordinate."""
-    return (
-        compare_with_inbox(batch, inbox)
-        .filter("not known")
-        .select(*INBOX_KEY, "content.*")
-        .select(*_STORED)
-    )
+    return _absent_rows(batch, compare_with_inbox(batch, inbox))
 
 
 def _spans(batch):
@@ -96,7 +99,7 @@ def append_inbox(spark, batch, path, topic):
 
     Stored rows are looked up only in the offset span of the batch, partition by partition,
     so the files outside of it are skipped. Rerunning a batch adds nothing, also after a lost
-    commit. The batch is read three times, so a caller whose source is slow should persist it.
+    commit. The batch is read four times, so a caller whose source is slow should persist it.
     """
     checked = None
     try:
@@ -119,13 +122,8 @@ def append_inbox(spark, batch, path, topic):
         if state["conflicts"]:
             raise ValueError(f"{state['conflicts']} coordinates hold a second, different message")
         if state["new"]:
-            (
-                checked.filter("not known")
-                .select(*INBOX_KEY, "content.*")
-                .select(*_STORED, F.current_timestamp().alias("ingested_at"))
-                .write.mode("append")
-                .parquet(path)
-            )
+            rows = _absent_rows(batch, checked).withColumn("ingested_at", F.current_timestamp())
+            rows.select(*INBOX.names).write.mode("append").parquet(path)
         return AppendResult(seen["read"], state["new"])
     finally:
         if checked is not None:

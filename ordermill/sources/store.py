@@ -83,7 +83,7 @@ class VersionedTables:
         """Make staged tables current; tables that are not named keep their folders.
 
         `replaced` tables consist of the staged folder alone and `extended` tables gain it.
-        `parts` maps a table to the new folder of each changed part, None removing it.
+        `parts` maps a table to all folders of each changed part; a part without any goes.
         """
         version, known = self.current()
         tables = {name: dict(folders) for name, folders in known.items()}
@@ -93,9 +93,8 @@ class VersionedTables:
             folders = tables.setdefault(name, {})
             folders[WHOLE] = [*folders.get(WHOLE, []), self.candidate_path(name)]
         for name, changed in (parts or {}).items():
-            folders = tables.setdefault(name, {})
-            folders |= {part: [path] for part, path in changed.items()}
-            tables[name] = {p: f for p, f in folders.items() if f != [None]}
+            folders = tables.get(name, {}) | changed
+            tables[name] = {part: paths for part, paths in folders.items() if paths}
         rows = [
             (version + 1, name, part, path)
             for name, folders in tables.items()

@@ -13,7 +13,7 @@ from ordermill.operators.silver import (
     silver_from_inbox,
     split_datetimes,
 )
-from ordermill.plans.gold import build_gold, refresh_gold
+from ordermill.plans.gold import build_gold, merge_parts, refresh_gold
 from ordermill.schemas import BUSINESS_COLUMNS, INBOX, SILVER
 from ordermill.session import use_utc
 from ordermill.sources.inbox import append_inbox, as_inbox_rows
@@ -59,14 +59,19 @@ def claim_progress(spark, folder, to):
     return f"{folder}/offsets"
 
 
-def full_refresh(spark, to):
+def nothing(step):
+    """Called after a step of a batch; a caller's own function may stop the batch there."""
+
+
+def full_refresh(spark, to, after=nothing):
     """Silver and Gold from the whole inbox."""
     inbox = read_or_empty(spark, to.inbox, INBOX)
     silver = silver_from_inbox(spark, inbox, to.silver, to.cluster, to.topic)
+    after("silver")
     return build_gold(to.gold(spark), silver, bronze_from_inbox(inbox, to.cluster, to.topic))
 
 
-def affected_refresh(spark, to, rows):
+def affected_refresh(spark, to, rows, after=nothing):
     """Silver and Gold from the inbox rows of one batch; the rest is not read again.
 
     The messages of the batch are parsed once.
@@ -77,15 +82,16 @@ def affected_refresh(spark, to, rows):
         silver = append_silver(
             spark, split_datetimes(newest_inbox_copy(decoded)), to.silver, small_source=True
         )
+        after("silver")
         return refresh_gold(to.gold(spark), silver, decoded.select(*BUSINESS_COLUMNS))
     finally:
         decoded.unpersist()
 
 
-def take_batch(messages, to, incremental=True, report=print):
+def take_batch(messages, to, incremental=True, report=print, after=nothing):
     """Store one batch, then refresh Silver and Gold unless the batch was empty.
 
-    Every step leaves out what is stored already, so a batch that is run again after a
+    `after` is called with the name of each finished step: inbox, silver, gold. Every step leaves out what is stored already, so a batch that is run again after a
     failure at any point ends in the same tables.
     """
     spark = messages.sparkSession
@@ -95,11 +101,14 @@ def take_batch(messages, to, incremental=True, report=print):
         report(
             f"read={done.read}, inserted={done.inserted}, already_present={done.already_present}"
         )
+        after("inbox")
         if done.read:
             if incremental:
-                affected_refresh(spark, to, rows)
+                affected_refresh(spark, to, rows, after)
+                merge_parts(to.gold(spark))
             else:
-                full_refresh(spark, to)
+                full_refresh(spark, to, after)
+            after("gold")
         return done
     finally:
         rows.unpersist()
@@ -110,7 +119,9 @@ def run_preview(spark, source, to, rows=1000, incremental=False):
     return take_batch(preview(use_utc(spark), source, rows), to, incremental)
 
 
-def start_ingest(spark, source, to, checkpoints, mode="stream", incremental=True, report=print):
+def start_ingest(
+    spark, source, to, checkpoints, mode="stream", incremental=True, report=print, after=nothing
+):
     """Start the ingest query: `backfill` ends when caught up, `stream` keeps waiting.
 
     `checkpoints` is the folder of this one query's progress.
@@ -121,7 +132,7 @@ def start_ingest(spark, source, to, checkpoints, mode="stream", incremental=True
     trigger = {"availableNow": True} if mode == "backfill" else {"processingTime": STREAM_TRIGGER}
 
     def store(batch, batch_id):
-        take_batch(batch, to, incremental, lambda text: report(f"batch {batch_id}: {text}"))
+        take_batch(batch, to, incremental, lambda text: report(f"batch {batch_id}: {text}"), after)
 
     return (
         source.stream(spark)

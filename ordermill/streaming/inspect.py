@@ -34,9 +34,26 @@ def start_inspection(spark, source, checkpoint, report, once=False):
         finally:
             batch.unpersist()
 
+    return _start(parsed, inspect, checkpoint, once)
+
+
+def start_kept_inspection(spark, source, checkpoint, path, once=False):
+    """Keep the summary of each batch as a table, one row for each batch and source partition.
+
+    A batch that is run again after a failure replaces its own folder, so it counts once.
+    """
+    parsed = parse_events(message_text(source.stream(use_utc(spark))))
+
+    def keep(batch, batch_id):
+        batch_summary(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _start(parsed, keep, checkpoint, once)
+
+
+def _start(parsed, each, checkpoint, once):
     trigger = {"availableNow": True} if once else {"processingTime": INSPECT_TRIGGER}
     return (
-        parsed.writeStream.foreachBatch(inspect)
+        parsed.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()

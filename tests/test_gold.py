@@ -40,6 +40,17 @@ def inserted(report):
     return {name: c["insert"] for name, c in report.actions.items()}
 
 
+def replace(store, name, frame):
+    """Publish other rows for a table."""
+    table = gold.parted(store).get(name)
+    if table is None:
+        store.stage(name, frame)
+        store.publish(replaced=[name])
+    else:
+        _, folders = table.stage(frame)
+        store.publish(parts={name: table.replaced(folders, table.keys())})
+
+
 def snapshot(store):
     return {name: texts(frame) for name, frame in gold.gold_tables(store).items()}
 
@@ -90,14 +101,106 @@ def test_wrong_values_are_repaired(spark, store, name):
     column = {"dim_date": "date_label"}.get(name, "promo_code")
     for wrong in (F.lit("wrong"), F.lit(None).cast("string")):
         damaged = store.read(name, gold.SCHEMAS[name]).withColumn(column, wrong)
-        store.stage(name, damaged)
-        store.publish(replaced=[name])
+        replace(store, name, damaged)
         report = load(spark, store, rows())
         assert report.actions[name]["update"] > 0
         assert [n for n, c in report.actions.items() if c["insert"] or c["update"]] == [name]
         assert snapshot(store) == before
 
 
+def fact_files(store):
+    return {n: sorted(t.appended_rows().inputFiles()) for n, t in gold.parted(store).items()}
+
+
+def test_an_unchanged_load_writes_no_file(spark, store, monkeypatch):
+    load(spark, store, rows())
+    files, staged = fact_files(store), []
+    monkeypatch.setattr(gold.PartedTable, "stage", lambda *a: staged.append(a))
+    report = load(spark, store, rows())
+    assert not staged and fact_files(store) == files
+    assert report.actions["fact_sales_events"] == {"insert": 0, "update": 0, "same": 13, "stale": 0}
+    assert report.actions["order_states"] == {"insert": 0, "update": 0, "same": 4, "stale": 0}
+
+
+def test_only_differing_parts_are_written(spark, store):
+    given = [*rows(), event("Z", "ORD-0020", hours=24 * 70)]
+    load(spark, store, given)
+    files = fact_files(store)
+    known = store.read("fact_sales_events", gold.SCHEMAS["fact_sales_events"])
+    replace(store, "fact_sales_events", known.withColumn("city", F.when(F.col("event_id") == "Z", None).otherwise(F.col("city"))))
+    before = fact_files(store)["fact_sales_events"]
+    report = load(spark, store, given)
+    assert report.actions["fact_sales_events"] == {"insert": 0, "update": 1, "same": 13, "stale": 0}
+    after = fact_files(store)["fact_sales_events"]
+    assert len(set(before) & set(after)) == len(before) - 1 and fact_files(store)["order_states"] == files["order_states"]
+
+
+def test_an_event_that_moved_to_another_month_is_an_update(spark, store):
+    load(spark, store, rows())
+    known = store.read("fact_sales_events", gold.SCHEMAS["fact_sales_events"])
+    moved = F.when(F.col("event_id") == "ORD-0003-0", F.lit(20250101)).otherwise(F.col("event_date_key"))
+    replace(store, "fact_sales_events", known.withColumn("event_date_key", moved))
+    report = load(spark, store, rows())
+    assert report.actions["fact_sales_events"] == {"insert": 0, "update": 1, "same": 12, "stale": 0}
+    assert event_months(store) == ["202608"]
+
+
+def event_months(store):
+    return gold.event_parts(store).keys()
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_a_batch_opens_files_of_its_buckets_only(spark, store, folder, monkeypatch, times):
+    path = folder("silver")
+    many = [event(f"E{k}", f"ORD-{k:05d}", hours=k % 50) for k in range(40 * times)]
+    stored = append_silver(spark, split_datetimes(newest_per_event(bronze(spark, many))), path)
+    gold.refresh_gold(store, stored, bronze(spark, many))
+    batch = [event("NEW", "ORD-00007", "PAYMENT_CONFIRMED", hours=7.5)]
+    stored = append_silver(spark, split_datetimes(newest_per_event(bronze(spark, batch))), path)
+    opened, read = [], gold.PartedTable.appended_rows
+
+    def watched(self, keys=None):
+        rows = read(self, keys)
+        opened.extend((self.name, f) for f in rows.inputFiles())
+        return rows
+
+    table = gold.state_parts(store)
+    bucket = table.with_key(spark.createDataFrame([("ORD-00007",)], "order_id string")).first()[1]
+    every = set(table.appended_rows().inputFiles())
+    monkeypatch.setattr(gold.PartedTable, "appended_rows", watched)
+    gold.refresh_gold(store, stored, bronze(spark, batch))
+    states = {f for n, f in opened if n == "order_states" and f in every}
+    events = {f for n, f in opened if n == "fact_sales_events"}
+    assert states and all(f"_part={bucket}/" in f for f in states) and len(states) < len(every) / 4
+    assert events and all("_part=202608/" in f for f in events)
+
+
+def test_conflict_inside_a_batch_is_found(spark, store, folder):
+    batch = [event("A"), event("B", event_type="PAYMENT_CONFIRMED", city="Hanoi")]
+    stored = append_silver(spark, split_datetimes(newest_per_event(bronze(spark, batch))), folder("silver"))
+    with pytest.raises(QualityError, match="order attributes conflict: 1"):
+        gold.refresh_gold(store, stored, bronze(spark, batch))
+    assert store.current()[0] == 0
+
+
+def test_merges_keep_folders_few_and_rows_the_same(spark, folder):
+    from ordermill.sources.parts import PartedTable
+
+    store = VersionedTables(spark, folder("merged"))
+    adds = lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n"))
+    schema = spark.createDataFrame([], "k int, n long").schema
+    table = PartedTable(store, "sums", schema, F.col("k") % 3, adds)
+    for turn in range(11):
+        _, folders = table.stage(spark.createDataFrame([(turn, 1), (0, 1), (1, turn)], schema).groupBy("k").agg(F.sum("n").alias("n")))
+        store.publish(parts={"sums": table.appended(folders)})
+        table.merge(fanout=2)
+        assert max(len(f) for f in store.current()[1]["sums"].values()) < 2
+    assert values(table.read()) == {(0, 12), (1, 56), *[(k, 1) for k in range(2, 11)]}
+    assert values(table.read(["2"])) == {(2, 1), (5, 1), (8, 1)}
+    again = VersionedTables(spark, folder("merged"))
+    assert values(PartedTable(again, "sums", schema, F.col("k") % 3, adds).read()) == values(table.read())
+
+
 def test_stale_rows_stop_the_load(spark, store):
     load(spark, store, [*rows(), *order(5)])
     before, version = snapshot(store), store.current()
