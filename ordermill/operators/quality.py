@@ -13,7 +13,7 @@ from ordermill.functions.clock import is_text_date, rebuild_timestamp
 from ordermill.functions.digest import DIGEST, several, unlike, with_digest
 from ordermill.functions.text import any_unusable_id, blank_to_null, utf8_text
 from ordermill.operators.facts import order_rollup
-from ordermill.operators.parse import json_failed, tolerant_json
+from ordermill.operators.parse import tolerant_json, unread
 from ordermill.operators.silver import comparable_bronze, events_from_silver, typed_columns
 from ordermill.schemas import BUSINESS_COLUMNS, EVENT_TYPES
 
@@ -278,7 +278,7 @@ def screen_inbox(inbox):
     texts = inbox.select("raw_value", *coordinates, payload.alias("_p")).select(
         "raw_value",
         *coordinates,
-        json_failed("_p").alias("_unparsed"),
+        unread("_p").alias("_unparsed"),
         "_p.*",
     )
     typed = texts.select(

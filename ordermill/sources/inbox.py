@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ordermill.functions.digest import DIGEST, several, with_digest
+from ordermill.operators.parse import offset_span
 from ordermill.schemas import INBOX, INBOX_CONTENT, INBOX_KEY
 from ordermill.sources.messages import project_message
 from ordermill.sources.store import read_or_empty
@@ -153,11 +154,7 @@ def invalid_inbox_keys(inbox):
 
 def inbox_coverage(inbox):
     """Rows and offset range per topic identity, topic and partition."""
-    return inbox.groupBy("source_topic_id", "topic", "partition_id").agg(
-        F.count("*").alias("rows"),
-        F.min("kafka_offset").alias("first_offset"),
-        F.max("kafka_offset").alias("last_offset"),
-    )
+    return inbox.groupBy("source_topic_id", "topic", "partition_id").agg(*offset_span("kafka_offset"))
 
 
 def latest_messages(inbox, rows=5):
