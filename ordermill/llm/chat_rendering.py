@@ -45,6 +45,10 @@ def escape_line(text):
     return escape(text).replace("\n", "\\n")
 
 
+def unescape_line(line):
+    return re.sub(r"\\([\\|n])", lambda m: "\n" if m[1] == "n" else m[1], line)
+
+
 def marked_turns(turns):
     """The default template: each turn between its marks."""
     return "".join(f"{OPEN}{escape_line(role)}\n{escape(text)}{CLOSE}\n" for role, text in turns)
@@ -125,7 +129,7 @@ _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE) + r"\
 
 def read_turns(formatted):
     """(role, text) of each turn, read back from an output of the default template."""
-    return [(unescape(role.replace("\\n", "\n")), unescape(text)) for role, text in _TURN.findall(formatted)]
+    return [(unescape_line(role), unescape(text)) for role, text in _TURN.findall(formatted)]
 
 
 def _digests(batches):
