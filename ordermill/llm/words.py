@@ -1,9 +1,11 @@
 """Words of whole Arrow string columns as numpy arrays, without one Python object per word.
 
 A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage
-return. It is known by a 64-bit hash of its bytes: two different words share a hash with
-probability 2^-64. Work goes over blocks of about `BLOCK` bytes, so memory does not grow with
-the length of a text.
+return. It is known by a 64-bit hash: the mixed sum of its pieces of eight bytes, each mixed with
+its place in the word, and of its length. No word is built from another so that their hashes are
+equal, as words of a polynomial modulo 2^64 can be; different words are taken as equal by chance
+alone, two of them with probability about 2^-64. Work goes over blocks of about `BLOCK` bytes,
+so memory does not grow with the length of a text.
 """
 
 import numpy as np
@@ -11,23 +13,14 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
+_STEP = U(0x9E3779B97F4A7C15)
+PIECE = 8
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _powers(base, count):
-    out = np.full(count, base, dtype=U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP = _powers(_BASE, BLOCK + 1)
-_DOWN = _powers(pow(_BASE, -1, 1 << 64), BLOCK + 1)
-
-
 def mix(x):
     """Spread 64-bit values evenly; a bijection."""
     x = np.asarray(x, dtype=U)
@@ -73,26 +66,36 @@ def hash_words(data, places, lower=False):
     while first < len(starts):
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + BLOCK, side="right")))
         begin, end = starts[first], ends[last - 1]
-        if end - begin > BLOCK:
+        if last == first + 1:
             hashes[first] = _long_word(data[begin:end], lower)
         else:
-            piece = _LOWER[data[begin:end]] if lower else data[begin:end]
-            sums = np.zeros(end - begin + 1, dtype=U)
-            np.cumsum((piece.astype(U) + U(1)) * _UP[: end - begin], out=sums[1:])
-            s, e = starts[first:last] - begin, ends[first:last] - begin
-            hashes[first:last] = mix((sums[e] - sums[s]) * _DOWN[s] + (e - s).astype(U))
+            s, lengths = starts[first:last] - begin, ends[first:last] - starts[first:last]
+            counts = -(-lengths // PIECE)
+            heads = np.cumsum(counts) - counts
+            place = np.arange(counts.sum()) - np.repeat(heads, counts)
+            left = np.repeat(lengths, counts) - PIECE * place
+            pieces = _pieces(data[begin:end], np.repeat(s, counts) + PIECE * place, left, place, lower)
+            hashes[first:last] = mix(np.add.reduceat(pieces, heads) + mix(lengths.astype(U)))
         first = last
     return starts, ends, hashes, np.searchsorted(starts, places)
 
 
+def _pieces(data, at, left, place, lower):
+    """For each place `at` the mixed number of its eight bytes, or of the `left` ones if fewer."""
+    data = np.concatenate((_LOWER[data] if lower else data, np.zeros(PIECE, dtype=np.uint8)))
+    eight = np.ndarray(len(data) - PIECE + 1, dtype="<u8", buffer=data, strides=(1,))
+    beyond = (8 * (PIECE - np.minimum(left, PIECE))).astype(U)
+    value = (eight[at] << beyond) >> beyond
+    return mix(mix(value) + mix(place.astype(U) + U(1)))
+
+
 def _long_word(data, lower):
-    total = 0
-    for at in range(0, len(data), BLOCK):
-        piece = data[at : at + BLOCK]
-        piece = _LOWER[piece] if lower else piece
-        part = int(((piece.astype(U) + U(1)) * _UP[: len(piece)]).sum(dtype=U))
-        total = (total + part * pow(_BASE, at, 1 << 64)) % (1 << 64)
-    return mix(U((total + len(data)) % (1 << 64)))
+    total = np.zeros(1, dtype=U)
+    for begin in range(0, len(data), BLOCK):
+        at = np.arange(0, min(BLOCK, len(data) - begin), PIECE)
+        part = _pieces(data[begin : begin + BLOCK], at, len(data) - begin - at, (begin + at) // PIECE, lower)
+        total += part.sum(dtype=U)
+    return mix(total + mix(np.array([len(data)])))[0]
 
 
 def windows(hashes, size):
@@ -102,21 +105,24 @@ def windows(hashes, size):
         return np.zeros(0, dtype=U)
     out = np.zeros(count, dtype=U)
     for k in range(size):
-        out = mix(out + hashes[k : k + count] + U(_BASE))
+        out = mix(out + hashes[k : k + count] + _STEP)
     return out
 
 
 def rolling(hashes, size):
-    """As `windows`, in a time that does not depend on `size`."""
+    """As `windows`, with a time that grows with the logarithm of `size` only.
+
+    The hash of twice as many words is made of the hashes of both halves; those for the powers
+    of two in `size` are put together.
+    """
     count = len(hashes) - size + 1
     if count <= 0:
         return np.zeros(0, dtype=U)
-    out = np.empty(count, dtype=U)
-    step = BLOCK - size
-    for at in range(0, count, step):
-        part = hashes[at : at + step + size - 1]
-        sums = np.zeros(len(part) + 1, dtype=U)
-        np.cumsum(part * _UP[: len(part)], out=sums[1:])
-        n = len(part) - size + 1
-        out[at : at + n] = mix((sums[size:] - sums[:n]) * _DOWN[:n])
+    out, done, doubled, length = None, 0, hashes, 1
+    while length <= size:
+        if size & length:
+            part = doubled[done : done + count]
+            out = part if out is None else mix(mix(out + _STEP) + part)
+            done += length
+        doubled, length = mix(mix(doubled[:-length] + _STEP) + doubled[length:]), 2 * length
     return out
