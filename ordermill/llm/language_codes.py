@@ -6,13 +6,18 @@ n-grams. Decoding takes the codeword with the least loss over all bits, each bit
 well it did on the training rows; a text whose two nearest codewords are about as near is
 flagged as ambiguous.
 
+A text is rejected if no codeword is near: if the loss of the nearest is beyond `limit`, the middle
+between the greatest one that a training row has and log 2, which is that of a text without any
+evidence, such as one in a script that no training row has.
+
 The classifiers are fitted on about `train_rows` labelled rows for each language (a bounded
 sample, chosen by a hash of the id); whole texts are used in training and prediction. The model,
 `CODES` floats for each bit, is sent to the tasks once; n-gram counts of the sample, at most `CODES`
 for each language, are all that the driver gets.
 
-Defined results: a text that is null or has no letter gets `und`, score 0; without labelled rows
-every text gets `und`; with one language every text with letters gets it, score 1; ids may be
+Defined results: a text that is null or has no letter gets `und`, score 0, and is rejected; without
+labelled rows every text gets `und`, and those with letters are not rejected; with one language
+every text with letters gets it, score 1, and is not rejected; ids may be
 null or repeat; an empty table gives an empty result; other columns are carried along.
 """
 
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ordermill.llm import words
-from ordermill.llm.frames import packed, ship
+from ordermill.llm.frames import packed, reread, ship
 
 ORDERS = (2, 3, 4)
 TABLE_BITS = 15
@@ -117,22 +122,23 @@ def _count_grams(batches, languages):
 
 
 class Model:
-    """Languages, their codewords, n-gram weights, and scale and weight of each bit."""
+    """Languages, their codewords, n-gram weights, scale and weight of each bit, and the greatest loss of a known text."""
 
-    def __init__(self, languages, code, weights, scale, trust):
+    def __init__(self, languages, code, weights, scale, trust, limit=np.inf):
         self.languages, self.code, self.weights, self.scale, self.trust = languages, code, weights, scale, trust
+        self.limit = limit
 
     def sides(self, column):
         sums, grams = _text_sums(column, self.weights)
         return sums / grams[:, None]
 
     def decode(self, sides):
-        """Best language, its score, and how much farther the second codeword is."""
+        """Best language, its score, how much farther the second codeword is, and the loss of the best."""
         loss = np.logaddexp(0, -2 * (sides / self.scale)[:, None, :] * self.code[None])
         away = (loss * self.trust).sum(axis=2) / self.trust.sum()
         near = np.sort(away, axis=1)
         chance = np.exp(-4 * (away - near[:, :1]))
-        return away.argmin(axis=1), 1 / chance.sum(axis=1), near[:, 1] - near[:, 0]
+        return away.argmin(axis=1), 1 / chance.sum(axis=1), near[:, 1] - near[:, 0], near[:, 0]
 
 
 def fit(labelled, train_rows=1500):
@@ -145,7 +151,8 @@ def fit(labelled, train_rows=1500):
         return None
     sample = _training_rows(labelled, languages, counts, train_rows)
     schema = "language long, code long, n long"
-    found = sample.repartition(4 * len(languages)).mapInArrow(lambda b: _count_grams(b, languages), schema)
+    sample = reread(sample.repartition(4 * len(languages)))  # read in three passes
+    found = sample.mapInArrow(lambda b: _count_grams(b, languages), schema)
     found = found.groupBy("language", "code").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros((len(languages), CODES))
     seen[found["language"].to_numpy(), found["code"].to_numpy()] = found["n"].to_numpy()
@@ -172,17 +179,26 @@ def fit(labelled, train_rows=1500):
             [pa.array(np.arange(bits)), *(pa.array(x) for x in total)], ["bit", "size", "right", "n"]
         )
 
-    rated = sample.mapInArrow(rate, "bit long, size double, right double, n double").groupBy("bit")
-    rated = rated.agg(*[F.sum(x).alias(x) for x in ("size", "right", "n")]).orderBy("bit").collect()
-    if rated and rated[0]["n"]:
-        model.scale = np.array([max(1e-6, r["size"] / r["n"]) for r in rated])
-        hit = np.array([min(0.999, max(0.501, r["right"] / r["n"])) for r in rated])
+    bit = sample.mapInArrow(rate, "bit long, size double, right double, n double").groupBy("bit")
+    bit = bit.agg(*[F.sum(x).alias(x) for x in ("size", "right", "n")]).orderBy("bit").collect()
+    if bit and bit[0]["n"]:
+        model.scale = np.array([max(1e-6, r["size"] / r["n"]) for r in bit])
+        hit = np.array([min(0.999, max(0.501, r["right"] / r["n"])) for r in bit])
         model.trust = np.log(hit / (1 - hit))
+    rated = spark.sparkContext.broadcast(model)
+
+    def worst(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(rated.value.decode(rated.value.sides(batch.column("padded")))[3])], ["loss"])
+
+    most = sample.mapInArrow(worst, "loss double").agg(F.max("loss")).first()[0]
+    if most is not None:
+        model.limit = max(most, (most + np.log(2)) / 2)
     return model
 
 
 def identify(docs, id_col="doc_id", text_col="text", lang_col="lang", train_rows=1500, margin=AMBIGUOUS):
-    """row, doc_id, held_out, lang_pred, score, ambiguous for each document.
+    """row, doc_id, held_out, lang_pred, score, ambiguous, rejected for each document.
 
     Rows whose crc32 of the id leaves 2 modulo 4 are held out of the training.
     """
@@ -196,7 +212,7 @@ def identify(docs, id_col="doc_id", text_col="text", lang_col="lang", train_rows
     model = fit(rows.where(~F.col("held_out") & F.col("lang").isNotNull()), train_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang_pred string, score double, margin double")
+    @F.arrow_udf("lang_pred string, score double, margin double, beyond boolean")
     def decoded(padded: pa.Array) -> pa.Array:
         return _decoded(shared.value, padded)
 
@@ -208,17 +224,18 @@ def identify(docs, id_col="doc_id", text_col="text", lang_col="lang", train_rows
         F.when(nothing, UNDECIDED).otherwise(F.col("found.lang_pred")).alias("lang_pred"),
         F.when(nothing, 0.0).otherwise(F.col("found.score")).alias("score"),
         (nothing | (F.col("found.margin") < margin)).alias("ambiguous"),
+        (nothing | F.col("found.beyond")).alias("rejected"),
     )
 
 
 def _decoded(model, padded):
-    rows = len(padded)
+    rows, beyond = len(padded), np.zeros(len(padded), dtype=bool)
     if model is None:
         named, score, margin = np.full(rows, UNDECIDED), np.zeros(rows), np.zeros(rows)
     elif len(model.languages) == 1:
         named, score, margin = np.full(rows, model.languages[0]), np.ones(rows), np.ones(rows)
     else:
-        best, score, margin = model.decode(model.sides(padded))
-        named = np.array(model.languages, dtype=object)[best]
-    columns = [pa.array(named.tolist(), pa.string()), pa.array(score), pa.array(margin)]
-    return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "margin"])
+        best, score, margin, loss = model.decode(model.sides(padded))
+        named, beyond = np.array(model.languages, dtype=object)[best], loss > model.limit
+    columns = [pa.array(named.tolist(), pa.string()), pa.array(score), pa.array(margin), pa.array(beyond)]
+    return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "margin", "beyond"])
