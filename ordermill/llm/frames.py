@@ -23,6 +23,22 @@ def _column(source):
     return F.col(source) if isinstance(source, str) else source
 
 
+def beside(frame, *names):
+    """The input row of `packed` and the named own columns after it.
+
+    An own name that the input has too, in any case of letters, gets underscores at its end until it is free.
+    """
+    taken = {x.lower() for x in frame.schema["row"].dataType.names}
+    own = []
+    for name in names:
+        free = name
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        own.append(F.col(name).alias(free))
+    return frame.select("row.*", *own)
+
+
 def shared_folder(spark):
     """The folder that `spark.checkpoint.dir` names; without that setting, as in tests, one in the warehouse."""
     context = spark.sparkContext

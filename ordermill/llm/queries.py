@@ -8,7 +8,7 @@ from ordermill.llm.chat_rendering import digests, render
 from ordermill.llm.compression_quality import score_quality
 from ordermill.llm.exact_dedup import exact_dedup
 from ordermill.llm.fill_in_middle import PLAIN, fill_in_middle, restored_sha256
-from ordermill.llm.frames import shared_folder, table
+from ordermill.llm.frames import beside, shared_folder, table
 from ordermill.llm.language_codes import identify
 from ordermill.llm.line_dedup import drop_similar_lines
 from ordermill.llm.partenum import jaccard_components
@@ -48,7 +48,7 @@ def op6_line_dedup(spark, sf_dir):
 
 
 def op7_poisson_mix(spark, sf_dir):
-    return mix_sources(table(spark, sf_dir, "documents")).select("row.*", "copy", "place")
+    return beside(mix_sources(table(spark, sf_dir, "documents")), "copy", "place")
 
 
 # A conversation whose texts look like the template's own marks.

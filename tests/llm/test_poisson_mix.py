@@ -53,13 +53,29 @@ def test_shares_follow_the_weights(spark):
         assert abs(mixed[source] - wanted) < 5 * math.sqrt(wanted)
 
 
-@pytest.mark.parametrize("mean", [0.001, 1.0, 30.0, 2000.0])
+@pytest.mark.parametrize("mean", [0.001, 1.0, 30.0, 200.0, 2000.0, 1e6])
 def test_distribution_function(spark, mean):
-    steps = spark.range(1).select(poisson_steps(F.lit(mean)).alias("s")).first()["s"]
+    found = poisson_steps(spark.createDataFrame([("s", mean), (None, mean / 2)], "name string, mean double"))
+    found = {r["name"]: r for r in found.collect()}["s"]
+    steps, below = found["steps"], found["below"]
     assert abs(steps[-1] - 1) < 1e-9 and all(a <= b for a, b in zip(steps, steps[1:], strict=False))
+    assert steps[0] < 1e-12 or below == 0
     middle = int(mean)
-    exact = sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(middle + 1))
-    assert abs(steps[middle] - exact) < 1e-9
+    exact = sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(below, middle + 1))
+    assert abs(steps[middle - below] - exact) < 1e-9
+
+
+def test_a_mean_of_a_million(spark):
+    """A source of one character beside one of a million."""
+    rows = [(1, "x", "tiny"), (2, "y" * 1_000_000, "large")]
+    weights = spark.createDataFrame([("tiny", 1.0), ("large", 1e-9)], "source string, weight double")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["source"]: r["count"] for r in mix_sources(frame, weights).groupBy("source").count().collect()}
+    mean, u = 1_000_001 / (1 + 1e-9), fraction(1, 20)
+    assert abs(found["tiny"] - mean) < 6 * math.sqrt(mean)
+    around = range(int(mean) - 8000, found["tiny"] + 1)
+    terms = [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in around]
+    assert sum(terms[:-1]) - 1e-6 <= u <= sum(terms) + 1e-6
 
 
 def test_defined_results(spark):
