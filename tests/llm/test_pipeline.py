@@ -34,3 +34,41 @@ def test_stages(spark):
     assert ids <= set(texts("decontamination"))
     for r in rows["poisson_mix"]:
         assert r["text"] == first[r["doc_id"]]
+
+
+def through(spark, docs, benchmark, folder):
+    """The results of all stages on given rows."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    benchmark.write.parquet(f"{folder}/benchmark.parquet")
+    return corpus_pipeline.run(spark, folder)
+
+
+KIND = "doc_id long, text string, lang string, source string, copy int, Place string"
+WORDS = {"aa": "mara tala nara ", "bb": "xix vox pyx "}
+
+
+def benchmark(spark):
+    return spark.read.parquet(f"{SF}/benchmark.parquet")
+
+
+def test_without_a_labelled_row_nothing_with_letters_goes(spark, tmp_path):
+    given = spark.createDataFrame([(1, "one two three", None, "s", 5, "x"), (2, "12", None, "s", 5, "x"), (3, None, None, None, None, None)], KIND)
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, given, SF).collect()] == [1]
+    found = through(spark, given, benchmark(spark), str(tmp_path))
+    assert found.columns == ["doc_id", "text", "lang", "source", "copy", "Place", "copy_", "place_"]
+    assert {(r["doc_id"], r["copy"], r["Place"]) for r in found.collect()} <= {(1, 5, "x")}
+
+
+def test_texts_far_from_all_known_languages_go(spark):
+    rows = [(k, f"{WORDS[lang] * 5} {k}", lang, "s", 1, "x") for k, lang in enumerate(["aa", "bb"] * 40)]
+    rows += [(100, "世界 你好 " * 9, None, "s", 1, "x"), (101, WORDS["aa"] * 2, None, "s", 1, "x"), (None, WORDS["bb"] * 9, None, None, 1, "x")]
+    found = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, KIND), SF)
+    assert {r["doc_id"] for r in found.collect()} == {k for k, *_ in rows} - {100}
+
+
+def test_repeated_rows_and_empty_tables(spark, tmp_path):
+    rows = [(1, WORDS["aa"] * 40, "aa", "s", 1, "x")] * 3 + [(None, WORDS["bb"] * 40, "bb", None, 1, "x")] * 2
+    kept = corpus_pipeline.near_dedup(spark, corpus_pipeline.exact_dedup(spark, spark.createDataFrame(rows, KIND), SF), SF)
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1]
+    empty = through(spark, spark.createDataFrame([], KIND), benchmark(spark).limit(0), str(tmp_path))
+    assert empty.count() == 0 and empty.columns[-2:] == ["copy_", "place_"]
