@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ordermill.llm.frames import saved, ship
+from ordermill.llm.frames import reread, ship
 
 TASK_LINKS = 500_000
 
@@ -11,19 +11,16 @@ TASK_LINKS = 500_000
 def components(links, task_links=TASK_LINKS):
     """(node, label) for every node of `links` (a, b): label is the smallest node it reaches.
 
-    Each task first joins up to `task_links` links into trees of depth one. If one task holds all
-    links, these are the components. Otherwise rounds of joins follow: each points every node to
-    the smallest node near it, first from the larger neighbours, then from the smaller ones, so
+    Each task first joins up to `task_links` links into trees of depth one. Rounds of joins follow
+    until one changes nothing: each points every node to the smallest node near it, first from the larger neighbours, then from the smaller ones, so
     that each component shrinks to a star; the number of rounds grows with the logarithm of the
-    longest chain. A round sums per node before it shuffles and joins the sums back, so that a
-    component with a third of all nodes is in no single task. Each round is saved in the shared
-    folder.
+    longest chain. A round sums per node before it shuffles, saves the sums in the shared folder
+    and joins them back, so that a component with a third of all nodes is in no single task.
     """
     ship(links.sparkSession)
-    edges = saved(links.select("a", "b").where("a <> b"))
-    tasks = -(-edges.count() // task_links)
-    stars = edges.coalesce(max(1, tasks)).mapInArrow(_stars, "a long, b long")
-    return _labels(saved(stars) if tasks < 2 else _joined(stars))
+    edges = reread(links.select("a", "b").where("a <> b"))
+    tasks = max(1, -(-edges.count() // task_links))
+    return _labels(_joined(edges.coalesce(tasks).mapInArrow(_stars, "a long, b long")))
 
 
 def _stars(batches):
@@ -51,15 +48,16 @@ def _stars(batches):
 
 
 def _joined(stars):
-    edges = saved(stars.distinct())
+    edges = reread(stars.distinct())
     before = _sums(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = reread(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = reread(large)
+        small = reread(large.groupBy("a").agg(F.min("b").alias("m")))
         pointed = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = saved(pointed.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        edges = reread(pointed.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
         after = _sums(edges)
         if after == before:
             return edges

@@ -15,11 +15,13 @@ them, at most `slack`, and at least `shared` signatures are left that both have.
 so many are verified; a passage in common seldom gives more than a few.
 
 Equal sets are one node, known by a 64-bit hash and its size. Buckets of a signature are not
-expanded into pairs. In a few rounds each bucket names a pivot, the node with the least hash of
-the round, and each node is compared with the pivots that it meets most often; links join nodes to
-components. Only buckets that then still hold several components compare nodes across components,
-all of them. So a bucket full of near copies costs a few comparisons for each. No bucket or pair
-is dropped.
+expanded into pairs. First a sketch of each node, its least signatures under `SKETCH` hashes, goes
+into buckets: nodes with many signatures in common share some of these. In a few rounds each such
+bucket names a pivot, the node with the least hash of the round, and each node is compared with
+the pivots that it meets most often; links join nodes to components. Then the buckets of all
+signatures that still hold several components compare nodes across components, all of them. So
+most links are found on a few numbers for each node, a bucket full of near copies costs a few
+comparisons for each, and no bucket or pair is dropped.
 
 Signatures are 64-bit hashes of the elements: a collision adds a comparison, never a link, as
 links are verified on the sets.
@@ -31,12 +33,13 @@ from pyspark.sql import Window, functions as F
 
 from ordermill.llm import bloom, words
 from ordermill.llm.counts import bucket, bucket_counts
-from ordermill.llm.frames import packed, saved, ship
+from ordermill.llm.frames import packed, reread, saved, ship
 from ordermill.llm.links import components
 
 U = words.U
 BUCKET_BITS = 19
-ROUNDS = 4
+SKETCH = 8
+ROUNDS = 3
 PIVOTS = 2
 
 
@@ -127,6 +130,14 @@ def _signatures(elements, counts, threshold, step, frequency):
     return np.concatenate(found[0]), np.concatenate(found[1])
 
 
+def _first_of_each(elements, counts, nodes):
+    """Without the sets of a block that another one before equals."""
+    _, first = np.unique(nodes.to_numpy(zero_copy_only=False), return_index=True)
+    kept = np.zeros(len(counts), dtype=bool)
+    kept[first] = True
+    return elements[np.repeat(kept, counts)], counts[kept], nodes.filter(pa.array(kept))
+
+
 def _described(batches, size):
     for batch in batches:
         sets = [(_nodes(elements, counts), counts) for elements, counts in _sets(batch.column("text"), size)]
@@ -146,6 +157,7 @@ def _signed(batches, size, threshold, shared):
     for batch in batches:
         for elements, counts in _sets(batch.column("text"), size):
             nodes = _nodes(elements, counts)
+            elements, counts, nodes = _first_of_each(elements, counts, nodes)
             for step in (0, 1):
                 signatures, rows = _signatures(elements, counts, threshold, step, shared.value)
                 columns = [pa.array(signatures.view(np.int64)), nodes.take(pa.array(rows))]
@@ -161,27 +173,31 @@ def _with_sets(batches, size):
 
 
 def _shared_signatures(texts, size, threshold):
-    """(signature, node, low, high): the nodes under each signature that two nodes have."""
+    """(signature, node): the nodes under each signature that occurs at least twice."""
     frequency = bucket_counts(texts, lambda b: _elements(b, size), BUCKET_BITS)
     shared = texts.sparkSession.sparkContext.broadcast(frequency)
     entries = texts.mapInArrow(lambda b: _signed(b, size, threshold, shared), "signature long, node long")
-    common = saved(entries.groupBy("signature").count().where("count > 1").select("signature"))
+    common = reread(entries.groupBy("signature").count().where("count > 1").select("signature"))
     # Only entries that may have a signature in common are shuffled with their nodes.
     maybe = bloom.of_keys(common, "signature", common.count()).tested(entries, "signature", "maybe").where("maybe")
-    maybe = maybe.select("signature", "node")
-    ends = maybe.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    ends = saved(ends.where("low <> high").select("signature"))
-    return saved(maybe.join(ends, "signature").distinct())
+    return reread(maybe.select("signature", "node").join(common, "signature").distinct())
+
+
+def _sketch(members):
+    """(signature, node): a few hashes of each node, the least ones of its signatures."""
+    hashed = [F.min(F.xxhash64("signature", F.lit(k))).alias(f"s{k}") for k in range(SKETCH)]
+    least = members.groupBy("node").agg(*hashed)
+    return reread(least.select(F.explode(F.array(*[f"s{k}" for k in range(SKETCH)])).alias("signature"), "node"))
 
 
 def _node_sets(rows, described, nodes, size):
     """(node, elements, n) for the given nodes, from one text of each."""
     chosen = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    chosen = saved(chosen.select("key").distinct())
+    chosen = reread(chosen.select("key").distinct())
     maybe = bloom.of_keys(chosen, "key", chosen.count()).tested(rows.select("key", "text"), "key", "maybe")
     texts = maybe.where("maybe").join(chosen, "key", "left_semi").select("text")
     sets = texts.mapInArrow(lambda b: _with_sets(b, size), "node long, elements array<long>")
-    return saved(sets.dropDuplicates(["node"]).withColumn("n", F.size("elements")))
+    return reread(sets.dropDuplicates(["node"]).withColumn("n", F.size("elements")))
 
 
 def fits(a, b, threshold):
@@ -217,7 +233,7 @@ def _mixed(members, labels, salt):
     ends = known.groupBy("signature").agg(
         F.min("label").alias("least"), F.max("label").alias("greatest"), F.min("rank").alias("pivot")
     )
-    return known.join(saved(ends.where("least < greatest")), "signature")
+    return reread(known.join(reread(ends.where("least < greatest")), "signature"))
 
 
 def _stars(mixed):
@@ -232,13 +248,13 @@ def _node_labels(rows, described, size, threshold):
     """(node, label) of every node that links to another one."""
     members = _shared_signatures(rows.select("text"), size, threshold)
     sets = _node_sets(rows, described, members.select("node").distinct(), size)
-    sizes = sets.select("node", "n")
-    links, labels = None, saved(sets.select("node", F.col("node").alias("label")).limit(0))
+    sizes, sketch = sets.select("node", "n"), _sketch(members)
+    links, labels = None, sets.select("node", F.col("node").alias("label")).limit(0)
     for salt in range(ROUNDS):
-        stars = verified(_stars(_mixed(members, labels, salt)), sets, threshold)
-        links = saved(stars if links is None else links.unionByName(stars))
+        stars = verified(_stars(_mixed(sketch, labels, salt)), sets, threshold)
+        links = reread(stars if links is None else links.unionByName(stars))
         labels = components(links)
-    left = saved(_mixed(members, labels, ROUNDS).join(sizes, "node"))
+    left = reread(_mixed(members, labels, ROUNDS).join(sizes, "node"))
     left = left.select("signature", "node", "label", "n")
     right = left.select("signature", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
     across = left.withColumnRenamed("node", "a").join(right, "signature")
