@@ -7,9 +7,13 @@ a text is read twice: in the first reading a capitalised word is a name only aft
 letter, comma or semicolon and one space, in the second one everywhere.
 
 Windows of eight such tokens are hash-joined with those of the benchmark items, so a question
-with other numbers or names still matches. Two passes: the first one takes hashes only, of both
-readings, through a Bloom filter of bounded size and finds the few texts with a window of an item;
-the second one takes the windows of these texts with their values.
+with other numbers or names still matches. Three passes, each over the texts that the one before
+leaves. The first marks nothing: a text with a window of an item also has that window's words, so
+each window gives one run of at most three adjacent words, the longest in letters. Only documents
+with a run of an item's windows go on; as half of these must match, nearly half of them, those with
+the shortest runs, need not be looked for. The second takes hashes of windows, of both readings, and finds the texts
+with a window of an item; the third takes the windows of these texts with their values. Hashes go
+through Bloom filters of bounded size, then an exact join.
 
 The slots of matching windows must then be consistent: under one alignment of document and item, a
 value of the item stands for one value of the document; two values of the item may stand for the
@@ -27,12 +31,12 @@ name and another one as a plain word does not match.
 
 Defined results: null and empty texts match nothing; an item without informative windows matches
 unchanged copies only; repeated documents or items each give their rows, counted once for each pair of ids; rows
-with a null id take part under the null id; empty tables give an empty result.
+with a null id take part under the null id; very long texts are read whole; empty tables give an empty result.
 """
 
 from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ordermill.llm import bloom
 from ordermill.llm.frames import packed, saved
@@ -40,6 +44,7 @@ from ordermill.llm.frames import packed, saved
 WINDOW = 8
 LITERALS = 4
 CONTAINED = 0.5
+RUN = 3
 # Units of measure that may follow a number.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams t ton tons lb lbs oz pound pounds "
@@ -134,6 +139,77 @@ def _item_windows(items):
     return saved(rows.join(counts, same).drop(counts.item_id).drop(counts.item_reading))
 
 
+def _pieces(text):
+    """Runs of letters and runs of digits. Those of a text are those of its tokens, one token after the other."""
+    return F.regexp_extract_all(text, F.lit(r"\p{L}+|\p{Nd}+"), F.lit(0))
+
+
+def _run(pieces, at, length):
+    """A hash of so many pieces from place `at` on, counted from 0."""
+    return F.xxhash64(*[F.get(pieces, at + k) for k in range(length)])
+
+
+def _starts(pieces, length):
+    return F.when(F.size(pieces) >= length, F.sequence(F.lit(0), F.size(pieces) - length)).otherwise(F.array().cast("array<int>"))
+
+
+def _best_run(pieces):
+    """(letters, length, run) of the longest run without a gap (an empty piece), in letters, among those of most pieces."""
+
+    def of_length(length):
+        def described(at):
+            sizes = [F.length(F.get(pieces, at + k)) for k in range(length)]
+            letters = F.when(F.least(*sizes, F.lit(1)) > 0, reduce(lambda x, y: x + y, sizes))
+            return F.struct(letters.alias("letters"), F.lit(length).alias("length"), _run(pieces, at, length).alias("run"))
+
+        return F.array_max(F.filter(F.transform(_starts(pieces, length), described), lambda x: x["letters"].isNotNull()))
+
+    return F.coalesce(*[of_length(length) for length in range(RUN, 0, -1)])
+
+
+def _runs(windows, contained):
+    """(length, run) such that every contaminated text has one of them.
+
+    Each window gives pieces that a text with this window has one after the other: a template that
+    is informative says its literals only, so a run does not go over a slot; the other windows match
+    with their values. Of n windows at least n * contained must match, so windows can be left out as
+    long as fewer than that are: those whose runs have the fewest letters.
+    """
+    literal = F.transform("item_template", lambda t: F.when(_is_slot(t), F.array(F.lit(""))).otherwise(_pieces(t)))
+    valued = F.transform("item_window", _pieces)
+    rows = windows.withColumn("pieces", F.flatten(F.when(F.col("informative"), literal).otherwise(valued)))
+    rows = rows.withColumn("best", _best_run(F.col("pieces")))
+    item = ["item_id", "item_reading", "item_windows", "all_windows"]
+    # An item that repeats with other words has several windows at a place; they count as one.
+    places = rows.groupBy(*item, "item_place").agg(
+        F.max("informative").alias("informative"), F.min("best.letters").alias("letters"), F.collect_set("best").alias("runs")
+    )
+    order = [F.desc("letters"), "item_place"]
+    places = places.withColumn("of_all", F.row_number().over(Window.partitionBy(*item).orderBy(*order)))
+    places = places.withColumn("of_own", F.row_number().over(Window.partitionBy(*item, "informative").orderBy(*order)))
+    enough = lambda n: n - F.ceil(n * contained - 1e-9) + 1
+    kept = (F.col("of_all") <= enough(F.col("all_windows"))) | (F.col("informative") & (F.col("of_own") <= enough(F.col("item_windows"))))
+    return saved(places.where(kept).select(F.explode("runs").alias("best")).select("best.length", "best.run").distinct())
+
+
+def _candidates(docs, runs):
+    """A hash of the id of each document that has one of the runs; rows that share an id are one document."""
+    lengths = sorted(r["length"] for r in runs.select("length").distinct().collect())  # at most RUN numbers
+    rows = docs.select(F.xxhash64("doc_id").alias("id"), _pieces(F.lower("text")).alias("pieces"))
+
+    def hashed(length):
+        return F.transform(_starts(F.col("pieces"), length), lambda at: _run(F.col("pieces"), at, length))
+
+    rows = rows.select("id", F.explode(F.concat(*map(hashed, lengths))).alias("run"))
+    rows = bloom.of_keys(runs, "run", runs.count()).tested(rows, "run", "maybe").where("maybe")
+    return saved(rows.join(runs, "run", "left_semi").select("id").distinct())
+
+
+def _having(docs, keys, key):
+    """The rows with these keys, and those that a filter of them lets through by chance."""
+    return bloom.of_keys(keys, key, keys.count()).tested(docs, key, "maybe").where("maybe").drop("maybe")
+
+
 def _touched(docs, sizes, hashes, known):
     """Key of each text with a window of an item, in either reading; values do not count here.
 
@@ -152,17 +228,18 @@ def _touched(docs, sizes, hashes, known):
     return saved(rows.join(hashes, "hash", "left_semi").select("key").distinct())
 
 
-def _matches(docs, windows):
+def _matches(docs, windows, contained):
     """Windows of documents that are windows of items, with the tokens of both."""
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most WINDOW numbers
     if not sizes:
         return None
     templates = windows.select(F.xxhash64("item_template").alias("hash")).distinct()
     docs = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("key"), "text")
-    touched = _touched(docs, sizes, templates, bloom.of_keys(templates, "hash", windows.count()))
-    # Texts that the filter lets through by chance match nothing below.
-    rows = bloom.of_keys(touched, "key", touched.count()).tested(docs, "key", "maybe").where("maybe")
-    rows = _read(rows, "doc_id", "key").select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    some = _candidates(docs, _runs(windows, contained))
+    some = _having(docs.withColumn("id", F.xxhash64("doc_id")), some, "id").drop("id")
+    touched = _touched(some, sizes, templates, bloom.of_keys(templates, "hash", windows.count()))
+    # Texts that a filter lets through by chance match nothing below.
+    rows = _read(_having(docs, touched, "key"), "doc_id", "key").select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
     known = bloom.of_keys(windows, "hash", windows.count())
     own = known.tested(_windows(rows, "doc_id", "key", "reading"), "hash", "maybe").where("maybe")
     alike = (F.col("template") == F.col("item_template")) & (F.col("informative") | (F.col("window") == F.col("item_window")))
@@ -173,7 +250,7 @@ def contaminated(docs, items, id_col="doc_id", text_col="text", item_id_col="ite
     """doc_id, item_id, matched_windows, item_windows, containment, n_slots, n_changed of each contaminated pair."""
     windows = _item_windows(packed(items, item_id=item_id_col, text=item_text_col).drop("row"))
     rows = packed(docs, doc_id=id_col, text=text_col).drop("row")
-    found = _matches(rows, windows)
+    found = _matches(rows, windows, contained)
     if found is None:
         ids = rows.select("doc_id", F.lit(None).cast(dict(windows.dtypes)["item_id"]).alias("item_id")).limit(0)
         return ids.selectExpr("*", "0L matched_windows", "0L item_windows", "0D containment", "0L n_slots", "0L n_changed")

@@ -149,3 +149,25 @@ def test_only_windows_with_an_inconsistent_value_are_dropped(spark):
 def test_texts_of_200000_words(spark):
     docs = ["w " * 200_000 + QUESTION, QUESTION + " one two three. Four" * 50_000, " ".join(f"word{n}, Name" for n in range(100_000))]
     assert {k: v[:2] for k, v in found_in(spark, QUESTION, *docs).items()} == {d: f for (d, _), f in brute(dict(enumerate(docs)), {1: QUESTION}).items()}
+
+
+def test_first_pass_loses_no_document(spark):
+    """Exactly half of the windows match, at either end; rows that share an id hold them together; words beyond ASCII."""
+    dice = random.Random(8)
+    words = ["ab", "of", "münchen", "straße", "überlängenmaß", "İzmir", "ΟΔΟΣ", "x9y", "stone-wall", "12kg", "o'clock", "naïveté", "Tom Lee", "4.5", "a"]
+    item = [f"{dice.choice(words)} {dice.choice(words).lower()}" for _ in range(20)]
+    cut = len(item) // 2 + 2
+    docs = {1: " ".join(item[:cut]) + " other things", 2: "other things " + " ".join(item[-cut:]), 3: " ".join(item), 4: " ".join(item[:4])}
+    items = {1: " ".join(item), 2: "Σας ΛΟΓΟΣ 3 ς Σ of the in a b of", 3: "the of in to a is it"}
+    docs |= {5: "so " + items[2], 6: "now the of in to a is it was"}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    everything = contaminated(rows, benchmark, contained=1e-9).collect()
+    half = {(r["doc_id"], r["item_id"]) for r in contaminated(rows, benchmark).collect()}
+    assert half == {(r["doc_id"], r["item_id"]) for r in everything if r["containment"] >= 0.5}
+    assert half >= {(3, 1), (5, 2), (6, 3)} and (4, 1) not in half
+    parts = [(7, " ".join(item[:12])), (7, " ".join(item[8:])), (None, docs[1]), (None, docs[4])]
+    parts = spark.createDataFrame(parts, "doc_id long, text string")
+    shared, whole = result(contaminated(parts, benchmark)), contaminated(parts, benchmark, contained=1e-9).collect()
+    assert shared == {(r["doc_id"], r["item_id"]): (r["matched_windows"], r["item_windows"]) for r in whole if r["containment"] >= 0.5}
+    assert (7, 1) in shared
