@@ -3,12 +3,15 @@
 A 64-bit hash names one word by its high bits and three bits of that word by its low bits. The
 table has at most `MOST_WORDS` rows (two longs each, some 50 MB as a broadcast), whatever the
 input: a larger input fills it more densely, which lets more rows through the test and changes no
-result. On large machines `most_words` may be raised.
+result. On large machines `most_words` may be raised. The table is saved when it is made, so that
+a plan with several branches behind a test reads its keys once.
 """
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from ordermill.llm.frames import saved
+
 MOST_WORDS = 1 << 21
 BITS_PER_ROW = 16
 
@@ -66,7 +69,7 @@ def of_keys(frame, key, rows, most_words=MOST_WORDS):
     """A filter that holds every key of `frame`."""
     bits = word_bits(rows, most_words)
     entries = frame.select(_place(F.col(key), bits), _mask(F.col(key)))
-    return Bloom(entries.groupBy("word").agg(F.bit_or("mask").alias("bits")), bits)
+    return Bloom(saved(entries.groupBy("word").agg(F.bit_or("mask").alias("bits"))), bits)
 
 
 def of_repeats(frame, key, rows, most_words=MOST_WORDS):
@@ -78,7 +81,7 @@ def of_repeats(frame, key, rows, most_words=MOST_WORDS):
     bits = word_bits(rows, most_words)
     entries = frame.select(_place(F.col(key), bits), _mask(F.col(key)))
     again = entries.groupBy("word", "mask").count().where("count > 1")
-    return Bloom(again.groupBy("word").agg(F.bit_or("mask").alias("bits")), bits)
+    return Bloom(saved(again.groupBy("word").agg(F.bit_or("mask").alias("bits"))), bits)
 
 
 def without(frame, key, gone):
