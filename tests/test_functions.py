@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from ordermill.functions import clock, numbers, text
+from ordermill.functions import clock, digest, numbers, text
 from ordermill.functions.rows import fail_where
 
 
@@ -128,3 +128,12 @@ def test_failing_check_survives_pruning(spark):
     with pytest.raises(PySparkException, match="two is bad"):
         checked.select("y").count()
     assert fail_where(frame, F.when(F.col("x") == 3, F.lit("no"))).count() == 2
+
+
+def test_digest_tells_rows_apart_and_reads_no_hex_digits(spark):
+    rows = [("a", None, 1), (None, "a", 1), ("a", "", 1), ("a1:b", "c", 1), ("a", "1:bc", 1), ("a", None, -1), ("~", None, None)]
+    frame = spark.createDataFrame(rows * 2, "x string, y string, n int")
+    found = digest.with_digest(frame, ["x", "y", "n"])
+    assert found.select(*digest.DIGEST).distinct().count() == len(rows)
+    assert digest.with_digest(frame.selectExpr("encode(x, 'UTF-8') x", "y", "n"), ["x", "y", "n"]).select(*digest.DIGEST).distinct().count() == len(rows)
+    assert "conv(" not in found._jdf.queryExecution().optimizedPlan().toString()

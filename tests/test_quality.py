@@ -200,3 +200,12 @@ def test_crosschecks(spark, good):
     assert check.gross_paid_vnd == check.event_paid_vnd == Decimal("200.00")
     assert check.refunded_vnd == 0 and check.event_refunded_vnd is None
     assert tuple(quality.order_count_check(good[0], states).first()) == (2, 2)
+
+
+def test_audit_moves_digests_and_not_the_state_of_each_id(spark):
+    rows = order(1) + order(1, city="other")
+    audit = quality.event_audit(events_from_silver(silver(spark, rows)), bronze(spark, rows))
+    assert values(audit, "silver_rows", "bronze_rows", "bronze_conflict") == {(1, 2, True)}
+    plan = audit._jdf.queryExecution().executedPlan().toString()
+    moved = plan[plan.index("Exchange hashpartitioning(event_id"):]
+    assert plan.count("Exchange hashpartitioning(event_id") == 1 and "Aggregate" not in moved

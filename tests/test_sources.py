@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ordermill.schemas import INBOX
-from ordermill.sources import delimited, inbox
+from ordermill.sources import delimited, derived, inbox
 from ordermill.sources.messages import MessageFolder, preview
 from ordermill.sources.store import VersionedTables, read_or_empty
 from samples import START, bronze, event, message, messages, values
@@ -219,3 +219,12 @@ def test_versions_change_together(spark, folder):
     assert store.publish(replaced=["a"]) == 3
     assert values(store.read("a", schema)) == {(3,)}
     assert values(store.read("b", schema)) == {(5,)}
+
+
+def test_tasks_of_derived_rows_follow_the_orders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(derived, "ORDERS_PER_TASK", 25)
+    spark.range(100).selectExpr("id o_orderkey", "id % 9 o_custkey", "timestamp'2020-01-01' o_orderdate").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(40).selectExpr("id p_partkey", "'T' p_type", "1.5D p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    rows = derived.raw_sales(spark, str(tmp_path), "k")
+    assert rows.rdd.getNumPartitions() == 5
+    assert rows.select("k").distinct().count() == 100
