@@ -36,6 +36,20 @@ def test_ties_do_not_depend_on_arrival(spark):
     assert len(results) == 1
 
 
+def test_only_rows_of_repeated_ids_are_ranked(spark, monkeypatch):
+    rows = [event(f"E{i}") for i in range(20)] + [event("E3", city="new", delay=9)]
+    rows += [event(None, city=c, delay=d) for c, d in (("a", 1), ("b", 2))]
+    whole, ranked = bronze(spark, rows), []
+    rank = silver._first_per_event
+    monkeypatch.setattr(silver, "_first_per_event", lambda r, *order: ranked.append(r.count()) or rank(r, *order))
+    kept = values(silver.newest_per_event(whole), "event_id", "city")
+    assert ranked == [4]
+    monkeypatch.setattr(silver, "BROADCAST_KEYS", 0)
+    assert values(silver.newest_per_event(whole), "event_id", "city") == kept
+    assert ranked == [4, 23]
+    assert kept == {(f"E{i}", "new" if i == 3 else "Hue") for i in range(20)} | {(None, "b")}
+
+
 def test_one_event_may_hold_most_rows(spark):
     copies = bronze(spark, [event("HOT", delay=3)]).crossJoin(spark.range(3000)).drop("id")
     rest = spark.range(3000).select(
