@@ -154,3 +154,20 @@ def test_differences(spark):
     assert setdiff.set_diff(left, left).count() == 0
     both = left.subtract(right).union(right.subtract(left))
     assert values(both) == values(setdiff.set_diff(left, right).drop("side"))
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_inbox_ranks_only_ids_that_repeat(spark, monkeypatch, limit):
+    from ordermill.operators import silver as operators
+
+    monkeypatch.setattr(operators, "BROADCAST_KEYS", limit)
+    given = [event("E1"), event("E1", delay=5, city="Hanoi"), event("E2", promo_code=" "), event(None), event(None, delay=9)]
+    rows = bronze(spark, given).withColumns(
+        {"source_topic_id": F.lit("T"), "partition_id": F.lit(0), "kafka_offset": F.monotonically_increasing_id()}
+    )
+    kept = operators.newest_inbox_copy(rows)
+    found = {(r["event_id"], r["city"], r["promo_code"]) for r in kept.collect()}
+    assert found == {("E1", "Hanoi", None), ("E2", "Hue", None), (None, "Hue", None)} and kept.count() == 3
+    if limit:  # rows with an id of their own reach the union without a window
+        alone = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" in alone
