@@ -4,8 +4,8 @@ A line's tokens are its distinct words, ordered by rarity: by how often words of
 bucket occur in the corpus (a table of fixed size), then by hash. Two lines of n tokens with a
 Jaccard similarity of at least 0.8 share one of their n - ceil(0.8 n) + 1 first tokens, so only
 these are joined. The length filter drops pairs whose sizes alone rule a match out, the position
-filter those with too few tokens left after the shared one; the rest are verified on the sets. A
-line goes when it matches an earlier line, whether that one stays or not; order is by doc_id, then
+filter those with too few tokens left after the shared one, 128 marked bits of each set those that
+differ in too many tokens; the rest are verified on the sets. A line goes when it matches an earlier line, whether that one stays or not; order is by doc_id, then
 by place in the document.
 
 Lines with equal sets are one node, known by a 64-bit hash, with the place of its first line. For
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ordermill.llm import bloom, words
 from ordermill.llm.counts import bucket, bucket_counts
-from ordermill.llm.frames import packed, saved, ship
+from ordermill.llm.frames import packed, reread, ship
 from ordermill.llm.partenum import Threshold, fits, verified
 
 U = words.U
@@ -85,6 +85,21 @@ def _nodes(tokens, sizes):
     return words.mix(sums + words.mix(sizes.astype(U))).view(np.int64)
 
 
+def _marks(tokens, sizes):
+    """128 bits of each set in two numbers: one bit for each token, so sets differ in no fewer tokens than bits."""
+    some = np.flatnonzero(sizes)
+    at = words.mix(tokens) & U(127)
+    found = []
+    for begin in (0, 64):
+        own = (at >= U(begin)) & (at < U(begin + 64))
+        bits = np.where(own, U(1) << (at & U(63)), U(0))
+        marks = np.zeros(len(sizes), dtype=U)
+        if len(some):
+            marks[some] = np.bitwise_or.reduceat(bits, (np.cumsum(sizes) - sizes)[some])
+        found.append(marks.view(np.int64))
+    return found
+
+
 def _word_hashes(batches):
     for batch in batches:
         for _, _, hashes, _ in _line_words(batch.column("text")):
@@ -96,7 +111,8 @@ def _lines(batches, shared):
         for row, number, tokens, sizes in _line_sets(batch.column("text"), shared.value):
             columns = [batch.column("doc_id").take(pa.array(row)), batch.column("key").take(pa.array(row))]
             columns += [pa.array(number.astype(np.int32)), pa.array(_nodes(tokens, sizes), mask=sizes == 0), pa.array(sizes.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "node", "n"])
+            columns += map(pa.array, _marks(tokens, sizes))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "node", "n", "low", "high"])
 
 
 def _entries(batches, shared, threshold):
@@ -123,32 +139,47 @@ def _chosen_sets(batches, shared):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), lists], ["node", "elements"])
 
 
+def _able(member, other, threshold):
+    """Whether two lines that share a token can match, by their sizes, the token's positions and their marks.
+
+    They can still share the tokens before it at most, and those from it on; and they differ in as
+    many tokens at least as their marks differ in bits.
+    """
+    n, position, low, high = (F.col(f"{member}{c}") for c in ("n", "position", "low", "high"))
+    other_n, other_position, other_low, other_high = (F.col(f"{other}{c}") for c in ("n", "position", "low", "high"))
+    left = F.least(position, other_position) + F.least(n - position, other_n - other_position)
+    both = (n + other_n).cast("long")
+    able = left.cast("long") * (threshold.whole + threshold.part) >= both * threshold.part
+    bits = F.bit_count(low.bitwiseXOR(other_low)) + F.bit_count(high.bitwiseXOR(other_high))
+    near = bits.cast("long") * (threshold.whole + threshold.part) <= both * (threshold.whole - threshold.part)
+    return fits(n, other_n, threshold) & able & near
+
+
 def _late_nodes(rows, firsts, shared, threshold):
     """Nodes whose first line matches an earlier line of another node; None if there is none."""
     entries = rows.select("text").mapInArrow(lambda b: _entries(b, shared, threshold), "token long, node long, n int, position int")
     ends = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    common = saved(ends.select("token"))
+    common = reread(ends.select("token"))
     maybe = bloom.of_keys(common, "token", common.count()).tested(entries, "token", "maybe").where("maybe").drop("maybe")
     members = maybe.join(common, "token").distinct().join(firsts, "node")
-    members = saved(members.select("token", "node", "n", "position", "first"))
+    members = reread(members.select("token", "node", "n", "position", "first", "low", "high"))
 
     nodes = members.select("node").distinct()
     chosen = firsts.join(nodes, "node").groupBy("key").agg(F.collect_list("first.line").alias("wanted"))
-    chosen = saved(chosen)
+    chosen = reread(chosen)
     texts = bloom.of_keys(chosen, "key", chosen.count()).tested(rows.select("key", "text"), "key", "maybe").where("maybe")
     sets = texts.join(chosen, "key").select("text", "wanted").mapInArrow(lambda b: _chosen_sets(b, shared), "node long, elements array<long>")
-    sets = saved(sets.dropDuplicates(["node"]).withColumn("n", F.size("elements")))
+    sets = reread(sets.dropDuplicates(["node"]).withColumn("n", F.size("elements")))
 
-    earliest = members.groupBy("token").agg(F.min(F.struct("first", "node")).alias("head"))
-    stars = members.join(earliest, "token").select(F.col("head.node").alias("a"), F.col("node").alias("b")).where("a <> b")
-    late = saved(verified(stars, sets, threshold).select(F.col("b").alias("node")).distinct())
+    earliest = members.groupBy("token").agg(F.min(F.struct("first", "node", "n", "position", "low", "high")).alias("head"))
+    stars = members.join(earliest, "token").where("node <> head.node")
+    stars = stars.where(_able("", "head.", threshold))
+    stars = stars.select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+    late = reread(verified(stars, sets, threshold).select(F.col("b").alias("node")).distinct())
     open_ = members.join(late, "node", "left_anti").select(*[F.col(c).alias("b_" + c) for c in members.columns])
     pairs = members.join(open_, F.col("token") == F.col("b_token")).where("first < b_first AND node <> b_node")
-    pairs = pairs.where(fits(F.col("n"), F.col("b_n"), threshold))
-    # What both can still share: the tokens before the shared one at most, and those from it on.
-    left = F.least("position", "b_position") + F.least(F.col("n") - F.col("position"), F.col("b_n") - F.col("b_position"))
-    able = left.cast("long") * (threshold.whole + threshold.part) >= (F.col("n") + F.col("b_n")).cast("long") * threshold.part
-    pairs = pairs.where(able).select(F.col("node").alias("a"), F.col("b_node").alias("b"))
+    pairs = pairs.where(_able("", "b_", threshold))
+    pairs = pairs.select(F.col("node").alias("a"), F.col("b_node").alias("b"))
     return late.unionByName(verified(pairs, sets, threshold).select(F.col("b").alias("node"))).distinct()
 
 
@@ -175,14 +206,16 @@ def drop_similar_lines(docs, id_col="doc_id", text_col="text", threshold=THRESHO
     order = rarity_order(bucket_counts(rows.select("text"), _word_hashes, BUCKET_BITS))
     shared = spark.sparkContext.broadcast(order)
     kind = dict(docs.dtypes)[id_col]
-    lines = rows.mapInArrow(lambda b: _lines(b, shared), f"doc_id {kind}, key long, line int, node long, n int")
+    lines = rows.mapInArrow(lambda b: _lines(b, shared), f"doc_id {kind}, key long, line int, node long, n int, low long, high long")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
-    lines = saved(lines.where("node IS NOT NULL").withColumn("first", place))
-    firsts = saved(lines.groupBy("node").agg(F.min("first").alias("first")).withColumn("key", F.col("first.key")))
+    lines = reread(lines.where("node IS NOT NULL")).withColumn("first", place)
+    marks = [F.min(c).alias(c) for c in ("low", "high")]  # equal for all lines of a node
+    firsts = lines.groupBy("node").agg(F.min("first").alias("first"), *marks)
+    firsts = reread(firsts.withColumn("key", F.col("first.key")))
     late = _late_nodes(rows, firsts, shared, limits).withColumn("late", F.lit(True))
     state = firsts.join(late, "node", "left").select("node", F.col("first").alias("head"), "late")
-    gone = lines.join(saved(state), "node").where("late OR first <> head")
-    gone = saved(gone.groupBy("key").agg(F.collect_list("line").alias("gone")))  # no more than a text has lines
+    gone = lines.join(reread(state), "node").where("late OR first <> head")
+    gone = reread(gone.groupBy("key").agg(F.collect_list("line").alias("gone")))  # no more than a text has lines
     tested = bloom.of_keys(gone, "key", gone.count()).tested(rows, "key", "maybe")
     straight = tested.where("NOT maybe").withColumn("gone", F.lit(None).cast("array<int>"))
     joined = tested.where("maybe").join(gone, "key", "left")

@@ -65,3 +65,22 @@ def test_defined_results(spark):
     found = sorted((r["doc_id"] or 0, r["n_lines"], r["n_removed"]) for r in drop_similar_lines(frame).collect())
     assert found == [(0, 1, 1), (7, 1, 0), (7, 1, 0), (9, 2, 1)]
     assert drop_similar_lines(frame.limit(0)).collect() == []
+
+
+def test_sets_move_only_for_lines_that_can_match(spark, monkeypatch):
+    from ordermill.llm import line_dedup
+
+    compared = []
+    whole = line_dedup.verified
+
+    def counted(pairs, sets, threshold):
+        compared.append(pairs.distinct().count())
+        return whole(pairs, sets, threshold)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    # All lines begin with the rarest word, but their sizes rule a match out, but for the last two.
+    lines = ["rare " + " ".join(f"w{k}" for k in range(n)) for n in (2, 6, 14, 30, 62)]
+    texts = [(0, "\n".join(lines)), (1, lines[-1] + " more"), (2, "\n".join(f"w{k}" for k in range(62)))]
+    found = line_dedup.drop_similar_lines(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_removed"] for r in found.collect()} == {0: 0, 1: 1, 2: 0}
+    assert sum(compared) <= 2
