@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ordermill.llm import bloom, words
 from ordermill.llm.counts import bucket, bucket_counts
 from ordermill.llm.frames import packed, reread, ship
-from ordermill.llm.partenum import Threshold, fits, verified
+from ordermill.llm.partenum import Threshold, fits, marks, near, verified
 
 U = words.U
 BUCKET_BITS = 18
@@ -85,21 +85,6 @@ def _nodes(tokens, sizes):
     return words.mix(sums + words.mix(sizes.astype(U))).view(np.int64)
 
 
-def _marks(tokens, sizes):
-    """128 bits of each set in two numbers: one bit for each token, so sets differ in no fewer tokens than bits."""
-    some = np.flatnonzero(sizes)
-    at = words.mix(tokens) & U(127)
-    found = []
-    for begin in (0, 64):
-        own = (at >= U(begin)) & (at < U(begin + 64))
-        bits = np.where(own, U(1) << (at & U(63)), U(0))
-        marks = np.zeros(len(sizes), dtype=U)
-        if len(some):
-            marks[some] = np.bitwise_or.reduceat(bits, (np.cumsum(sizes) - sizes)[some])
-        found.append(marks.view(np.int64))
-    return found
-
-
 def _word_hashes(batches):
     for batch in batches:
         for _, _, hashes, _ in _line_words(batch.column("text")):
@@ -111,7 +96,7 @@ def _lines(batches, shared):
         for row, number, tokens, sizes in _line_sets(batch.column("text"), shared.value):
             columns = [batch.column("doc_id").take(pa.array(row)), batch.column("key").take(pa.array(row))]
             columns += [pa.array(number.astype(np.int32)), pa.array(_nodes(tokens, sizes), mask=sizes == 0), pa.array(sizes.astype(np.int32))]
-            columns += map(pa.array, _marks(tokens, sizes))
+            columns += map(pa.array, marks(tokens, sizes))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "node", "n", "low", "high"])
 
 
@@ -150,9 +135,8 @@ def _able(member, other, threshold):
     left = F.least(position, other_position) + F.least(n - position, other_n - other_position)
     both = (n + other_n).cast("long")
     able = left.cast("long") * (threshold.whole + threshold.part) >= both * threshold.part
-    bits = F.bit_count(low.bitwiseXOR(other_low)) + F.bit_count(high.bitwiseXOR(other_high))
-    near = bits.cast("long") * (threshold.whole + threshold.part) <= both * (threshold.whole - threshold.part)
-    return fits(n, other_n, threshold) & able & near
+    marked = near(n, other_n, (low, other_low), (high, other_high), threshold=threshold)
+    return fits(n, other_n, threshold) & able & marked
 
 
 def _late_nodes(rows, firsts, shared, threshold):
@@ -209,8 +193,8 @@ def drop_similar_lines(docs, id_col="doc_id", text_col="text", threshold=THRESHO
     lines = rows.mapInArrow(lambda b: _lines(b, shared), f"doc_id {kind}, key long, line int, node long, n int, low long, high long")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
     lines = reread(lines.where("node IS NOT NULL")).withColumn("first", place)
-    marks = [F.min(c).alias(c) for c in ("low", "high")]  # equal for all lines of a node
-    firsts = lines.groupBy("node").agg(F.min("first").alias("first"), *marks)
+    same = [F.min(c).alias(c) for c in ("low", "high")]  # equal for all lines of a node
+    firsts = lines.groupBy("node").agg(F.min("first").alias("first"), *same)
     firsts = reread(firsts.withColumn("key", F.col("first.key")))
     late = _late_nodes(rows, firsts, shared, limits).withColumn("late", F.lit(True))
     state = firsts.join(late, "node", "left").select("node", F.col("first").alias("head"), "late")

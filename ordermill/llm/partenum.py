@@ -21,7 +21,8 @@ bucket names a pivot, the node with the least hash of the round, and each node i
 the pivots that it meets most often; links join nodes to components. Then the buckets of all
 signatures that still hold several components compare nodes across components, all of them. So
 most links are found on a few numbers for each node, a bucket full of near copies costs a few
-comparisons for each, and no bucket or pair is dropped.
+comparisons for each. Of the pairs that are left, only those are made that can link by the marks of
+their sets, 128 bits in which they may differ no more than in elements; no other pair is dropped.
 
 Signatures are 64-bit hashes of the elements: a collision adds a comparison, never a link, as
 links are verified on the sets.
@@ -85,6 +86,23 @@ def _sets(column, size):
         yield grams[new], np.bincount(rows[new], minlength=last - first)
 
 
+def marks(elements, counts):
+    """128 bits of each set, in two numbers: whether the elements that fall on a bit are odd in number.
+
+    Two sets differ in at least as many elements as their marks differ in bits.
+    """
+    some = np.flatnonzero(counts)
+    at = words.mix(elements) & U(127)
+    found = []
+    for part in (0, 1):
+        bits = np.where(at >> U(6) == U(part), U(1) << (at & U(63)), U(0))
+        one = np.zeros(len(counts), dtype=U)
+        if len(some):
+            one[some] = np.bitwise_xor.reduceat(bits, (np.cumsum(counts) - counts)[some])
+        found.append(one.view(np.int64))
+    return found
+
+
 def _nodes(elements, counts):
     """A hash of each whole set; null for an empty one."""
     some = np.flatnonzero(counts)
@@ -169,7 +187,8 @@ def _with_sets(batches, size):
         for elements, counts in _sets(batch.column("text"), size):
             cuts = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(elements.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([_nodes(elements, counts), lists], ["node", "elements"])
+            marked = map(pa.array, marks(elements, counts))
+            yield pa.RecordBatch.from_arrays([_nodes(elements, counts), lists, *marked], ["node", "elements", "low", "high"])
 
 
 def _shared_signatures(texts, size, threshold):
@@ -196,7 +215,7 @@ def _node_sets(rows, described, nodes, size):
     chosen = reread(chosen.select("key").distinct())
     maybe = bloom.of_keys(chosen, "key", chosen.count()).tested(rows.select("key", "text"), "key", "maybe")
     texts = maybe.where("maybe").join(chosen, "key", "left_semi").select("text")
-    sets = texts.mapInArrow(lambda b: _with_sets(b, size), "node long, elements array<long>")
+    sets = texts.mapInArrow(lambda b: _with_sets(b, size), "node long, elements array<long>, low long, high long")
     return reread(sets.dropDuplicates(["node"]).withColumn("n", F.size("elements")))
 
 
@@ -205,6 +224,12 @@ def fits(a, b, threshold):
     return F.least(a, b).cast("long") * threshold.whole >= F.greatest(a, b).cast("long") * threshold.part
 
 
+def near(a, b, *marked, threshold):
+    """Whether sets of these sizes may link by their marks, given as pairs of numbers."""
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in marked), F.lit(0))
+    return differ.cast("long") * (threshold.whole + threshold.part) <= (a + b).cast("long") * (threshold.whole - threshold.part)
+
+
 def _often_enough(pairs, sizes, threshold):
     """Pairs (a, b) that have as many signatures in common as linked sets of their sizes must have."""
     counted = pairs.groupBy("a", "b").count()
@@ -248,18 +273,20 @@ def _node_labels(rows, described, size, threshold):
     """(node, label) of every node that links to another one."""
     members = _shared_signatures(rows.select("text"), size, threshold)
     sets = _node_sets(rows, described, members.select("node").distinct(), size)
-    sizes, sketch = sets.select("node", "n"), _sketch(members)
+    sizes, sketch = sets.select("node", "n", "low", "high"), _sketch(members)
     links, labels = None, sets.select("node", F.col("node").alias("label")).limit(0)
     for salt in range(ROUNDS):
         stars = verified(_stars(_mixed(sketch, labels, salt)), sets, threshold)
         links = reread(stars if links is None else links.unionByName(stars))
         labels = components(links)
     left = reread(_mixed(members, labels, ROUNDS).join(sizes, "node"))
-    left = left.select("signature", "node", "label", "n")
-    right = left.select("signature", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
-    across = left.withColumnRenamed("node", "a").join(right, "signature")
+    left = left.select("signature", "node", "label", "n", "low", "high")
+    others = {"node": "b", "label": "other", "n": "m", "low": "other_low", "high": "other_high"}
+    across = left.withColumnRenamed("node", "a").join(left.withColumnsRenamed(others), "signature")
     # Each bucket that such a pair shares holds several components, so all of them are counted here.
     across = across.where(F.col("label") < F.col("other")).where(fits(F.col("n"), F.col("m"), threshold))
+    marked = [(F.col("low"), F.col("other_low")), (F.col("high"), F.col("other_high"))]
+    across = across.where(near(F.col("n"), F.col("m"), *marked, threshold=threshold))
     across = _often_enough(across.select("a", "b"), sizes, threshold)
     return components(links.unionByName(verified(across, sets, threshold)))
 

@@ -109,3 +109,26 @@ def test_bands_meet_every_pair_that_can_link():
             assert b - a in (0, 1)
             shared = -(-85 * (small + large) // 185)
             assert small + large - 2 * shared <= limits.most_different([b])[0]
+
+
+def test_marks_differ_in_no_more_bits_than_sets_in_elements(spark):
+    import numpy as np
+
+    from ordermill.llm.partenum import marks, near
+
+    dice, limits, rows = random.Random(3), Threshold(85), []
+    for n in (0, 1, 5, 40, 130, 700):
+        for changed in (0, 1, 2, n // 12, n // 5, n):
+            a = set(dice.sample(range(1 << 40), n))
+            b = set(dice.sample(sorted(a), n - min(changed, n))) | set(dice.sample(range(1 << 40), changed))
+            both = np.array([*sorted(a), *sorted(b)], dtype=np.uint64)
+            low, high = marks(both, np.array([len(a), len(b)]))
+            bits = sum(bin((int(x[0]) ^ int(x[1])) & (1 << 64) - 1).count("1") for x in (low, high))
+            assert bits <= len(a ^ b)
+            links = bool(a | b) and 100 * len(a & b) >= 85 * len(a | b)
+            rows.append((len(a), len(b), *(int(x[k]) for x in (low, high) for k in (0, 1)), links))
+    frame = spark.createDataFrame(rows, "n int, m int, a long, b long, c long, d long, links boolean")
+    pairs = (F.col("a"), F.col("b")), (F.col("c"), F.col("d"))
+    may = frame.select("n", "m", "links", near(F.col("n"), F.col("m"), *pairs, threshold=limits).alias("may")).collect()
+    assert all(r["may"] for r in may if r["links"])
+    assert not any(r["may"] for r in may if r["n"] == 40 and r["m"] == 40 and not r["links"])
