@@ -16,10 +16,10 @@ space + text, has no tokens; ids may be null or repeat, each row is treated by i
 an empty result; other columns are carried along in `row` (`align_tokens`) or ignored (`link_statistics`).
 Whole texts are tokenized; a task holds the tokens of one block of about `BLOCK` bytes, or of one longer text.
 
-The byte-level vocabulary has no token with a space after something other than white space, so a text
-falls into chunks, each with the space before it, whose tokens do not depend on the others. A task tokenizes
-a chunk once and remembers it, up to `REMEMBERED` chunks; a vocabulary that does not allow this, and side B,
-whose library gains nothing by it, are given whole texts.
+Neither vocabulary has a token with a space after something other than white space, so a text falls into
+chunks, each with the space before it, whose tokens do not depend on the others: side A splits there before it
+merges, and no merge of side B goes over such a place. A task tokenizes a chunk once for each side and remembers
+its tokens, up to `REMEMBERED` chunks; a vocabulary that does not allow this is given whole texts.
 """
 
 import hashlib
@@ -40,7 +40,7 @@ PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK = 1 << 19
 MOST_PAIRS = 1 << 20
 REMEMBERED = 1 << 17
-_GAP = re.compile(r"\s |^ ")
+_GAPS = tuple(f"{chr(k)} " for k in range(0x3001) if chr(k).isspace())  # all white space, each before a space
 _SPACE_MARK = "▁"
 
 
@@ -57,16 +57,17 @@ def _crosses(token):
 
 
 def chunks(text):
-    """A text cut at its spaces; a space after white space belongs to the chunk before."""
-    parts = text.split(" ")
-    if not _GAP.search(text):
-        return parts
-    cut = parts[:1]
-    for part in parts[1:]:
-        if cut[-1] and not cut[-1][-1].isspace():
-            cut.append(part)
-        else:
-            cut[-1] = f"{cut[-1]} {part}"
+    """A text cut at its spaces; a space after white space belongs to the chunk before, as does one at the end."""
+    cut = text.split(" ")
+    if text.startswith(" ") or any(gap in text for gap in _GAPS):
+        parts, cut = cut, cut[:1]
+        for part in parts[1:]:
+            if cut[-1] and not cut[-1][-1].isspace():
+                cut.append(part)
+            else:
+                cut[-1] = f"{cut[-1]} {part}"
+    if len(cut) > 1 and not cut[-1]:  # side B gives an empty text no space
+        cut[-2:] = [f"{cut[-2]} "]
     return cut
 
 
@@ -101,7 +102,7 @@ class PieceBpe:
 
         self._tool = sentencepiece.SentencePieceProcessor(model_proto=content)
         self.bytes_of = [self._bytes(k) for k in range(self._tool.get_piece_size())]
-        self.by_chunk = False
+        self.by_chunk = not any(map(_crosses, self.bytes_of))  # merges make pieces of the vocabulary only
 
     def _bytes(self, k):
         piece = self._tool.id_to_piece(k)
@@ -125,7 +126,9 @@ class Side:
 
     def tool(self):
         if self._tool is None:
-            self._tool, self._known = self.kind(self.content), {}
+            self._tool = self.kind(self.content)
+            # Each known chunk's number; of each number how many tokens (-1: none) and where they begin in the pool.
+            self._known, self._held, self._first, self._pool = {}, *(np.zeros(0, dtype=np.int64) for _ in range(3))
             self.sizes = np.array([len(b) for b in self._tool.bytes_of])
             names = [f"{k}{end}" for end in _ENDS for k in range(len(self.sizes))]
             self.names = np.array(names, dtype=object).reshape(len(_ENDS), -1)
@@ -136,28 +139,75 @@ class Side:
         for text, ids in zip(texts, self.tool().encode(texts)):
             yield ids if b"".join([table[k] for k in ids]) == b" " + text.encode() else None
 
-    def _chunk_tokens(self, new):
-        """Ids of each chunk: all are tokenized as one text, whose tokens are cut at the ends of the chunks."""
-        (ids,) = self._checked([" ".join(new)])
-        if ids is None or any(not c or c[-1].isspace() for c in new):  # tokens may not end with each chunk
-            return list(self._checked(new))
+    def _chunk_tokens(self, new, apart):
+        """Ids of some chunks in one array, and how many each has (-1: none): all are tokenized as one text, whose tokens
+        are cut at the ends of the chunks, or `apart` where tokens may not end with each chunk."""
+        found = None if apart else next(self._checked([" ".join(new)]))
+        if found is None:
+            return _laid(list(self._checked(new)))
+        ids = np.array(found, dtype=np.int64)
         ends = np.cumsum([1 + len(c.encode()) for c in new])
         cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
-        return [tuple(ids[a:b]) for a, b in zip([0, *cuts], cuts)]
+        return ids, np.diff(cuts, prepend=0)
+
+    def _remember(self, new, apart):
+        if not new:
+            return
+        ids, held = self._chunk_tokens(new, apart)
+        some = np.maximum(held, 0)
+        self._known.update(zip(new, range(len(self._held), len(self._held) + len(new))))
+        self._first = np.concatenate((self._first, len(self._pool) + np.cumsum(some) - some))
+        self._held, self._pool = np.concatenate((self._held, held)), np.concatenate((self._pool, ids))
+
+    def _forget(self, met):
+        """All chunks but those that are met."""
+        kept = [c for c in met if c in self._known]
+        at = np.fromiter(map(self._known.__getitem__, kept), np.int64, len(kept))
+        held = self._held[at]
+        self._pool, some = _gathered(self._pool, self._first[at], held), np.maximum(held, 0)
+        self._known, self._held, self._first = dict(zip(kept, range(len(kept)))), held, np.cumsum(some) - some
+
+    def laid(self, texts, cut):
+        """Ids of all texts in one array, and how many each has: -1 where the bytes of its tokens are not space + text.
+
+        `cut` has the chunks of each text.
+        """
+        if not self.tool().by_chunk or not texts:
+            return _laid(list(self._checked(texts)))
+        flat = list(itertools.chain.from_iterable(cut))
+        met = dict.fromkeys(flat)
+        if len(self._known) > REMEMBERED:
+            self._forget(met)
+        new = [c for c in met if c not in self._known]
+        odd = [c for c in new if not c or c[-1].isspace()]
+        self._remember([c for c in new if c and not c[-1].isspace()] if odd else new, apart=False)
+        self._remember(odd, apart=True)
+        at = np.fromiter(map(self._known.__getitem__, flat), np.int64, len(flat))
+        sizes = np.array([len(c) for c in cut])
+        begins, held = np.cumsum(sizes) - sizes, self._held[at]
+        whole = np.minimum.reduceat(held, begins) >= 0
+        counts = np.where(whole, np.add.reduceat(held, begins), -1)
+        return _gathered(self._pool, self._first[at], np.where(np.repeat(whole, sizes), held, 0)), counts
 
     def tokens(self, texts):
         """Ids of each text, or None where the bytes of its tokens are not space + text."""
-        if not self.tool().by_chunk:
-            return list(self._checked(texts))
-        cut = [chunks(text) for text in texts]
-        met, known = {c for one in cut for c in one}, self._known
-        if len(known) > REMEMBERED:
-            known = self._known = {c: known[c] for c in met if c in known}
-        new = [c for c in met if c not in known]
-        for some in ([c for c in new if c and not c[-1].isspace()], [c for c in new if not c or c[-1].isspace()]):
-            known.update(zip(some, self._chunk_tokens(some) if some else ()))
-        found = [[known[c] for c in one] for one in cut]
-        return [None if None in one else list(itertools.chain.from_iterable(one)) for one in found]
+        ids, counts = self.laid(texts, [chunks(t) for t in texts])
+        ends = np.cumsum(np.maximum(counts, 0))
+        return [None if n < 0 else ids[end - n : end].tolist() for end, n in zip(ends, counts)]
+
+
+def _laid(found):
+    """Lists of ids in one array, and their lengths, -1 for None."""
+    counts = np.array([-1 if x is None else len(x) for x in found], dtype=np.int64)
+    ids = itertools.chain.from_iterable(x for x in found if x is not None)
+    return np.fromiter(ids, np.int64, int(np.maximum(counts, 0).sum())), counts
+
+
+def _gathered(values, first, counts):
+    """Runs of values, one after the other: `counts` values (none if negative) from each place on."""
+    counts = np.maximum(counts, 0)
+    before = np.cumsum(counts) - counts
+    return values[np.repeat(first - before, counts) + np.arange(counts.sum())]
 
 
 # What may follow an id in the text of groups: the next id of its side, the other side, the next group, nothing.
@@ -170,14 +220,15 @@ class Block:
 
     def __init__(self, sides, texts):
         kept = [k for k, t in enumerate(texts) if t]
-        found = [side.tokens([texts[k] for k in kept]) for side in sides]
-        ids = [[[]] * len(texts), [[]] * len(texts)]
-        for k, *both in zip(kept, *found):
-            if None not in both:
-                ids[0][k], ids[1][k] = both
-        self.counts = [np.array([len(x) for x in one], dtype=np.int64) for one in ids]
+        some = [texts[k] for k in kept]
+        cut = [chunks(t) for t in some]
+        found = [side.laid(some, cut) for side in sides]
+        both = (found[0][1] >= 0) & (found[1][1] >= 0)
+        self.ids = [ids[np.repeat(both, np.maximum(n, 0))] for ids, n in found]
+        self.counts = [np.zeros(len(texts), dtype=np.int64) for _ in sides]
+        for counts, (_, n) in zip(self.counts, found):
+            counts[kept] = np.where(both, n, 0)
         self.cuts = [np.concatenate(([0], np.cumsum(c))) for c in self.counts]
-        self.ids = [np.fromiter((k for x in one for k in x), np.int64, c[-1]) for one, c in zip(ids, self.cuts)]
         self.ends = [np.cumsum(side.sizes[x]) if len(x) else x for side, x in zip(sides, self.ids)]
         self.starts = [e - side.sizes[x] for side, x, e in zip(sides, self.ids, self.ends)]
         self._coalesce()

@@ -82,6 +82,23 @@ def test_remembered_chunks_give_the_tokens_of_whole_texts(monkeypatch):
     assert [x for k in range(0, len(texts), 7) for x in side.tokens(texts[k : k + 7])] == whole
 
 
+def test_side_b_tokenizes_a_chunk_once(monkeypatch):
+    side = ta._sides(ta.BYTE_BPE, ta.PIECE_BPE)[1]
+    assert side.tool().by_chunk
+    pieces = ["word", "it's", " ", "  ", "\n", "\t ", "\u00a0", "\u2003", "é", "ﬁ", "漢字", "▁", "\x1c", "<s>", "<0x41>", "don't", "end."]
+    random = np.random.default_rng(6)
+    texts = ["".join(random.choice(pieces, 9)) for _ in range(300)] + [" ".join(random.choice(pieces, 5)) for _ in range(300)] + [t for t in ODD if t]
+    whole = list(side._checked(texts))
+    assert any(x is None for x in whole) and any(x for x in whole)
+    monkeypatch.setattr(ta, "REMEMBERED", 20)
+    assert [x for k in range(0, len(texts), 7) for x in side.tokens(texts[k : k + 7])] == whole
+    given, encode = [], side.tool().encode
+    monkeypatch.setattr(side.tool(), "encode", lambda texts: given.extend(texts) or encode(texts))
+    side.tokens(["fresh words here"] * 50)
+    side.tokens(["fresh here words"] * 50)
+    assert sum(map(len, given)) == len("fresh words here")
+
+
 def test_blocks_do_not_matter(monkeypatch):
     whole = ta.Block(SIDES, [t or "" for t in ODD])
     for text, shown, count in zip(ODD, whole.group_texts(SIDES), whole.n_groups()):
