@@ -21,8 +21,11 @@ bucket names a pivot, the node with the least hash of the round, and each node i
 the pivots that it meets most often; links join nodes to components. Then the buckets of all
 signatures that still hold several components compare nodes across components, all of them. So
 most links are found on a few numbers for each node, a bucket full of near copies costs a few
-comparisons for each. Of the pairs that are left, only those are made that can link by the marks of
-their sets, 128 bits in which they may differ no more than in elements; no other pair is dropped.
+comparisons for each. Two nodes that are both in a bucket of the band above theirs are in the same
+band, and meet in buckets of their own; so only there. Of the pairs that are left, only those are
+made that can link by the marks of their sets, bits in which they may differ no more than in
+elements; no other pair is dropped. There are at least `MARKS` bits for each element in which linked
+sets may differ, so few pairs below the threshold pass, and sets of all sizes are told apart.
 
 Signatures are 64-bit hashes of the elements: a collision adds a comparison, never a link, as
 links are verified on the sets.
@@ -42,6 +45,7 @@ BUCKET_BITS = 19
 SKETCH = 8
 ROUNDS = 3
 PIVOTS = 2
+MARKS = 8
 
 
 class Threshold:
@@ -103,6 +107,16 @@ def marks(elements, counts):
     return found
 
 
+def wide_marks(elements, counts, most):
+    """As `marks`, a list of numbers for each set: at least `MARKS` bits for each of the `most` elements in which it may differ."""
+    longs = 1 << np.ceil(np.log2(np.maximum(1, MARKS * most / 64))).astype(np.int64)
+    cuts = np.concatenate(([0], np.cumsum(longs)))
+    at = words.mix(elements) & np.repeat((64 * longs - 1).astype(U), counts)
+    found = np.zeros(cuts[-1], dtype=U)
+    np.bitwise_xor.at(found, np.repeat(cuts[:-1], counts) + (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found.view(np.int64)))
+
+
 def _nodes(elements, counts):
     """A hash of each whole set; null for an empty one."""
     some = np.flatnonzero(counts)
@@ -178,28 +192,32 @@ def _signed(batches, size, threshold, shared):
             elements, counts, nodes = _first_of_each(elements, counts, nodes)
             for step in (0, 1):
                 signatures, rows = _signatures(elements, counts, threshold, step, shared.value)
-                columns = [pa.array(signatures.view(np.int64)), nodes.take(pa.array(rows))]
-                yield pa.RecordBatch.from_arrays(columns, ["signature", "node"])
+                columns = [pa.array(signatures.view(np.int64)), nodes.take(pa.array(rows)), pa.array(np.full(len(rows), step == 0))]
+                yield pa.RecordBatch.from_arrays(columns, ["signature", "node", "own"])
 
 
-def _with_sets(batches, size):
+def _with_sets(batches, size, threshold):
     for batch in batches:
         for elements, counts in _sets(batch.column("text"), size):
             cuts = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(elements.view(np.int64)))
-            marked = map(pa.array, marks(elements, counts))
-            yield pa.RecordBatch.from_arrays([_nodes(elements, counts), lists, *marked], ["node", "elements", "low", "high"])
+            band = threshold.band(counts)
+            marked = [*map(pa.array, marks(elements, counts))]
+            marked += [wide_marks(elements, counts, threshold.most_different(np.maximum(0, band + step))) for step in (0, 1)]
+            names = ["node", "elements", "low", "high", "own_marks", "next_marks"]
+            yield pa.RecordBatch.from_arrays([_nodes(elements, counts), lists, *marked], names)
 
 
 def _shared_signatures(texts, size, threshold):
-    """(signature, node): the nodes under each signature that occurs at least twice."""
+    """(signature, node, own): the nodes under each signature that occurs at least twice, and in its own band at least once."""
     frequency = bucket_counts(texts, lambda b: _elements(b, size), BUCKET_BITS)
     shared = texts.sparkSession.sparkContext.broadcast(frequency)
-    entries = texts.mapInArrow(lambda b: _signed(b, size, threshold, shared), "signature long, node long")
-    common = reread(entries.groupBy("signature").count().where("count > 1").select("signature"))
+    entries = texts.mapInArrow(lambda b: _signed(b, size, threshold, shared), "signature long, node long, own boolean")
+    met = entries.groupBy("signature").agg(F.count("*").alias("count"), F.max("own").alias("own"))
+    common = reread(met.where("count > 1 AND own").select("signature"))
     # Only entries that may have a signature in common are shuffled with their nodes.
     maybe = bloom.of_keys(common, "signature", common.count()).tested(entries, "signature", "maybe").where("maybe")
-    return reread(maybe.select("signature", "node").join(common, "signature").distinct())
+    return reread(maybe.select("signature", "node", "own").join(common, "signature").distinct())
 
 
 def _sketch(members):
@@ -209,13 +227,14 @@ def _sketch(members):
     return reread(least.select(F.explode(F.array(*[f"s{k}" for k in range(SKETCH)])).alias("signature"), "node"))
 
 
-def _node_sets(rows, described, nodes, size):
-    """(node, elements, n) for the given nodes, from one text of each."""
+def _node_sets(rows, described, nodes, size, threshold):
+    """(node, elements, marks, n) for the given nodes, from one text of each."""
     chosen = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     chosen = reread(chosen.select("key").distinct())
     maybe = bloom.of_keys(chosen, "key", chosen.count()).tested(rows.select("key", "text"), "key", "maybe")
     texts = maybe.where("maybe").join(chosen, "key", "left_semi").select("text")
-    sets = texts.mapInArrow(lambda b: _with_sets(b, size), "node long, elements array<long>, low long, high long")
+    schema = "node long, elements array<long>, low long, high long, own_marks array<long>, next_marks array<long>"
+    sets = texts.mapInArrow(lambda b: _with_sets(b, size, threshold), schema)
     return reread(sets.dropDuplicates(["node"]).withColumn("n", F.size("elements")))
 
 
@@ -230,15 +249,19 @@ def near(a, b, *marked, threshold):
     return differ.cast("long") * (threshold.whole + threshold.part) <= (a + b).cast("long") * (threshold.whole - threshold.part)
 
 
-def _often_enough(pairs, sizes, threshold):
-    """Pairs (a, b) that have as many signatures in common as linked sets of their sizes must have."""
-    counted = pairs.groupBy("a", "b").count()
-    for node, size in (("a", "m"), ("b", "n")):
-        counted = counted.join(sizes.select(F.col("node").alias(node), F.col("n").alias(size)), node)
+def all_near(a, b, left, right, threshold):
+    """As `near`, by marks given as two lists of the same length."""
+    differ = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return differ.cast("long") * (threshold.whole + threshold.part) <= (a + b).cast("long") * (threshold.whole - threshold.part)
+
+
+def _often_enough(pairs, threshold):
+    """Pairs (a, b) of sizes n, m that have as many signatures in common as linked sets of these sizes must have."""
+    counted = pairs.groupBy("a", "b", "n", "m").count()
     largest = F.greatest("m", "n").cast("long")
     # The least number that may differ in a band of the larger set: a bound from below.
     most = F.floor(2 * largest * (threshold.whole - threshold.part) / (threshold.whole + threshold.part))
-    return counted.where(F.col("count") >= 1 + F.floor(most / 16)).where(fits(F.col("m"), F.col("n"), threshold)).select("a", "b")
+    return counted.where(F.col("count") >= 1 + F.floor(most / 16)).select("a", "b")
 
 
 def verified(pairs, sets, threshold):
@@ -272,22 +295,24 @@ def _stars(mixed):
 def _node_labels(rows, described, size, threshold):
     """(node, label) of every node that links to another one."""
     members = _shared_signatures(rows.select("text"), size, threshold)
-    sets = _node_sets(rows, described, members.select("node").distinct(), size)
-    sizes, sketch = sets.select("node", "n", "low", "high"), _sketch(members)
+    sets = _node_sets(rows, described, members.select("node").distinct(), size, threshold)
+    sizes, sketch = sets.drop("elements"), _sketch(members)
     links, labels = None, sets.select("node", F.col("node").alias("label")).limit(0)
     for salt in range(ROUNDS):
         stars = verified(_stars(_mixed(sketch, labels, salt)), sets, threshold)
         links = reread(stars if links is None else links.unionByName(stars))
         labels = components(links)
-    left = reread(_mixed(members, labels, ROUNDS).join(sizes, "node"))
-    left = left.select("signature", "node", "label", "n", "low", "high")
-    others = {"node": "b", "label": "other", "n": "m", "low": "other_low", "high": "other_high"}
+    own_or_next = F.when(F.col("own"), F.col("own_marks")).otherwise(F.col("next_marks")).alias("marks")
+    left = _mixed(members, labels, ROUNDS).join(sizes, "node")
+    left = reread(left.select("signature", "node", "label", "own", "n", "low", "high", own_or_next))
+    others = {"node": "b", "label": "other", "own": "other_own", "n": "m", "low": "other_low", "high": "other_high", "marks": "other_marks"}
     across = left.withColumnRenamed("node", "a").join(left.withColumnsRenamed(others), "signature")
     # Each bucket that such a pair shares holds several components, so all of them are counted here.
-    across = across.where(F.col("label") < F.col("other")).where(fits(F.col("n"), F.col("m"), threshold))
+    across = across.where(F.col("label") < F.col("other")).where("own OR other_own").where(fits(F.col("n"), F.col("m"), threshold))
     marked = [(F.col("low"), F.col("other_low")), (F.col("high"), F.col("other_high"))]
     across = across.where(near(F.col("n"), F.col("m"), *marked, threshold=threshold))
-    across = _often_enough(across.select("a", "b"), sizes, threshold)
+    across = across.where(all_near(F.col("n"), F.col("m"), F.col("marks"), F.col("other_marks"), threshold))
+    across = _often_enough(across.select("a", "b", "n", "m"), threshold)
     return components(links.unionByName(verified(across, sets, threshold)))
 
 

@@ -132,3 +132,44 @@ def test_marks_differ_in_no_more_bits_than_sets_in_elements(spark):
     may = frame.select("n", "m", "links", near(F.col("n"), F.col("m"), *pairs, threshold=limits).alias("may")).collect()
     assert all(r["may"] for r in may if r["links"])
     assert not any(r["may"] for r in may if r["n"] == 40 and r["m"] == 40 and not r["links"])
+
+
+def test_wide_marks_tell_sets_of_all_sizes_apart():
+    import numpy as np
+
+    from ordermill.llm.partenum import wide_marks
+
+    dice, limits = random.Random(4), Threshold(85)
+    for n in (1, 5, 40, 300, 3000):
+        most = limits.most_different(limits.band(np.array([n])))
+        for changed in (0, 1, n // 12, n // 5, n // 3):
+            a = set(dice.sample(range(1 << 40), n))
+            b = set(dice.sample(sorted(a), n - changed)) | set(dice.sample(range(1 << 40), changed))
+            both = np.array([*sorted(a), *sorted(b)], dtype=np.uint64)
+            left, right = wide_marks(both, np.array([len(a), len(b)]), np.repeat(most, 2)).to_pylist()
+            assert len(left) == len(right) and 64 * len(left) >= 8 * most[0]
+            bits = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(left, right, strict=True))
+            assert bits <= len(a ^ b)
+            if n >= 300 and changed >= n // 5:
+                assert bits > most[0]
+
+
+def test_sets_below_the_threshold_are_not_compared(spark, monkeypatch):
+    from ordermill.llm import partenum
+
+    compared = []
+    whole = partenum._often_enough
+
+    def counted(pairs, threshold):
+        compared.append(pairs.count())
+        return whole(pairs, threshold)
+
+    monkeypatch.setattr(partenum, "_often_enough", counted)
+    dice = random.Random(8)
+    base = [f"w{dice.randrange(10**6)}" for _ in range(900)]
+    texts = {}
+    for k in range(30):  # each shares about 0.87 of the words with the base, and a similarity near 0.6 with the others
+        texts[k] = " ".join(f"y{k}x{j}" if j % 30 == k else x for j, x in enumerate(base)) + " " + " ".join(f"z{k}x{j}" for j in range(60))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert result(jaccard_components(frame)) == brute(texts)
+    assert sum(compared) < 30 * 29 / 2
