@@ -8,10 +8,12 @@ filter those with too few tokens left after the shared one, 128 marked bits of e
 differ in too many tokens; the rest are verified on the sets. A line goes when it matches an earlier line, whether that one stays or not; order is by doc_id, then
 by place in the document.
 
-Lines with equal sets are one node, known by a 64-bit hash, with the place of its first line. For
-each token the earliest node is compared with the others first; only nodes that this leaves
-unmatched are compared with all earlier nodes that share a token. So a frequent token or a group
-of thousands of near copies does not bring all its pairs. No token, node or pair is dropped.
+Lines with equal sets, by a 64-bit hash, are one node, and nodes are numbered in the order of their
+first lines. For each token the earliest node is compared with the others first; only nodes that
+this leaves unmatched are compared with all earlier nodes that share a token, the earliest of which
+they have met. So a frequent token or a group of thousands of near copies does not bring all its
+pairs. Sets are cut from the first line of each node alone, and move only where a pair names them.
+No token, node or pair is dropped.
 
 Defined results: lines end at line feeds; a line without words is never compared and stays; null
 and empty texts have one empty line; a null id comes after all others; rows that repeat an id and
@@ -95,33 +97,24 @@ def _lines(batches, shared):
     for batch in batches:
         for row, number, tokens, sizes in _line_sets(batch.column("text"), shared.value):
             columns = [batch.column("doc_id").take(pa.array(row)), batch.column("key").take(pa.array(row))]
-            columns += [pa.array(number.astype(np.int32)), pa.array(_nodes(tokens, sizes), mask=sizes == 0), pa.array(sizes.astype(np.int32))]
-            columns += map(pa.array, marks(tokens, sizes))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "node", "n", "low", "high"])
+            columns += [pa.array(number.astype(np.int32)), pa.array(_nodes(tokens, sizes), mask=sizes == 0)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "line", "node"])
 
 
-def _entries(batches, shared, threshold):
-    """Token, node, size and position of each token in the prefix of a line."""
+def _first_sets(batches, shared, threshold):
+    """Node, set, size, marks and length of the prefix of each line that `wanted` names with its node."""
     for batch in batches:
-        for _, _, tokens, sizes in _line_sets(batch.column("text"), shared.value):
-            prefix = sizes - -(-sizes * threshold.part // threshold.whole) + 1
-            place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            taken = place < np.repeat(prefix, sizes)
-            each = lambda x: np.repeat(x, sizes)[taken]
-            columns = [pa.array(tokens[taken].view(np.int64)), pa.array(each(_nodes(tokens, sizes)))]
-            columns += [pa.array(each(sizes).astype(np.int32)), pa.array(place[taken].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "position"])
-
-
-def _chosen_sets(batches, shared):
-    """Sets of the lines of each text whose numbers are in `wanted`."""
-    for batch in batches:
-        wanted = [set(x) for x in batch.column("wanted").to_pylist()]
+        wanted = [{x["line"]: x["node"] for x in found} for found in batch.column("wanted").to_pylist()]
         for row, number, tokens, sizes in _line_sets(batch.column("text"), shared.value):
-            nodes, cuts = _nodes(tokens, sizes), np.concatenate(([0], np.cumsum(sizes)))
-            at = [k for k in np.flatnonzero(sizes) if number[k] in wanted[row[k]]]
+            found = [wanted[r].get(k) for r, k in zip(row.tolist(), number.tolist(), strict=True)]
+            at = np.flatnonzero([x is not None for x in found])
+            cuts = np.concatenate(([0], np.cumsum(sizes)))
             lists = pa.array([tokens[cuts[k] : cuts[k + 1]].view(np.int64) for k in at], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), lists], ["node", "elements"])
+            n = sizes[at]
+            prefix = n - -(-n * threshold.part // threshold.whole) + 1
+            columns = [pa.array([found[k] for k in at], pa.int64()), lists, pa.array(n.astype(np.int32)), pa.array(prefix.astype(np.int32))]
+            columns += [pa.array(x[at]) for x in marks(tokens, sizes)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "elements", "n", "prefix", "low", "high"])
 
 
 def _able(member, other, threshold):
@@ -139,32 +132,43 @@ def _able(member, other, threshold):
     return fits(n, other_n, threshold) & able & marked
 
 
-def _late_nodes(rows, firsts, shared, threshold):
-    """Nodes whose first line matches an earlier line of another node; None if there is none."""
-    entries = rows.select("text").mapInArrow(lambda b: _entries(b, shared, threshold), "token long, node long, n int, position int")
-    ends = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    common = reread(ends.select("token"))
-    maybe = bloom.of_keys(common, "token", common.count()).tested(entries, "token", "maybe").where("maybe").drop("maybe")
-    members = maybe.join(common, "token").distinct().join(firsts, "node")
-    members = reread(members.select("token", "node", "n", "position", "first", "low", "high"))
+def _matched(pairs, sets, threshold):
+    """The later node of each pair (a, b) whose sets match; only sets that a pair names are moved."""
+    pairs = reread(pairs.distinct())
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    named = named.distinct().select(F.xxhash64("node").alias("name"))
+    tested = bloom.of_keys(named, "name", 2 * pairs.count()).tested(sets.withColumn("name", F.xxhash64("node")), "name", "maybe")
+    return verified(pairs, tested.where("maybe").select("node", "elements", "n"), threshold).select(F.col("b").alias("node")).distinct()
 
-    nodes = members.select("node").distinct()
-    chosen = firsts.join(nodes, "node").groupBy("key").agg(F.collect_list("first.line").alias("wanted"))
+
+def _late_nodes(rows, firsts, shared, threshold):
+    """Nodes whose first line matches an earlier line of another node."""
+    chosen = firsts.groupBy("first.key").agg(F.collect_list(F.struct("first.line", "node")).alias("wanted"))
     chosen = reread(chosen)
     texts = bloom.of_keys(chosen, "key", chosen.count()).tested(rows.select("key", "text"), "key", "maybe").where("maybe")
-    sets = texts.join(chosen, "key").select("text", "wanted").mapInArrow(lambda b: _chosen_sets(b, shared), "node long, elements array<long>")
-    sets = reread(sets.dropDuplicates(["node"]).withColumn("n", F.size("elements")))
-
-    earliest = members.groupBy("token").agg(F.min(F.struct("first", "node", "n", "position", "low", "high")).alias("head"))
-    stars = members.join(earliest, "token").where("node <> head.node")
-    stars = stars.where(_able("", "head.", threshold))
-    stars = stars.select(F.col("head.node").alias("a"), F.col("node").alias("b"))
-    late = reread(verified(stars, sets, threshold).select(F.col("b").alias("node")).distinct())
-    open_ = members.join(late, "node", "left_anti").select(*[F.col(c).alias("b_" + c) for c in members.columns])
-    pairs = members.join(open_, F.col("token") == F.col("b_token")).where("first < b_first AND node <> b_node")
+    texts = texts.join(chosen, "key").dropDuplicates(["key"]).select("text", "wanted")
+    schema = "node long, elements array<long>, n int, prefix int, low long, high long"
+    sets = reread(texts.mapInArrow(lambda b: _first_sets(b, shared, threshold), schema))
+
+    prefix = F.posexplode(F.slice("elements", 1, F.col("prefix"))).alias("position", "token")
+    entries = sets.select("node", "n", "low", "high", prefix)
+    common = entries.groupBy("token").agg(F.count("*").alias("count"), F.min("node").alias("head"))
+    common = reread(common.where("count > 1"))
+    maybe = bloom.of_keys(common, "token", common.count()).tested(entries, "token", "maybe").where("maybe").drop("maybe")
+    members = reread(maybe.join(common, "token"))
+
+    others = members.where("node <> head").drop("head")
+    heads = members.where("node = head").select("token", *[F.col(c).alias("a_" + c) for c in ("node", "n", "position", "low", "high")])
+    stars = heads.join(others, "token").where(_able("", "a_", threshold))
+    late = reread(_matched(stars.select(F.col("a_node").alias("a"), F.col("node").alias("b")), sets, threshold))
+    # The earliest node of a token has met all others; only tokens of more nodes bring more pairs.
+    others = others.where("count > 2").drop("count").withColumn("name", F.xxhash64("node"))
+    open_ = bloom.without(others, "name", late.select(F.xxhash64("node").alias("name"))).drop("name")
+    open_ = open_.select(*[F.col(c).alias("b_" + c) for c in open_.columns])
+    pairs = others.join(open_, F.col("token") == F.col("b_token")).where("node < b_node")
     pairs = pairs.where(_able("", "b_", threshold))
     pairs = pairs.select(F.col("node").alias("a"), F.col("b_node").alias("b"))
-    return late.unionByName(verified(pairs, sets, threshold).select(F.col("b").alias("node"))).distinct()
+    return late.unionByName(_matched(pairs, sets, threshold)).distinct()
 
 
 def _kept(batches):
@@ -190,15 +194,14 @@ def drop_similar_lines(docs, id_col="doc_id", text_col="text", threshold=THRESHO
     order = rarity_order(bucket_counts(rows.select("text"), _word_hashes, BUCKET_BITS))
     shared = spark.sparkContext.broadcast(order)
     kind = dict(docs.dtypes)[id_col]
-    lines = rows.mapInArrow(lambda b: _lines(b, shared), f"doc_id {kind}, key long, line int, node long, n int, low long, high long")
+    lines = rows.mapInArrow(lambda b: _lines(b, shared), f"doc_id {kind}, key long, line int, node long")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
-    lines = reread(lines.where("node IS NOT NULL")).withColumn("first", place)
-    same = [F.min(c).alias(c) for c in ("low", "high")]  # equal for all lines of a node
-    firsts = lines.groupBy("node").agg(F.min("first").alias("first"), *same)
-    firsts = reread(firsts.withColumn("key", F.col("first.key")))
+    lines = reread(lines.where("node IS NOT NULL").withColumnRenamed("node", "content")).withColumn("first", place)
+    firsts = lines.groupBy("content").agg(F.min("first").alias("first"))
+    firsts = reread(firsts.orderBy("first").withColumn("node", F.monotonically_increasing_id()))
     late = _late_nodes(rows, firsts, shared, limits).withColumn("late", F.lit(True))
-    state = firsts.join(late, "node", "left").select("node", F.col("first").alias("head"), "late")
-    gone = lines.join(reread(state), "node").where("late OR first <> head")
+    state = firsts.join(late, "node", "left").select("content", F.col("first").alias("head"), "late")
+    gone = lines.join(reread(state), "content").where("late OR first <> head")
     gone = reread(gone.groupBy("key").agg(F.collect_list("line").alias("gone")))  # no more than a text has lines
     tested = bloom.of_keys(gone, "key", gone.count()).tested(rows, "key", "maybe")
     straight = tested.where("NOT maybe").withColumn("gone", F.lit(None).cast("array<int>"))

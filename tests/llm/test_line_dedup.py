@@ -84,3 +84,22 @@ def test_sets_move_only_for_lines_that_can_match(spark, monkeypatch):
     found = line_dedup.drop_similar_lines(spark.createDataFrame(texts, "doc_id long, text string"))
     assert {r["doc_id"]: r["n_removed"] for r in found.collect()} == {0: 0, 1: 1, 2: 0}
     assert sum(compared) <= 2
+
+
+def test_only_sets_that_a_pair_names_move(spark, monkeypatch):
+    from ordermill.llm import line_dedup
+
+    moved = []
+    whole = line_dedup.verified
+
+    def counted(pairs, sets, threshold):
+        moved.append(sets.count())
+        return whole(pairs, sets, threshold)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    # Two words at each place of a line's prefix tie all lines together, but only two are near to each other.
+    lines = [f"left right {' '.join(f'v{k}x{j}' for j in range(30))}" for k in range(40)]
+    texts = [(k, x) for k, x in enumerate(lines)] + [(40, lines[3] + " more")]
+    found = line_dedup.drop_similar_lines(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert [r["doc_id"] for r in found.collect() if r["n_removed"]] == [40]
+    assert sum(moved) <= 8
