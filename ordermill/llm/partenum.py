@@ -19,7 +19,9 @@ expanded into pairs. First a sketch of each node, its least signatures under `SK
 into buckets: nodes with many signatures in common share some of these. In a few rounds each such
 bucket names a pivot, the node with the least hash of the round, and each node is compared with
 the pivots that it meets most often; links join nodes to components. Then the buckets of all
-signatures that still hold several components compare nodes across components, all of them. So
+signatures that still hold several components compare nodes across components, all of them: first
+with one node of `HEADS`, which joins most of a large group of near copies, then, when these links
+are known, the other nodes. A pair is made in as many buckets as it must share, not in all. So
 most links are found on a few numbers for each node, a bucket full of near copies costs a few
 comparisons for each. Two nodes that are both in a bucket of the band above theirs are in the same
 band, and meet in buckets of their own; so only there. Of the pairs that are left, only those are
@@ -45,7 +47,8 @@ BUCKET_BITS = 19
 SKETCH = 8
 ROUNDS = 3
 PIVOTS = 2
-MARKS = 8
+MARKS = 16
+HEADS = 32
 
 
 class Threshold:
@@ -255,13 +258,17 @@ def all_near(a, b, left, right, threshold):
     return differ.cast("long") * (threshold.whole + threshold.part) <= (a + b).cast("long") * (threshold.whole - threshold.part)
 
 
+def _wanted(n, threshold):
+    """How many signatures linked sets must have in common if the larger one has n elements."""
+    # The least number that may differ in a band of the larger set: a bound from below.
+    most = F.floor(2 * n.cast("long") * (threshold.whole - threshold.part) / (threshold.whole + threshold.part))
+    return (1 + F.floor(most / 16)).cast("int")
+
+
 def _often_enough(pairs, threshold):
     """Pairs (a, b) of sizes n, m that have as many signatures in common as linked sets of these sizes must have."""
     counted = pairs.groupBy("a", "b", "n", "m").count()
-    largest = F.greatest("m", "n").cast("long")
-    # The least number that may differ in a band of the larger set: a bound from below.
-    most = F.floor(2 * largest * (threshold.whole - threshold.part) / (threshold.whole + threshold.part))
-    return counted.where(F.col("count") >= 1 + F.floor(most / 16)).select("a", "b")
+    return counted.where(F.col("count") >= _wanted(F.greatest("m", "n"), threshold)).select("a", "b")
 
 
 def verified(pairs, sets, threshold):
@@ -292,6 +299,34 @@ def _stars(mixed):
     return met.withColumn("place", place).where(F.col("place") <= PIVOTS).select("a", "b")
 
 
+def _is_head(node):
+    return F.pmod(F.col(node), F.lit(HEADS)) == 0
+
+
+def _across(mixed, sizes, heads, threshold):
+    """Pairs (a, b) of different components that may link: with `heads` those that hold a head, else all of `mixed`."""
+    own_or_next = F.when(F.col("own"), F.col("own_marks")).otherwise(F.col("next_marks")).alias("marks")
+    # The least signatures of each node: pairs need not be made again in a bucket if they share enough lesser ones.
+    lists = mixed.groupBy("node", "own").agg(F.sort_array(F.collect_list("signature")).alias("least_ones"))
+    lists = lists.join(sizes, "node").withColumn("least_ones", F.slice("least_ones", 1, 4 * _wanted(F.col("n"), threshold)))
+    lists = reread(lists.select("node", "own", "n", "low", "high", own_or_next, "least_ones"))
+    left = reread(mixed.select("signature", "node", "label", "own").join(lists, ["node", "own"]))
+    others = {"node": "b", "label": "other", "own": "other_own", "n": "m", "low": "other_low", "high": "other_high"}
+    others |= {"marks": "other_marks", "least_ones": "other_ones"}
+    first = (left.where(_is_head("node")) if heads else left).withColumnRenamed("node", "a")
+    across = first.join(left.withColumnsRenamed(others), "signature").where("own OR other_own")
+    # Each bucket that such a pair shares holds several components, so enough of them are counted here.
+    once = F.col("label") < F.col("other")
+    across = across.where(once | ((F.col("label") > F.col("other")) & ~_is_head("b")) if heads else once)
+    across = across.where(fits(F.col("n"), F.col("m"), threshold))
+    marked = [(F.col("low"), F.col("other_low")), (F.col("high"), F.col("other_high"))]
+    across = across.where(near(F.col("n"), F.col("m"), *marked, threshold=threshold))
+    across = across.where(all_near(F.col("n"), F.col("m"), F.col("marks"), F.col("other_marks"), threshold))
+    lesser = F.filter(F.array_intersect("least_ones", "other_ones"), lambda x: x < F.col("signature"))
+    across = across.where(F.size(lesser) < _wanted(F.greatest("m", "n"), threshold))
+    return _often_enough(across.select("a", "b", "n", "m"), threshold)
+
+
 def _node_labels(rows, described, size, threshold):
     """(node, label) of every node that links to another one."""
     members = _shared_signatures(rows.select("text"), size, threshold)
@@ -302,18 +337,12 @@ def _node_labels(rows, described, size, threshold):
         stars = verified(_stars(_mixed(sketch, labels, salt)), sets, threshold)
         links = reread(stars if links is None else links.unionByName(stars))
         labels = components(links)
-    own_or_next = F.when(F.col("own"), F.col("own_marks")).otherwise(F.col("next_marks")).alias("marks")
-    left = _mixed(members, labels, ROUNDS).join(sizes, "node")
-    left = reread(left.select("signature", "node", "label", "own", "n", "low", "high", own_or_next))
-    others = {"node": "b", "label": "other", "own": "other_own", "n": "m", "low": "other_low", "high": "other_high", "marks": "other_marks"}
-    across = left.withColumnRenamed("node", "a").join(left.withColumnsRenamed(others), "signature")
-    # Each bucket that such a pair shares holds several components, so all of them are counted here.
-    across = across.where(F.col("label") < F.col("other")).where("own OR other_own").where(fits(F.col("n"), F.col("m"), threshold))
-    marked = [(F.col("low"), F.col("other_low")), (F.col("high"), F.col("other_high"))]
-    across = across.where(near(F.col("n"), F.col("m"), *marked, threshold=threshold))
-    across = across.where(all_near(F.col("n"), F.col("m"), F.col("marks"), F.col("other_marks"), threshold))
-    across = _often_enough(across.select("a", "b", "n", "m"), threshold)
-    return components(links.unionByName(verified(across, sets, threshold)))
+    for heads in (True, False):
+        taken = members if heads else members.where(~_is_head("node"))
+        pairs = _across(_mixed(taken, labels, ROUNDS), sizes, heads, threshold)
+        links = reread(links.unionByName(verified(pairs, sets, threshold)))
+        labels = components(links)
+    return labels
 
 
 def jaccard_components(docs, id_col="doc_id", text_col="text", size=4, threshold=85):

@@ -173,3 +173,27 @@ def test_sets_below_the_threshold_are_not_compared(spark, monkeypatch):
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert result(jaccard_components(frame)) == brute(texts)
     assert sum(compared) < 30 * 29 / 2
+
+
+def test_a_pair_just_below_the_threshold_is_made_a_few_times(spark, monkeypatch):
+    from ordermill.llm import partenum
+
+    made = []
+    whole = partenum._often_enough
+
+    def counted(pairs, threshold):
+        made.append(pairs.count())
+        return whole(pairs, threshold)
+
+    monkeypatch.setattr(partenum, "_often_enough", counted)
+    dice = random.Random(11)
+    base = [f"w{dice.randrange(10**6)}" for _ in range(150)]
+    texts = {}
+    for k in range(50):  # one changed word links to the others with one; two changed words miss the threshold by a little
+        copy = list(base)
+        for at in dice.sample(range(4, 146), 1 + k % 2):
+            copy[at] = f"x{k}"
+        texts[k] = " ".join(copy)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert result(jaccard_components(frame)) == brute(texts)
+    assert sum(made) < 25 * 25
