@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from ordermill import session
+from ordermill import catalog, session
 from ordermill.operators import facts
 from ordermill.schemas import BRONZE, FACT_SALES_EVENTS_COLUMNS
 
@@ -80,3 +80,29 @@ def test_shuffles_follow_the_rows(spark, conf, monkeypatch):
     assert conf.get("spark.sql.files.minPartitionNum") == "10"
     session.enough_partitions(spark, 5)
     assert conf.get("spark.sql.shuffle.partitions") == "10"
+
+
+def test_numbers_that_nobody_has_set_are_those_of_spark(spark, conf, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", 10)
+    conf.unset("spark.sql.shuffle.partitions")
+    conf.unset("spark.sql.files.minPartitionNum")
+    usual = int(conf.get("spark.sql.shuffle.partitions"))
+    session.enough_partitions(spark, 10 * usual - 1)
+    assert conf.get("spark.sql.shuffle.partitions", None) is None
+    assert conf.get("spark.sql.files.minPartitionNum") == str(usual)
+    session.enough_partitions(spark, 10 * usual)
+    assert conf.get("spark.sql.shuffle.partitions") == str(usual + 1)
+
+
+@pytest.mark.parametrize("name", ["affected_orders", "bronze_csv", "dim_extend", "exported_metrics"])
+def test_queries_in_a_session_that_names_no_partitions(spark, conf, folder, name):
+    orders = [(k, k % 3, datetime(1996, 1, 1 + k % 28)) for k in range(300)]
+    parts = [(k, f"T{k % 2}", 10.0 + k) for k in range(7)]
+    found = []
+    for number in (None, "4"):
+        conf.set("spark.sql.shuffle.partitions", number) if number else conf.unset("spark.sql.shuffle.partitions")
+        tables = folder(f"tables-{number}")  # stored layers are found by this path
+        spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tables}/orders.parquet")
+        spark.createDataFrame(parts, "p_partkey long, p_type string, p_retailprice double").write.parquet(f"{tables}/part.parquet")
+        found.append(sorted(map(str, catalog.QUERIES[name](spark, tables).collect())))
+    assert found[0] == found[1] != []
